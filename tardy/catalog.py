@@ -307,3 +307,87 @@ def q_box_stats(spark, sf):
 def q_box_stats_by_carrier(spark, sf):
     return D.box_stats(_eda(spark, sf), "ArrDelay", group="UniqueCarrier",
                        lo_keep=-30, hi_keep=180)
+
+
+# ---------------------------------------------------------------- serving (batch twins)
+from .operators import serving as V  # noqa: E402
+from .sources import requests as R  # noqa: E402
+
+
+def serving_stats(spark, sf):
+    """The six statistics of the training table, materialised and
+    size-checked for broadcast."""
+    return S.compute_stats(_reg(spark, sf))
+
+
+@register("valid_requests")
+def q_valid_requests(spark, sf):
+    return V.valid_requests(R.requests_view(spark, sf)).drop("ts")
+
+
+@register("request_features")
+def q_request_features(spark, sf):
+    return V.request_features(R.requests_view(spark, sf), serving_stats(spark, sf))
+
+
+@register("distance_lookup")
+def q_distance_lookup(spark, sf):
+    req = V.valid_requests(R.requests_view(spark, sf)).select("request_id", "Origin", "Dest")
+    dist = S.route_distances(flights_view(spark, sf))
+    return V.distance_lookup(req, dist)
+
+
+@register("request_response_join")
+def q_request_response_join(spark, sf):
+    return V.request_response_join(R.requests_view(spark, sf),
+                                   R.regression_responses_view(spark, sf))
+
+
+@register("merged_response")
+def q_merged_response(spark, sf):
+    return V.merged_response(R.requests_view(spark, sf), R.regression_responses_view(spark, sf),
+                             R.classification_responses_view(spark, sf))
+
+
+@register("request_validation")
+def q_request_validation(spark, sf):
+    return V.request_validation(R.requests_view(spark, sf))
+
+
+@register("request_defaults_form")
+def q_request_defaults_form(spark, sf):
+    return V.form_to_request(R.form_view(spark, sf))
+
+
+@register("arrival_hour")
+def q_arrival_hour(spark, sf):
+    return V.form_to_request(R.form_view(spark, sf)).select(
+        "request_id", "DepHour", "DepMinute", "CRSElapsedTime", "CRSArrHour")
+
+
+@register("answer_bands")
+def q_answer_bands(spark, sf):
+    return V.answer_bands(q_merged_response(spark, sf))
+
+
+@register("round_outputs")
+def q_round_outputs(spark, sf):
+    reg = R.regression_responses_view(spark, sf).withColumn(
+        "predicted_delay_minutes", F.col("predicted_delay_minutes") * 1.37 - 20)
+    cls = R.classification_responses_view(spark, sf).withColumns({
+        "probability_over_30min": F.col("probability_over_30min") * 0.987,
+        "probability_over_60min": F.col("probability_over_60min") * 1.013})
+    r, c = V.round_outputs(reg, cls)
+    return r.select("request_id", "predicted_delay_minutes").join(
+        c.select("request_id", "probability_over_30min", "probability_over_60min"), "request_id")
+
+
+@register("json_requests")
+def q_json_requests(spark, sf):
+    """Encode requests as JSON text, damage some, decode, skip invalid."""
+    req = R.requests_view(spark, sf).drop("ts")
+    body = F.to_json(F.struct(*req.columns))
+    damaged = F.regexp_extract(F.col("request_id"), r"([0-9]+)", 1).try_cast("int") % 13 == 0
+    text = F.when(damaged, F.substring(body, 1, 20)).otherwise(body)
+    decoded = req.select(text.alias("value")).select(R.parse_request_json(F.col("value")).alias("r"))
+    return V.valid_requests(decoded.select("r.*"))

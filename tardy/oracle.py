@@ -388,3 +388,186 @@ GROUP BY {gkeys}q1, median, q3, iqr, n"""
 
 ORACLE["box_stats"] = _box_sql("", None)
 ORACLE["box_stats_by_carrier"] = _box_sql("AND ArrDelay BETWEEN -30 AND 180", "UniqueCarrier")
+
+# ---------------------------------------------------------------- serving
+REQUESTS = """
+clicks AS (SELECT event_id, user_id, value, cast(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'click'),
+requests AS (
+  SELECT
+    CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 51 = 0 THEN ''
+         ELSE 'r' || cast(event_id AS VARCHAR) END AS request_id,
+    ts,
+    CASE WHEN user_id % 3 = 0 THEN 'B' WHEN user_id % 3 = 1 THEN 'A' END AS model_type,
+    CASE WHEN user_id % 10 = 0 THEN NULL ELSE 'C' || cast(user_id % 14 AS VARCHAR) END AS UniqueCarrier,
+    'N' || cast(user_id % 25 AS VARCHAR) AS Origin,
+    'N' || cast(event_id % 27 AS VARCHAR) AS Dest,
+    CASE WHEN event_id % 9 = 0 THEN NULL ELSE cast(event_id % 3000 AS INTEGER) END AS Distance,
+    CASE WHEN event_id % 8 = 0 THEN NULL ELSE cast(event_id % 24 AS INTEGER) END AS DepHour,
+    cast(1 + event_id % 7 AS INTEGER) AS DayOfWeek,
+    cast(1 + event_id % 12 AS INTEGER) AS Month,
+    cast(15 AS INTEGER) AS Day,
+    cast(30 + user_id % 300 AS INTEGER) AS CRSElapsedTime,
+    cast((event_id + 3) % 24 AS INTEGER) AS CRSArrHour,
+    value - 20 AS DepDelay,
+    cast(user_id % 30 AS INTEGER) AS TaxiOut
+  FROM clicks
+),
+vreq AS (SELECT * FROM requests WHERE coalesce(length(request_id), 0) > 0),
+reg_resp AS (
+  SELECT 'r' || cast(event_id AS VARCHAR) AS request_id,
+    ts + to_seconds(cast(event_id % 13 + CASE WHEN event_id % 4 = 1 THEN 3600 ELSE 0 END AS BIGINT)) AS ts,
+    value AS predicted_delay_minutes,
+    CASE WHEN event_id % 20 = 0 THEN 'error' ELSE 'success' END AS status
+  FROM clicks
+),
+cls_resp AS (
+  SELECT 'r' || cast(event_id AS VARCHAR) AS request_id,
+    ts + to_seconds(cast(event_id % 12 + CASE WHEN event_id % 6 = 1 THEN 3600 ELSE 0 END AS BIGINT)) AS ts,
+    cast(event_id % 1000 AS DOUBLE) / 10 AS probability_over_30min,
+    cast(event_id % 700 AS DOUBLE) / 10 AS probability_over_60min,
+    'success' AS status
+  FROM clicks
+),
+reg_first AS (SELECT request_id, arg_min(ts, ts) AS ts, arg_min(predicted_delay_minutes, ts) AS predicted_delay_minutes,
+                     arg_min(status, ts) AS status FROM reg_resp GROUP BY request_id),
+cls_first AS (SELECT request_id, arg_min(ts, ts) AS ts, arg_min(probability_over_30min, ts) AS probability_over_30min,
+                     arg_min(probability_over_60min, ts) AS probability_over_60min,
+                     arg_min(status, ts) AS status FROM cls_resp GROUP BY request_id),
+merged AS (
+  SELECT q.request_id,
+    CASE WHEN r.status IS NOT NULL AND c.status IS NOT NULL THEN 'success'
+         WHEN r.status IS NOT NULL OR c.status IS NOT NULL THEN 'partial' ELSE 'timeout' END AS status,
+    r.status AS regression_status, r.predicted_delay_minutes,
+    c.status AS classification_status, c.probability_over_30min, c.probability_over_60min
+  FROM vreq q
+  LEFT JOIN reg_first r ON q.request_id = r.request_id
+       AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 10 SECOND
+  LEFT JOIN cls_first c ON q.request_id = c.request_id
+       AND c.ts >= q.ts AND c.ts <= q.ts + INTERVAL 10 SECOND
+),
+form AS (
+  SELECT 'r' || cast(event_id AS VARCHAR) AS request_id,
+    lpad(cast(event_id % 24 AS VARCHAR), 2, '0') || ':' || lpad(cast(user_id % 60 AS VARCHAR), 2, '0') AS dep_time,
+    CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 19 = 0 THEN cast(30 + user_id % 300 AS VARCHAR) || 'abc'
+         WHEN event_id % 23 = 0 THEN '0' ELSE cast(30 + user_id % 300 AS VARCHAR) END AS duration_text,
+    CASE WHEN event_id % 9 = 0 THEN 'n/a' WHEN event_id % 11 = 0 THEN ' ' || cast(event_id % 3000 AS VARCHAR)
+         ELSE cast(event_id % 3000 AS VARCHAR) END AS distance_text,
+    cast(cast(floor(value - 20) AS BIGINT) AS VARCHAR) AS dep_delay_text,
+    cast(user_id % 30 AS VARCHAR) AS taxi_out_text
+  FROM clicks
+)"""
+
+
+def _parse_or(text: str, d: int) -> str:
+    lead = f"regexp_extract({text}, '^\\s*([+-]?[0-9]+)', 1)"
+    return f"coalesce(nullif(CASE WHEN {lead} <> '' THEN try_cast({lead} AS INTEGER) END, 0), {d})"
+
+
+FORM_REQ = f"""
+form_req AS (
+  SELECT request_id,
+    try_cast(split_part(dep_time, ':', 1) AS INTEGER) AS DepHour,
+    try_cast(split_part(dep_time, ':', 2) AS INTEGER) AS DepMinute,
+    {_parse_or('duration_text', 120)} AS CRSElapsedTime,
+    {_parse_or('distance_text', 1000)} AS Distance,
+    {_parse_or('dep_delay_text', 0)} AS DepDelay,
+    {_parse_or('taxi_out_text', 15)} AS TaxiOut,
+    15 AS Day
+  FROM form
+)"""
+
+SERVE = with_ctes(FLIGHTS, DERIVED, REG, stats_ctes("reg"), REQUESTS, FORM_REQ)
+
+ORACLE["valid_requests"] = SERVE + "SELECT * EXCLUDE (ts) FROM vreq"
+ORACLE["request_features"] = SERVE + """
+SELECT v.request_id, coalesce(v.model_type, 'A') AS model_type,
+  coalesce(v.UniqueCarrier, 'WN') AS UniqueCarrier, coalesce(v.Origin, 'ORD') AS Origin,
+  coalesce(v.Dest, 'LAX') AS Dest,
+  CASE WHEN coalesce(v.DepHour, 12) BETWEEN 6 AND 11 THEN 'Morning'
+       WHEN coalesce(v.DepHour, 12) BETWEEN 12 AND 17 THEN 'Afternoon'
+       WHEN coalesce(v.DepHour, 12) BETWEEN 18 AND 21 THEN 'Evening' ELSE 'Night' END AS TimeOfDay,
+  CASE WHEN coalesce(v.Distance, 1000) < 500 THEN 'Short'
+       WHEN coalesce(v.Distance, 1000) BETWEEN 500 AND 1500 THEN 'Medium' ELSE 'Long' END AS DistanceCategory,
+  coalesce(v.DayOfWeek, 1) AS DayOfWeek, coalesce(v.Month, 1) AS Month, coalesce(v.Day, 15) AS Day,
+  coalesce(v.DepHour, 12) AS DepHour,
+  CASE WHEN v.DayOfWeek IN (6, 7) THEN 1 ELSE 0 END AS IsWeekend,
+  CASE WHEN coalesce(v.DepHour, 12) BETWEEN 6 AND 9 OR coalesce(v.DepHour, 12) BETWEEN 17 AND 20
+       THEN 1 ELSE 0 END AS IsRushHour,
+  coalesce(v.Distance, 1000) AS Distance, coalesce(v.CRSElapsedTime, 120) AS CRSElapsedTime,
+  cast(coalesce(v.CRSArrHour, 14) AS BIGINT) AS CRSArrHour,
+  coalesce(c.AvgCarrierDelay, 60.0) AS AvgCarrierDelay, coalesce(h.AvgHourDelay, 55.0) AS AvgHourDelay,
+  coalesce(r.AvgRouteDelay, 58.0) AS AvgRouteDelay, coalesce(o.AvgOriginDelay, 57.0) AS AvgOriginDelay,
+  coalesce(d.AvgDestDelay, 57.0) AS AvgDestDelay, coalesce(ch.AvgCarrierHourDelay, 58.0) AS AvgCarrierHourDelay,
+  cast(10000 AS BIGINT) AS CarrierFlightCount, cast(5000 AS BIGINT) AS RouteFlightCount,
+  cast(coalesce(v.DepDelay, 0.0) AS DOUBLE) AS DepDelay, coalesce(v.TaxiOut, 15) AS TaxiOut
+FROM vreq v
+LEFT JOIN s_carrier c ON v.UniqueCarrier = c.UniqueCarrier
+LEFT JOIN s_hour h ON v.DepHour = h.DepHour
+LEFT JOIN s_route r ON v.Origin || '-' || v.Dest = r.Route
+LEFT JOIN s_origin o ON v.Origin = o.Origin
+LEFT JOIN s_dest d ON v.Dest = d.Dest
+LEFT JOIN s_ch ch ON v.UniqueCarrier = ch.UniqueCarrier AND v.DepHour = ch.DepHour"""
+ORACLE["distance_lookup"] = SERVE + """
+, rd AS (SELECT Origin, Dest, min(Distance) AS Distance FROM flights
+         WHERE Origin IS NOT NULL AND Dest IS NOT NULL AND Distance IS NOT NULL GROUP BY Origin, Dest),
+x AS (SELECT v.request_id, v.Origin, v.Dest, coalesce(f.Distance, b.Distance) AS dd
+      FROM vreq v LEFT JOIN rd f ON f.Origin = v.Origin AND f.Dest = v.Dest
+                  LEFT JOIN rd b ON b.Origin = v.Dest AND b.Dest = v.Origin)
+SELECT request_id, Origin, Dest, coalesce(dd IS NOT NULL AND dd <> 0, false) AS found,
+  CASE WHEN dd IS NOT NULL AND dd <> 0 THEN dd ELSE 1000 END AS distance FROM x"""
+ORACLE["request_response_join"] = SERVE + """
+SELECT q.request_id, CASE WHEN r.status IS NOT NULL THEN 'success' ELSE 'timeout' END AS status,
+  r.status AS regression_status, r.predicted_delay_minutes
+FROM vreq q LEFT JOIN reg_first r ON q.request_id = r.request_id
+  AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 10 SECOND"""
+ORACLE["merged_response"] = SERVE + "SELECT * FROM merged"
+ORACLE["request_validation"] = SERVE + """
+SELECT request_id, UniqueCarrier, Origin, Dest, CRSElapsedTime,
+  coalesce(coalesce(length(UniqueCarrier), 0) > 0 AND coalesce(length(Origin), 0) > 0
+    AND coalesce(length(Dest), 0) > 0 AND Origin <> Dest AND Distance IS NOT NULL
+    AND DepHour IS NOT NULL AND CRSElapsedTime >= 10, false) AS is_valid
+FROM requests"""
+ORACLE["request_defaults_form"] = SERVE + """
+SELECT request_id, DepHour, DepMinute, CRSElapsedTime,
+  cast(floor(fmod((DepHour * 60 + DepMinute + CRSElapsedTime) / 60, 24)) AS INTEGER) AS CRSArrHour,
+  Distance, DepDelay, TaxiOut, Day FROM form_req"""
+ORACLE["arrival_hour"] = SERVE + """
+SELECT request_id, DepHour, DepMinute, CRSElapsedTime,
+  cast(floor(fmod((DepHour * 60 + DepMinute + CRSElapsedTime) / 60, 24)) AS INTEGER) AS CRSArrHour
+FROM form_req"""
+
+
+def _band_sql(m: str) -> str:
+    return f"""CASE WHEN {m} <= 15 THEN 'on_time' WHEN {m} <= 45 THEN 'delayed' ELSE 'critical' END"""
+
+
+def _risk_sql(p: str) -> str:
+    return f"CASE WHEN {p} < 25 THEN 'low' WHEN {p} < 50 THEN 'medium' ELSE 'high' END"
+
+
+ORACLE["answer_bands"] = SERVE + f"""
+SELECT request_id, status,
+  {_band_sql('predicted_delay_minutes')} AS severity,
+  CASE WHEN predicted_delay_minutes IS NULL THEN NULL ELSE
+    (CASE WHEN predicted_delay_minutes > 0 THEN '+' ELSE '' END)
+    || regexp_replace(cast(predicted_delay_minutes AS VARCHAR), '\\.0$', '') || ' min' END AS delay_text,
+  {_risk_sql('probability_over_30min')} AS risk_30,
+  {_risk_sql('probability_over_60min')} AS risk_60,
+  printf('%.1f%%', probability_over_30min) AS p30_text,
+  printf('%.1f%%', probability_over_60min) AS p60_text
+FROM merged"""
+
+
+def _half_up(x: str, d: int) -> str:
+    # HALF_UP on the shortest decimal text of the double
+    return f"cast(round(cast(cast({x} AS VARCHAR) AS DECIMAL(38, 20)), {d}) AS DOUBLE)"
+
+
+ORACLE["round_outputs"] = SERVE + f"""
+SELECT r.request_id, {_half_up('r.predicted_delay_minutes * cast(1.37 AS DOUBLE) - 20', 2)} AS predicted_delay_minutes,
+  {_half_up('c.probability_over_30min * cast(0.987 AS DOUBLE)', 1)} AS probability_over_30min,
+  {_half_up('c.probability_over_60min * cast(1.013 AS DOUBLE)', 1)} AS probability_over_60min
+FROM reg_resp r JOIN cls_resp c ON r.request_id = c.request_id"""
+ORACLE["json_requests"] = SERVE + """
+SELECT * EXCLUDE (ts) FROM vreq
+WHERE try_cast(regexp_extract(request_id, '([0-9]+)', 1) AS INTEGER) % 13 <> 0"""

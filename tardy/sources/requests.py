@@ -90,3 +90,21 @@ def classification_responses_view(spark: SparkSession, sf_dir: str) -> DataFrame
         ((e % 700).cast("double") / 10).alias("probability_over_60min"),
         F.lit("success").alias("status"),
     )
+
+
+def form_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw text fields as a request form sends them (departure time as
+    HH:MM, free-text numbers that may be empty, zero or trail junk)."""
+    e, u = F.col("event_id"), F.col("user_id")
+    dur = (30 + u % 300).cast("string")
+    return _clicks(spark, sf_dir).select(
+        F.concat(F.lit("r"), e.cast("string")).alias("request_id"),
+        F.concat(F.lpad((e % 24).cast("string"), 2, "0"), F.lit(":"),
+                 F.lpad((u % 60).cast("string"), 2, "0")).alias("dep_time"),
+        F.when(e % 17 == 0, F.lit("")).when(e % 19 == 0, F.concat(dur, F.lit("abc")))
+         .when(e % 23 == 0, F.lit("0")).otherwise(dur).alias("duration_text"),
+        F.when(e % 9 == 0, F.lit("n/a")).when(e % 11 == 0, F.concat(F.lit(" "), (e % 3000).cast("string")))
+         .otherwise((e % 3000).cast("string")).alias("distance_text"),
+        F.floor(F.col("value") - 20).cast("string").alias("dep_delay_text"),
+        (u % 30).cast("string").alias("taxi_out_text"),
+    )
