@@ -391,3 +391,308 @@ def q_json_requests(spark, sf):
     text = F.when(damaged, F.substring(body, 1, 20)).otherwise(body)
     decoded = req.select(text.alias("value")).select(R.parse_request_json(F.col("value")).alias("r"))
     return V.valid_requests(decoded.select("r.*"))
+
+
+# ---------------------------------------------------------------- models (MLlib)
+from pyspark import StorageLevel  # noqa: E402
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
+from .operators import metrics as MT  # noqa: E402
+from .operators import ml as M  # noqa: E402
+
+# Registered model queries keep the reference's forest sizes; boosted trees
+# use Spark's default size (20 iterations, depth 5) and a small tuning grid
+# so the whole registry stays cheap to check.  The library functions keep
+# the reference's numbers as their defaults (100 iterations, depth 7; grid
+# {20, 50, 100} x {4, 6}, 3 folds).
+QUERY_GBT = {"gbt_iter": 20, "gbt_depth": 5}
+QUERY_GRID = {"iters": (5, 10), "depths": (2, 3), "folds": 3}
+
+_MEMO: dict = {}
+
+
+def _memo(key, make):
+    if key not in _MEMO:
+        _MEMO[key] = make()
+    return _MEMO[key]
+
+
+def regression_model_table(spark, sf) -> DataFrame:
+    def make():
+        t = M.model_table(enriched_regression(spark, sf), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])
+        return t.persist(StorageLevel.MEMORY_AND_DISK)
+    return _memo(("reg_table", id(spark), sf), make)
+
+
+def regression_split(spark, sf):
+    return _memo(("reg_split", id(spark), sf),
+                 lambda: M.random_split(regression_model_table(spark, sf)))
+
+
+def regression_prepared(spark, sf, kind: str) -> M.Prepared:
+    numeric = K.NUMERIC_FEATURES if kind == "A" else K.NUMERIC_FEATURES_WITH_DEP
+    def make():
+        train, test = regression_split(spark, sf)
+        return M.prepare(train, test, numeric)
+    return _memo(("reg_prep", id(spark), sf, kind), make)
+
+
+def regression_fits(spark, sf, kind: str) -> list:
+    return _memo(("reg_fits", id(spark), sf, kind), lambda: M.train_compare(
+        regression_prepared(spark, sf, kind), M.regressors(**QUERY_GBT), kind))
+
+
+def classification_model_table(spark, sf) -> DataFrame:
+    labels = [f"DelayOver{t}" for t in K.LABEL_THRESHOLDS]
+    def make():
+        t = M.model_table(classification_table(spark, sf), K.NUMERIC_FEATURES, labels)
+        return t.persist(StorageLevel.MEMORY_AND_DISK)
+    return _memo(("cls_table", id(spark), sf), make)
+
+
+def classification_prepared(spark, sf) -> M.Prepared:
+    def make():
+        train, test = M.random_split(classification_model_table(spark, sf))
+        return M.prepare(train, test, K.NUMERIC_FEATURES)
+    return _memo(("cls_prep", id(spark), sf), make)
+
+
+def classification_fit(spark, sf, threshold: int):
+    label = f"DelayOver{threshold}"
+    def make():
+        prep = classification_prepared(spark, sf)
+        model = M.classifier(label).fit(prep.train)
+        return M.Fitted(label, "classification", model,
+                        M.classification_scores(model.transform(prep.test), label), 0, prep)
+    return _memo(("cls_fit", id(spark), sf, threshold), make)
+
+
+def _pick(fits, name):
+    return next(f for f in fits if f.name == name)
+
+
+@register("string_index")
+def q_string_index(spark, sf):
+    """Index of every category value (frequency order, ties by label)."""
+    table = regression_model_table(spark, sf)
+    parts = []
+    for c in K.CATEGORICAL_FEATURES:
+        model = M.StringIndexer(inputCol=c, outputCol="index", handleInvalid="keep",
+                                stringOrderType="frequencyDesc").fit(table)
+        counts = table.groupBy(F.col(c).alias(c)).agg(F.count(F.lit(1)).alias("count"))
+        parts.append(model.transform(counts).select(F.lit(c).alias("column"),
+                                                    F.col(c).alias("label"), "count", "index"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("one_hot")
+def q_one_hot(spark, sf):
+    prep = regression_prepared(spark, sf, "A")
+    cols = []
+    for c in K.CATEGORICAL_FEATURES:
+        arr = vector_to_array(F.col(f"{c}Vec"))
+        cols += [F.col(c), F.col(f"{c}Index").cast("int").alias(f"{c}Index"),
+                 F.size(arr).alias(f"{c}Width"), F.array_position(arr, 1.0).cast("int").alias(f"{c}Hot")]
+    return prep.test.select(*cols)
+
+
+@register("assemble")
+def q_assemble(spark, sf):
+    prep = regression_prepared(spark, sf, "B")
+    raw = vector_to_array(F.col(M.RAW_FEATURES))
+    return prep.test.select(F.size(raw).alias("width"),
+                            F.size(F.filter(raw, lambda v: v != 0)).alias("nonzero"),
+                            K.TARGET)
+
+
+def _scaled_columns(spark, sf, scaler: str):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
+    cols = ["Distance", "CRSElapsedTime", "DepHour", "AvgRouteDelay"]
+    table = regression_model_table(spark, sf).select(*cols)
+    asm = VectorAssembler(inputCols=cols, outputCol="v")
+    sc = (MinMaxScaler(inputCol="v", outputCol="s") if scaler == "minmax"
+          else StandardScaler(inputCol="v", outputCol="s", withMean=False, withStd=True))
+    out = Pipeline(stages=[asm, sc]).fit(table).transform(table)
+    arr = vector_to_array(F.col("s"))
+    return out.select(*cols, *[F.round(arr.getItem(i), 9).alias(f"{c}_scaled")
+                               for i, c in enumerate(cols)])
+
+
+@register("min_max_scale")
+def q_min_max_scale(spark, sf):
+    return _scaled_columns(spark, sf, "minmax")
+
+
+@register("standard_scale")
+def q_standard_scale(spark, sf):
+    return _scaled_columns(spark, sf, "standard")
+
+
+def _baseline_predictions(spark, sf) -> DataFrame:
+    """The statistics baseline: predict the carrier x hour average."""
+    return enriched_regression(spark, sf).select(
+        K.TARGET, F.col("AvgCarrierHourDelay").alias("prediction"))
+
+
+@register("regression_metrics")
+def q_regression_metrics(spark, sf):
+    m = MT.regression_metrics(_baseline_predictions(spark, sf))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("rmse", "mae", "r2")], "n")
+
+
+@register("residuals")
+def q_residuals(spark, sf):
+    res = M.with_residuals(_baseline_predictions(spark, sf))
+    return D.histogram(res, "Residual", 50)
+
+
+def _cls_baseline(spark, sf) -> DataFrame:
+    t = classification_table(spark, sf)
+    return t.select("DelayOver30", F.col("AvgCarrierHourDelay").alias("score"),
+                    F.when(F.col("AvgCarrierHourDelay") > 30, 1.0).otherwise(0.0).alias("prediction"))
+
+
+@register("auc_rank_sum")
+def q_auc_rank_sum(spark, sf):
+    a = MT.auc_rank_sum(_cls_baseline(spark, sf), "score", "DelayOver30")
+    return a.withColumn("auc", F.round("auc", 9))
+
+
+@register("accuracy")
+def q_accuracy(spark, sf):
+    return MT.accuracy(_cls_baseline(spark, sf), "DelayOver30").withColumn(
+        "accuracy", F.round("accuracy", 9))
+
+
+def _predictions(fitted: M.Fitted) -> DataFrame:
+    return fitted.model.transform(fitted.prepared.test).select(K.TARGET, "prediction")
+
+
+@register("regression_lr")
+def q_regression_lr(spark, sf):
+    return _predictions(_pick(regression_fits(spark, sf, "A"), "Linear Regression"))
+
+
+@register("regression_rf")
+def q_regression_rf(spark, sf):
+    return _predictions(_pick(regression_fits(spark, sf, "A"), "Random Forest"))
+
+
+@register("regression_gbt")
+def q_regression_gbt(spark, sf):
+    return _predictions(_pick(regression_fits(spark, sf, "A"), "GBT Regressor"))
+
+
+def _cls_predictions(spark, sf, t):
+    f = classification_fit(spark, sf, t)
+    label = f"DelayOver{t}"
+    return f.model.transform(f.prepared.test).select(
+        label, "prediction", F.round(M.positive_percent(), 6).alias("probability_pct"))
+
+
+@register("classification_30")
+def q_classification_30(spark, sf):
+    return _cls_predictions(spark, sf, 30)
+
+
+@register("classification_60")
+def q_classification_60(spark, sf):
+    return _cls_predictions(spark, sf, 60)
+
+
+@register("classification_metrics")
+def q_classification_metrics(spark, sf):
+    rows = []
+    for t in K.LABEL_THRESHOLDS:
+        f = classification_fit(spark, sf, t)
+        rows.append((f.name, float(f.metrics["auc"]), float(f.metrics["accuracy"])))
+    return spark.createDataFrame(rows, "label string, auc double, accuracy double")
+
+
+@register("model_leaderboard")
+def q_model_leaderboard(spark, sf):
+    fits = regression_fits(spark, sf, "A") + regression_fits(spark, sf, "B")
+    return M.leaderboard(spark, fits)
+
+
+@register("best_model")
+def q_best_model(spark, sf):
+    return M.best_model(q_model_leaderboard(spark, sf))
+
+
+@register("tune_gbt")
+def q_tune_gbt(spark, sf):
+    return M.tuning_frame(spark, M.tune_gbt(regression_prepared(spark, sf, "A"), **QUERY_GRID))
+
+
+@register("feature_importance")
+def q_feature_importance(spark, sf):
+    f = _pick(regression_fits(spark, sf, "A"), "Random Forest")
+    names = M.feature_names(f.prepared.train)
+    return M.feature_importance(spark, f.model, names, top=20)
+
+
+@register("residuals_sample")
+def q_residuals_sample(spark, sf):
+    best = M.pick_best(regression_fits(spark, sf, "A"))
+    return M.with_residuals(_predictions(best)).sample(False, 0.05, 42)
+
+
+def serving_models(spark, sf):
+    """Pipelines as they are saved for serving: A = boosted trees without
+    departure delay, B = linear regression with it; forests for 30/60."""
+    a = _pick(regression_fits(spark, sf, "A"), "GBT Regressor").pipeline()
+    b = _pick(regression_fits(spark, sf, "B"), "Linear Regression").pipeline()
+    c30 = classification_fit(spark, sf, 30).pipeline()
+    c60 = classification_fit(spark, sf, 60).pipeline()
+    return a, b, c30, c60
+
+
+@register("score_regression")
+def q_score_regression(spark, sf):
+    a, b, _, _ = serving_models(spark, sf)
+    feats = V.request_features(R.requests_view(spark, sf), serving_stats(spark, sf))
+    return M.score_regression(feats, a, b)
+
+
+@register("score_classification")
+def q_score_classification(spark, sf):
+    _, _, c30, c60 = serving_models(spark, sf)
+    feats = V.request_features(R.requests_view(spark, sf), serving_stats(spark, sf))
+    return M.score_classification(feats, c30, c60)
+
+
+# ---------------------------------------------------------------- sampling / splitting
+@register("sample_bernoulli")
+def q_sample_bernoulli(spark, sf):
+    return _eda(spark, sf).select("ArrDelay").sample(False, 0.1, 42)
+
+
+@register("sample_capped")
+def q_sample_capped(spark, sf, cap: int = 5000):
+    from .operators.sampling import capped_sample
+    return capped_sample(_eda(spark, sf).select("Distance", "ArrDelay"), cap)
+
+
+@register("random_split")
+def q_random_split(spark, sf):
+    train, test = M.random_split(_reg(spark, sf).select("UniqueCarrier", "ArrDelay"))
+    return (train.withColumn("split", F.lit("train"))
+                 .unionByName(test.withColumn("split", F.lit("test"))))
+
+
+@register("stable_split")
+def q_stable_split(spark, sf):
+    from .operators.sampling import stable_split_label
+    df = _reg(spark, sf)
+    return df.select("FlightNum", "TaxiOut", "AirTime", "ArrDelay",
+                     stable_split_label(["FlightNum", "TaxiOut", "AirTime"]).alias("split"))
+
+
+@register("first_rows")
+def q_first_rows(spark, sf):
+    return flights_view(spark, sf).limit(5)

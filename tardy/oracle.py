@@ -571,3 +571,49 @@ FROM reg_resp r JOIN cls_resp c ON r.request_id = c.request_id"""
 ORACLE["json_requests"] = SERVE + """
 SELECT * EXCLUDE (ts) FROM vreq
 WHERE try_cast(regexp_extract(request_id, '([0-9]+)', 1) AS INTEGER) % 13 <> 0"""
+
+# ---------------------------------------------------------------- model twins
+MODEL = with_ctes(FLIGHTS, DERIVED, REG, stats_ctes("reg"), enriched_cte("reg"),
+                  "mt AS (SELECT * FROM enriched WHERE DepHour IS NOT NULL)")
+
+ORACLE["string_index"] = MODEL + """
+, cnt AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS col, {c} AS label, count(*) AS count FROM mt GROUP BY {c}"
+    for c in ["UniqueCarrier", "Origin", "Dest", "TimeOfDay", "DistanceCategory"]) + """)
+SELECT col AS "column", label, count,
+  cast(row_number() OVER (PARTITION BY col ORDER BY count DESC, label ASC) - 1 AS DOUBLE) AS index
+FROM cnt"""
+
+_SCALE_COLS = ["Distance", "CRSElapsedTime", "DepHour", "AvgRouteDelay"]
+ORACLE["min_max_scale"] = MODEL + "SELECT " + ", ".join(_SCALE_COLS) + ", " + ", ".join(
+    f"round(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 "
+    f"ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END, 9) AS {c}_scaled"
+    for c in _SCALE_COLS) + " FROM mt"
+ORACLE["standard_scale"] = MODEL + "SELECT " + ", ".join(_SCALE_COLS) + ", " + ", ".join(
+    f"round(CASE WHEN stddev_samp({c}) OVER () = 0 THEN 0.0 "
+    f"ELSE {c} / stddev_samp({c}) OVER () END, 9) AS {c}_scaled"
+    for c in _SCALE_COLS) + " FROM mt"
+ORACLE["regression_metrics"] = MODEL + """
+, e AS (SELECT ArrDelay AS y, ArrDelay - AvgCarrierHourDelay AS err FROM enriched)
+SELECT round(sqrt(sum(err * err) / count(*)), 6) AS rmse, round(sum(abs(err)) / count(*), 6) AS mae,
+  round(1 - sum(err * err) / (var_pop(y) * count(*)), 6) AS r2, count(*) AS n FROM e"""
+ORACLE["residuals"] = MODEL.rstrip("\n") + _hist_sql(
+    "SELECT 'Residual' AS variable, ArrDelay - AvgCarrierHourDelay AS x FROM enriched", 50) + "SELECT * FROM h"
+_CLS_BASE = with_ctes(FLIGHTS, DERIVED, CLS, """
+b AS (SELECT DelayOver30 AS y, AvgCarrierHourDelay AS s,
+        CASE WHEN AvgCarrierHourDelay > 30 THEN cast(1 AS DOUBLE) ELSE cast(0 AS DOUBLE) END AS p FROM cls)""")
+ORACLE["auc_rank_sum"] = _CLS_BASE + """
+, ps AS (SELECT s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM b GROUP BY s),
+r AS (SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+      FROM ps)
+SELECT round(sum(pos * (nb + neg / cast(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 9) AS auc,
+  cast(sum(pos) AS BIGINT) AS positives, cast(sum(neg) AS BIGINT) AS negatives FROM r"""
+ORACLE["accuracy"] = _CLS_BASE + """
+SELECT round(avg(CASE WHEN cast(y AS DOUBLE) = p THEN cast(1 AS DOUBLE) ELSE cast(0 AS DOUBLE) END), 9) AS accuracy,
+  count(*) AS n FROM b"""
+ORACLE["stable_split"] = BASE + """
+SELECT FlightNum, TaxiOut, AirTime, ArrDelay,
+  CASE WHEN ((cast(coalesce(FlightNum, 0) AS BIGINT) + cast(coalesce(TaxiOut, 0) AS BIGINT) * 3
+              + cast(coalesce(AirTime, 0) AS BIGINT) * 5) % 10 + 10) % 10 < 8
+       THEN 'train' ELSE 'test' END AS split
+FROM reg"""
