@@ -696,3 +696,68 @@ def q_stable_split(spark, sf):
 @register("first_rows")
 def q_first_rows(spark, sf):
     return flights_view(spark, sf).limit(5)
+
+
+# ---------------------------------------------------------------- streaming (replayed)
+from .streaming import io as SIO  # noqa: E402
+from .streaming import merge as SM  # noqa: E402
+from .streaming import replay as RP  # noqa: E402
+from .streaming import scoring as SS  # noqa: E402
+
+
+def _response_tables(spark, sf):
+    return {"requests": R.requests_view(spark, sf),
+            "regression": R.regression_responses_view(spark, sf),
+            "classification": R.classification_responses_view(spark, sf)}
+
+
+@register("stream_merge_responses")
+def q_stream_merge_responses(spark, sf):
+    return RP.replay(spark, _response_tables(spark, sf),
+                     lambda s: SM.merge_response_streams(s["requests"], s["regression"],
+                                                         s["classification"]),
+                     event_time=True)
+
+
+@register("stream_single_response")
+def q_stream_single_response(spark, sf):
+    t = _response_tables(spark, sf)
+    del t["classification"]
+    return RP.replay(spark, t, lambda s: SM.single_response_stream(s["requests"], s["regression"]),
+                     event_time=True)
+
+
+@register("stream_score_regression")
+def q_stream_score_regression(spark, sf):
+    a, b, _, _ = serving_models(spark, sf)
+    stats = serving_stats(spark, sf)
+    return RP.replay(spark, {"requests": R.requests_view(spark, sf)},
+                     lambda s: SS.score_regression_stream(s["requests"], stats, a, b))
+
+
+@register("stream_score_classification")
+def q_stream_score_classification(spark, sf):
+    _, _, c30, c60 = serving_models(spark, sf)
+    stats = serving_stats(spark, sf)
+    return RP.replay(spark, {"requests": R.requests_view(spark, sf)},
+                     lambda s: SS.score_classification_stream(s["requests"], stats, c30, c60))
+
+
+@register("stream_fan_out")
+def q_stream_fan_out(spark, sf):
+    """Each valid request is sent to both input topics (one source, one
+    micro-batch, two sinks)."""
+    root = RP._scratch(spark)
+    req = R.requests_view(spark, sf)
+    req.write.json(f"{root}/in")
+    stream = V.valid_requests(spark.readStream.schema(req.schema).json(f"{root}/in"))
+    topics = ["input-regression", "input-classification"]
+
+    def writer(topic):
+        def w(batch, _bid):
+            SIO.to_messages(batch).write.mode("append").parquet(f"{root}/out/topic={topic}")
+        return w
+    q = (SS.fan_out(stream, {t: writer(t) for t in topics})
+           .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
