@@ -473,18 +473,22 @@ def _pick(fits, name):
 
 @register("string_index")
 def q_string_index(spark, sf):
-    """Index of every category value (frequency order, ties by label)."""
+    """Index of every category value (frequency order, ties by label): one
+    multi-column indexer fit (one pass), then the fitted model indexes the
+    distinct values of each column with their counts."""
     table = regression_model_table(spark, sf)
-    parts = []
-    for c in K.CATEGORICAL_FEATURES:
-        model = M.StringIndexer(inputCol=c, outputCol="index", handleInvalid="keep",
-                                stringOrderType="frequencyDesc").fit(table)
-        counts = table.groupBy(F.col(c).alias(c)).agg(F.count(F.lit(1)).alias("count"))
-        parts.append(model.transform(counts).select(F.lit(c).alias("column"),
-                                                    F.col(c).alias("label"), "count", "index"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    cats = K.CATEGORICAL_FEATURES
+    model = M.StringIndexer(inputCols=cats, outputCols=[f"{c}_index" for c in cats],
+                            handleInvalid="keep", stringOrderType="frequencyDesc").fit(table)
+    out = None
+    for c in cats:
+        counts = table.groupBy(c).agg(F.count(F.lit(1)).alias("count"))
+        # other inputs null -> the model gives them the spare index; dropped below
+        filled = counts.select(*[F.col(x) if x == c else F.lit(None).cast("string").alias(x)
+                                 for x in cats], "count")
+        idx = model.transform(filled).select(F.lit(c).alias("column"), F.col(c).alias("label"),
+                                             "count", F.col(f"{c}_index").alias("index"))
+        out = idx if out is None else out.unionByName(idx)
     return out
 
 

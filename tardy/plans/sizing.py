@@ -1,15 +1,17 @@
 """Broadcast only what has a proven size; cut lineage reliably.
 
 A derived table (an aggregate over the trip table) has no trustworthy size
-estimate before it runs.  ``bounded_broadcast`` materialises it with a
-reliable checkpoint (shared ``spark.checkpoint.dir``; survives executor
-loss), counts its rows, and hints a broadcast only when the count is below
+estimate before it runs.  ``bounded_broadcast`` materialises it as a
+parquet table in the shared ``spark.checkpoint.dir`` folder (survives
+executor loss), counts its rows, and hints a broadcast only when the count is below
 the bound.  Otherwise the join stays a shuffle join, which AQE may still
 turn into a broadcast from real shuffle statistics, and splits if skewed.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,9 +24,14 @@ DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint: the result no longer depends on lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a parquet table under the shared checkpoint folder
+    and read it back: one job, the result no longer depends on lineage
+    (survives lost executors), and the scan carries real file sizes for
+    the planner.  (An eager RDD checkpoint would compute ``df`` twice.)"""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
