@@ -332,8 +332,10 @@ def q_request_features(spark, sf):
 
 @register("distance_lookup")
 def q_distance_lookup(spark, sf):
+    from .plans.sizing import bounded_broadcast
     req = V.valid_requests(R.requests_view(spark, sf)).select("request_id", "Origin", "Dest")
-    dist = S.route_distances(flights_view(spark, sf))
+    # one row per route: materialised, broadcast only below the row bound
+    dist = bounded_broadcast(S.route_distances(flights_view(spark, sf)))
     return V.distance_lookup(req, dist)
 
 
@@ -697,6 +699,21 @@ def q_stable_split(spark, sf):
                      stable_split_label(["FlightNum", "TaxiOut", "AirTime"]).alias("split"))
 
 
+@register("model_input")
+def q_model_input(spark, sf):
+    """Model columns in a fixed order (categoricals, numerics, label)."""
+    return M.model_table(enriched_regression(spark, sf), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])
+
+
+@register("request_ids")
+def q_request_ids(spark, sf):
+    """Form submissions tagged with fresh ids, written once so the ids stay
+    fixed, then sent on as requests."""
+    from .plans.sizing import materialize
+    tagged = materialize(V.tag_requests(R.form_view(spark, sf).drop("request_id")))
+    return tagged.select("request_id", "dep_time", "duration_text")
+
+
 @register("first_rows")
 def q_first_rows(spark, sf):
     return flights_view(spark, sf).limit(5)

@@ -19,6 +19,13 @@ DEFAULTED = ["DayOfWeek", "Month", "Day", "DepHour", "Distance", "CRSElapsedTime
              "model_type"]
 
 
+def tag_requests(df: DataFrame) -> DataFrame:
+    """Give every incoming request a fresh random id.  uuid() is
+    non-deterministic: persist or write the tagged table before using it
+    twice (a recomputed task would draw new ids)."""
+    return df.withColumn("request_id", F.expr("uuid()"))
+
+
 def valid_requests(df: DataFrame) -> DataFrame:
     """Messages without a request id (null or empty) are skipped."""
     return df.filter(F.coalesce(F.length("request_id"), F.lit(0)) > 0)

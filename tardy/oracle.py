@@ -617,3 +617,10 @@ SELECT FlightNum, TaxiOut, AirTime, ArrDelay,
               + cast(coalesce(AirTime, 0) AS BIGINT) * 5) % 10 + 10) % 10 < 8
        THEN 'train' ELSE 'test' END AS split
 FROM reg"""
+
+ORACLE["model_input"] = MODEL + """
+SELECT UniqueCarrier, Origin, Dest, TimeOfDay, DistanceCategory,
+  DayOfWeek, Month, Day, DepHour, IsWeekend, IsRushHour, Distance, CRSElapsedTime, CRSArrHour,
+  AvgCarrierDelay, AvgHourDelay, AvgRouteDelay, AvgOriginDelay, AvgDestDelay, AvgCarrierHourDelay,
+  CarrierFlightCount, RouteFlightCount, DepDelay, TaxiOut, ArrDelay
+FROM mt"""
