@@ -624,3 +624,7 @@ SELECT UniqueCarrier, Origin, Dest, TimeOfDay, DistanceCategory,
   AvgCarrierDelay, AvgHourDelay, AvgRouteDelay, AvgOriginDelay, AvgDestDelay, AvgCarrierHourDelay,
   CarrierFlightCount, RouteFlightCount, DepDelay, TaxiOut, ArrDelay
 FROM mt"""
+
+# stream twins: the replayed streams must give exactly the batch answers
+ORACLE["stream_merge_responses"] = ORACLE["merged_response"]
+ORACLE["stream_single_response"] = ORACLE["request_response_join"]
