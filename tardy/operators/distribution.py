@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.sizing import bounded_broadcast
+from ..plans.sizing import bounded_broadcast, materialize
 
 
 def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -25,15 +25,35 @@ def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
+def _one_row_scalar(row: DataFrame) -> Column:
+    """A one-row aggregate as a struct-valued scalar subquery.  The row is
+    materialised first (one job, a tiny table in the shared checkpoint
+    folder), so each reference reads that table instead of re-running the
+    aggregate over the data."""
+    return materialize(row.select(F.struct(*row.columns).alias("s"))).scalar()
+
+
+def _range_stats(vals: DataFrame) -> Column:
+    """min, max, count and sample std of ``x`` (one pass, one row)."""
+    return _one_row_scalar(vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                    F.count(F.lit(1)).alias("n"),
+                                    F.stddev_samp("x").alias("sd")))
+
+
+def _values(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
+
+
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """(variable, bin, bin_lo, bin_hi, count) for all bins, empty ones included."""
-    vals = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    lo = vals.select(F.min("x")).scalar()
-    hi = vals.select(F.max("x")).scalar()
+    vals = _values(df, column)
+    st = _range_stats(vals)
+    lo, hi = st.getField("lo"), st.getField("hi")
     counts = (vals.groupBy(_bin_index(F.col("x"), lo, hi, bins).alias("bin"))
                   .agg(F.count(F.lit(1)).alias("count")))
     all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     width = (hi - lo) / bins
+    # at most ``bins`` rows on the build side
     return (all_bins.join(F.broadcast(counts), "bin", "left")
                     .select(F.lit(column).alias("variable"), "bin",
                             (lo + F.col("bin") * width).alias("bin_lo"),
@@ -47,7 +67,7 @@ def density_histogram(df: DataFrame, column: str = "ArrDelay", bins: int = 100,
     count / (n * width), so the bars integrate to one."""
     kept = df.filter(F.col(column).between(lo_keep, hi_keep))
     h = histogram(kept, column, bins)
-    n = kept.select(F.count(F.col(column))).scalar()
+    n = F.sum("count").over(Window.partitionBy())  # bins rows only
     return h.withColumn("density", F.try_divide(F.col("count"),
                                                 n * (F.col("bin_hi") - F.col("bin_lo"))))
 
@@ -61,13 +81,10 @@ def kde_curve(df: DataFrame, column: str = "ArrDelay", points: int = 100) -> Dat
     grid (a generator of bounded width, not a join) and a second partial
     aggregate sums per grid point.
     """
-    vals = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
-    stats = vals.agg(F.min("x").alias("lo"), F.max("x").alias("hi"),
-                     F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("sd"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
-    n = stats.select("n").scalar()
-    bw = stats.select(F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).scalar()
+    vals = _values(df, column)
+    st = _range_stats(vals)
+    lo, hi, n = st.getField("lo"), st.getField("hi"), st.getField("n")
+    bw = st.getField("sd") * F.pow(n.cast("double"), F.lit(-0.2))
     step = (hi - lo) / (points - 1)
     distinct = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     contrib = (distinct.select("x", "c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"))
@@ -87,33 +104,41 @@ def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,
 
     Pass 1: exact percentiles per group (``percentile`` keeps a count per
     distinct value and merges partial buffers).  Pass 2: join the small
-    per-group fences back and take conditional min/max/count, again partial
-    aggregates.  The fence table has one row per group.
+    per-group fences back (broadcast only below the measured row bound) and
+    take conditional min/max/count, again partial aggregates.  Without a
+    group the same plan runs on one constant key.
     """
     data = df
     if lo_keep is not None:
         data = data.filter(F.col(column).between(lo_keep, hi_keep))
     keys = [group] if group else []
-    x = F.col(column).cast("double")
-    data = data.select(*keys, x.alias("x")).filter(F.col("x").isNotNull())
-    q = data.groupBy(*keys).agg(
-        F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.5).alias("median"),
-        F.percentile("x", 0.75).alias("q3"), F.count(F.lit(1)).alias("n"))
+    data = data.select(*keys, F.col(column).cast("double").alias("x")) \
+               .filter(F.col("x").isNotNull())
+    quart = [F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.5).alias("median"),
+             F.percentile("x", 0.75).alias("q3"), F.count(F.lit(1)).alias("n")]
+    cols = ["q1", "median", "q3", "iqr", "n", "whisker_lo", "whisker_hi", "outliers"]
+
+    def whiskers(lo: Column, hi: Column):
+        inside = F.col("x").between(lo, hi)
+        return [F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
+                F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
+                F.count_if(~inside).alias("outliers")]
+
+    if not group:
+        # one struct-valued scalar subquery for the box; whiskers in one pass
+        box = _one_row_scalar(data.agg(*quart))
+        q1, q3 = box.getField("q1"), box.getField("q3")
+        iqr = q3 - q1
+        w = data.agg(*whiskers(q1 - 1.5 * iqr, q3 + 1.5 * iqr))
+        return w.select(q1.alias("q1"), box.getField("median").alias("median"), q3.alias("q3"),
+                        iqr.alias("iqr"), box.getField("n").alias("n"),
+                        "whisker_lo", "whisker_hi", "outliers")
+    q = data.groupBy(group).agg(*quart)
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("fence_lo", F.col("q1") - 1.5 * F.col("iqr")) \
          .withColumn("fence_hi", F.col("q3") + 1.5 * F.col("iqr"))
-    inside = F.col("x").between(F.col("fence_lo"), F.col("fence_hi"))
-    whisker_aggs = [F.min(F.when(inside, F.col("x"))).alias("whisker_lo"),
-                    F.max(F.when(inside, F.col("x"))).alias("whisker_hi"),
-                    F.count_if(~inside).alias("outliers")]
-    cols = ["q1", "median", "q3", "iqr", "n", "whisker_lo", "whisker_hi", "outliers"]
-    if not group:
-        fenced = data.select("x", F.lit(q.select("fence_lo").scalar()).alias("fence_lo"),
-                             F.lit(q.select("fence_hi").scalar()).alias("fence_hi"))
-        w = fenced.agg(*whisker_aggs)
-        return q.select(*cols[:5], *[w.select(c).scalar().alias(c) for c in cols[5:]])
-    # one fence row per group: broadcast only if the measured count fits
+    # one fence row per group: broadcast only below the measured row bound
     fences = bounded_broadcast(q)
     w = (data.join(fences.select(group, "fence_lo", "fence_hi"), group)
-             .groupBy(group).agg(*whisker_aggs))
+             .groupBy(group).agg(*whiskers(F.col("fence_lo"), F.col("fence_hi"))))
     return fences.join(w, group).select(group, *cols)
