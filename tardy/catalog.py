@@ -494,24 +494,36 @@ def q_string_index(spark, sf):
     return out
 
 
+def _encoded_model_table(spark, sf) -> DataFrame:
+    """Indexer, encoder and assembler fitted on the whole model table (the
+    stages every model of the comparison shares)."""
+    from pyspark.ml import Pipeline
+    table = regression_model_table(spark, sf)
+    stages = M.feature_stages(K.NUMERIC_FEATURES_WITH_DEP)[:3]
+    return Pipeline(stages=stages).fit(table).transform(table)
+
+
 @register("one_hot")
 def q_one_hot(spark, sf):
-    prep = regression_prepared(spark, sf, "A")
+    """Per row and categorical column: index, vector width, hot slot
+    (1-based; 0 = all-zero vector for an unseen value)."""
+    enc = _encoded_model_table(spark, sf)
     cols = []
     for c in K.CATEGORICAL_FEATURES:
         arr = vector_to_array(F.col(f"{c}Vec"))
         cols += [F.col(c), F.col(f"{c}Index").cast("int").alias(f"{c}Index"),
-                 F.size(arr).alias(f"{c}Width"), F.array_position(arr, 1.0).cast("int").alias(f"{c}Hot")]
-    return prep.test.select(*cols)
+                 F.size(arr).alias(f"{c}Width"),
+                 F.array_position(arr, 1.0).cast("int").alias(f"{c}Hot")]
+    return enc.select(*cols)
 
 
 @register("assemble")
 def q_assemble(spark, sf):
-    prep = regression_prepared(spark, sf, "B")
+    """Assembled vector width and number of non-zero slots per row."""
     raw = vector_to_array(F.col(M.RAW_FEATURES))
-    return prep.test.select(F.size(raw).alias("width"),
-                            F.size(F.filter(raw, lambda v: v != 0)).alias("nonzero"),
-                            K.TARGET)
+    return _encoded_model_table(spark, sf).select(
+        F.size(raw).alias("width"), F.size(F.filter(raw, lambda v: v != 0)).alias("nonzero"),
+        K.TARGET)
 
 
 def _scaled_columns(spark, sf, scaler: str):

@@ -628,3 +628,27 @@ FROM mt"""
 # stream twins: the replayed streams must give exactly the batch answers
 ORACLE["stream_merge_responses"] = ORACLE["merged_response"]
 ORACLE["stream_single_response"] = ORACLE["request_response_join"]
+
+_CATS = ['UniqueCarrier', 'Origin', 'Dest', 'TimeOfDay', 'DistanceCategory']
+_NUMS_B = ['DayOfWeek', 'Month', 'Day', 'DepHour', 'IsWeekend', 'IsRushHour', 'Distance', 'CRSElapsedTime', 'CRSArrHour', 'AvgCarrierDelay', 'AvgHourDelay', 'AvgRouteDelay', 'AvgOriginDelay', 'AvgDestDelay', 'AvgCarrierHourDelay', 'CarrierFlightCount', 'RouteFlightCount', 'DepDelay', 'TaxiOut']
+
+
+def _index_ctes() -> str:
+    parts = []
+    for c in _CATS:
+        parts.append(
+            f"i_{c} AS (SELECT {c} AS label, cast(row_number() OVER (ORDER BY count(*) DESC, {c} ASC) - 1 AS INTEGER) AS idx, "
+            f"cast(count(*) OVER () AS INTEGER) AS width FROM mt GROUP BY {c})")
+    return ",\n".join(parts)
+
+
+def _joined_index() -> str:
+    return " ".join(f"JOIN i_{c} ON mt.{c} = i_{c}.label" for c in _CATS)
+
+
+ORACLE["one_hot"] = MODEL + ", " + _index_ctes() + "\nSELECT " + ", ".join(
+    f"mt.{c}, i_{c}.idx AS {c}Index, i_{c}.width AS {c}Width, i_{c}.idx + 1 AS {c}Hot" for c in _CATS
+) + " FROM mt " + _joined_index()
+ORACLE["assemble"] = MODEL + ", " + _index_ctes() + "\nSELECT " + " + ".join(
+    f"i_{c}.width" for c in _CATS) + f" + {len(_NUMS_B)} AS width, {len(_CATS)} + " + " + ".join(
+    f"(CASE WHEN mt.{n} <> 0 THEN 1 ELSE 0 END)" for n in _NUMS_B) + " AS nonzero, mt.ArrDelay FROM mt " + _joined_index()
