@@ -414,6 +414,10 @@ _MEMO: dict = {}
 
 
 def _memo(key, make):
+    """Fitted models and persisted model tables, per running application
+    (a new session never sees frames of a stopped one)."""
+    spark = key[1]
+    key = (key[0], spark.sparkContext.applicationId) + tuple(key[2:])
     if key not in _MEMO:
         _MEMO[key] = make()
     return _MEMO[key]
@@ -423,11 +427,11 @@ def regression_model_table(spark, sf) -> DataFrame:
     def make():
         t = M.model_table(enriched_regression(spark, sf), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])
         return t.persist(StorageLevel.MEMORY_AND_DISK)
-    return _memo(("reg_table", id(spark), sf), make)
+    return _memo(("reg_table", spark, sf), make)
 
 
 def regression_split(spark, sf):
-    return _memo(("reg_split", id(spark), sf),
+    return _memo(("reg_split", spark, sf),
                  lambda: M.random_split(regression_model_table(spark, sf)))
 
 
@@ -436,11 +440,11 @@ def regression_prepared(spark, sf, kind: str) -> M.Prepared:
     def make():
         train, test = regression_split(spark, sf)
         return M.prepare(train, test, numeric)
-    return _memo(("reg_prep", id(spark), sf, kind), make)
+    return _memo(("reg_prep", spark, sf, kind), make)
 
 
 def regression_fits(spark, sf, kind: str) -> list:
-    return _memo(("reg_fits", id(spark), sf, kind), lambda: M.train_compare(
+    return _memo(("reg_fits", spark, sf, kind), lambda: M.train_compare(
         regression_prepared(spark, sf, kind), M.regressors(**QUERY_GBT), kind))
 
 
@@ -449,14 +453,14 @@ def classification_model_table(spark, sf) -> DataFrame:
     def make():
         t = M.model_table(classification_table(spark, sf), K.NUMERIC_FEATURES, labels)
         return t.persist(StorageLevel.MEMORY_AND_DISK)
-    return _memo(("cls_table", id(spark), sf), make)
+    return _memo(("cls_table", spark, sf), make)
 
 
 def classification_prepared(spark, sf) -> M.Prepared:
     def make():
         train, test = M.random_split(classification_model_table(spark, sf))
         return M.prepare(train, test, K.NUMERIC_FEATURES)
-    return _memo(("cls_prep", id(spark), sf), make)
+    return _memo(("cls_prep", spark, sf), make)
 
 
 def classification_fit(spark, sf, threshold: int):
@@ -466,7 +470,7 @@ def classification_fit(spark, sf, threshold: int):
         model = M.classifier(label).fit(prep.train)
         return M.Fitted(label, "classification", model,
                         M.classification_scores(model.transform(prep.test), label), 0, prep)
-    return _memo(("cls_fit", id(spark), sf, threshold), make)
+    return _memo(("cls_fit", spark, sf, threshold), make)
 
 
 def _pick(fits, name):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import exclusive_prefix_sums
+from ..plans.sizing import materialize
 
 
 def regression_metrics(df: DataFrame, label: str = "ArrDelay",
@@ -36,8 +37,10 @@ def accuracy(df: DataFrame, label: str, prediction: str = "prediction") -> DataF
 
 def auc_rank_sum(df: DataFrame, score: str, label: str) -> DataFrame:
     s = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
-    per_score = s.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"),
-                                   F.count_if(F.col("y") == 0).alias("neg"))
+    # one row per distinct score, stored once: both branches of the prefix
+    # sum read it instead of recomputing the lineage
+    per_score = materialize(s.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"),
+                                               F.count_if(F.col("y") == 0).alias("neg")))
     ranked = exclusive_prefix_sums(per_score, "s", ["neg"])
     part = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
     tot = ranked.agg(F.sum(part).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
