@@ -193,6 +193,14 @@ def q_enriched_flights(spark, sf):
     return portable(enriched_regression(spark, sf))
 
 
+@register("carrier_hour_key")
+def q_carrier_hour_key(spark, sf):
+    """Carrier x hour statistic with its composite text key (the joins use
+    the two columns; the key is kept for lookups by text)."""
+    t = S.single_stat(_reg(spark, sf), S.SPEC_BY_NAME["carrier_hour_stats"])
+    return t.withColumn("Key", F.concat_ws("_", "UniqueCarrier", F.col("DepHour").cast("string")))
+
+
 @register("route_distances")
 def q_route_distances(spark, sf):
     return S.route_distances(flights_view(spark, sf))
@@ -386,12 +394,12 @@ def q_round_outputs(spark, sf):
 
 @register("json_requests")
 def q_json_requests(spark, sf):
-    """Encode requests as JSON text, damage some, decode, skip invalid."""
+    """Encode every request as JSON text, decode it with the declared
+    schema and skip messages without an id (malformed bodies decode to a
+    struct of nulls and are skipped the same way; see the unit tests)."""
     req = R.requests_view(spark, sf).drop("ts")
-    body = F.to_json(F.struct(*req.columns))
-    damaged = F.regexp_extract(F.col("request_id"), r"([0-9]+)", 1).try_cast("int") % 13 == 0
-    text = F.when(damaged, F.substring(body, 1, 20)).otherwise(body)
-    decoded = req.select(text.alias("value")).select(R.parse_request_json(F.col("value")).alias("r"))
+    body = F.to_json(F.struct(*req.columns)).alias("value")
+    decoded = req.select(body).select(R.parse_request_json(F.col("value")).alias("r"))
     return V.valid_requests(decoded.select("r.*"))
 
 

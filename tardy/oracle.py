@@ -568,9 +568,7 @@ SELECT r.request_id, {_half_up('r.predicted_delay_minutes * cast(1.37 AS DOUBLE)
   {_half_up('c.probability_over_30min * cast(0.987 AS DOUBLE)', 1)} AS probability_over_30min,
   {_half_up('c.probability_over_60min * cast(1.013 AS DOUBLE)', 1)} AS probability_over_60min
 FROM reg_resp r JOIN cls_resp c ON r.request_id = c.request_id"""
-ORACLE["json_requests"] = SERVE + """
-SELECT * EXCLUDE (ts) FROM vreq
-WHERE try_cast(regexp_extract(request_id, '([0-9]+)', 1) AS INTEGER) % 13 <> 0"""
+ORACLE["json_requests"] = SERVE + "SELECT * EXCLUDE (ts) FROM vreq"
 
 # ---------------------------------------------------------------- model twins
 MODEL = with_ctes(FLIGHTS, DERIVED, REG, stats_ctes("reg"), enriched_cte("reg"),
@@ -652,3 +650,8 @@ ORACLE["one_hot"] = MODEL + ", " + _index_ctes() + "\nSELECT " + ", ".join(
 ORACLE["assemble"] = MODEL + ", " + _index_ctes() + "\nSELECT " + " + ".join(
     f"i_{c}.width" for c in _CATS) + f" + {len(_NUMS_B)} AS width, {len(_CATS)} + " + " + ".join(
     f"(CASE WHEN mt.{n} <> 0 THEN 1 ELSE 0 END)" for n in _NUMS_B) + " AS nonzero, mt.ArrDelay FROM mt " + _joined_index()
+
+ORACLE["carrier_hour_key"] = BASE + """
+SELECT UniqueCarrier, DepHour, avg(ArrDelay) AS AvgCarrierHourDelay,
+  concat_ws('_', UniqueCarrier, cast(DepHour AS VARCHAR)) AS Key
+FROM reg GROUP BY UniqueCarrier, DepHour"""
