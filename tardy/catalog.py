@@ -116,8 +116,7 @@ def q_range_filter(spark, sf):
 # ---------------------------------------------------------------- derived columns
 @register("derive_features")
 def q_derive_features(spark, sf):
-    return (C.clean_flights(flights_view(spark, sf))
-            .withColumns(X.calendar_and_time_features())
+    return (X.with_calendar_and_time(C.clean_flights(flights_view(spark, sf)))
             .select("DepTime", "ArrTime", "CRSArrTime", "DepHour", "ArrHour", "CRSArrHour",
                     "IsWeekend", "TaxiTotal", "ScheduledFlightTime", "ActualFlightTime",
                     "FlightTimeDiff"))

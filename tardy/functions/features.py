@@ -86,11 +86,11 @@ def day_name(day_of_week="DayOfWeek") -> Column:
 
 
 def calendar_and_time_features() -> dict[str, Column]:
-    """Derived trip columns, in the order they are added (one projection)."""
+    """Derived trip columns (Date must already be parsed, see
+    ``with_calendar_and_time``)."""
     return {
-        "Date": parse_date("Date"),
-        "Month": F.month(parse_date("Date")),
-        "Day": F.dayofmonth(parse_date("Date")),
+        "Month": F.month("Date"),
+        "Day": F.dayofmonth("Date"),
         "DepHour": hour_of("DepTime"),
         "ArrHour": hour_of("ArrTime"),
         "IsWeekend": is_weekend("DayOfWeek"),
@@ -102,6 +102,13 @@ def calendar_and_time_features() -> dict[str, Column]:
     }
 
 
+def with_calendar_and_time(df):
+    """Parse the date once (its own projection: Spark does not inline a
+    non-trivial aliased expression into several uses), then derive the
+    calendar, hour and duration columns from it."""
+    return df.withColumn("Date", parse_date("Date")).withColumns(calendar_and_time_features())
+
+
 def band_features() -> dict[str, Column]:
     return {
         "TimeOfDay": time_of_day("DepHour"),

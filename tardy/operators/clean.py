@@ -42,7 +42,7 @@ def clean_eda(df: DataFrame) -> DataFrame:
 
 def clean_regression(df: DataFrame) -> DataFrame:
     """Regression table: derived columns, nulls dropped before statistics."""
-    out = clean_flights(df).withColumns(X.calendar_and_time_features())
+    out = X.with_calendar_and_time(clean_flights(df))
     out = out.dropna(subset=["ArrDelay", "DepDelay", "UniqueCarrier", "Origin", "Dest"])
     return out.withColumns(X.band_features())
 
@@ -50,8 +50,7 @@ def clean_regression(df: DataFrame) -> DataFrame:
 def clean_classification_base(df: DataFrame) -> DataFrame:
     """Classification table before statistics: only the status filter and
     derived columns; null delays stay (statistics count them)."""
-    return clean_flights(df).withColumns(X.calendar_and_time_features()) \
-                            .withColumns(X.band_features())
+    return X.with_calendar_and_time(clean_flights(df)).withColumns(X.band_features())
 
 
 def model_input(df: DataFrame, numeric: list[str], label_cols: list[str]) -> DataFrame:
