@@ -261,6 +261,14 @@ def q_summary_stats(spark, sf):
     return E.summary_stats(_eda(spark, sf)).withColumn("stddev", F.round("stddev", 6))
 
 
+@register("summary_table")
+def q_summary_table(spark, sf):
+    """``DataFrame.summary()`` as a user calls it (count, mean, stddev, min,
+    approximate 25/50/75 %, max; values as text).  ``summary_stats`` is the
+    exact, typed form."""
+    return C.project_existing(_eda(spark, sf), K.SUMMARY_COLUMNS).summary()
+
+
 @register("correlation_matrix")
 def q_correlation_matrix(spark, sf):
     return E.correlation_matrix(_eda(spark, sf)).withColumn("corr", F.round("corr", 6))
