@@ -387,6 +387,30 @@ def q_answer_bands(spark, sf):
     return V.answer_bands(q_merged_response(spark, sf))
 
 
+@register("severity_band")
+def q_severity_band(spark, sf):
+    """Severity band and signed text of every regression answer."""
+    m = q_merged_response(spark, sf).filter(F.col("regression_status").isNotNull())
+    return V.answer_bands(m).select("request_id", "severity", "delay_text")
+
+
+@register("risk_band")
+def q_risk_band(spark, sf):
+    """Risk bands and percent texts of every classification answer."""
+    m = q_merged_response(spark, sf).filter(F.col("classification_status").isNotNull())
+    return V.answer_bands(m).select("request_id", "risk_30", "risk_60", "p30_text", "p60_text")
+
+
+@register("error_rows")
+def q_error_rows(spark, sf):
+    """Requests whose (first, in-time) answer reports an error; such an
+    answer still counts as an answer in the merge."""
+    m = q_merged_response(spark, sf)
+    return m.filter((F.col("regression_status") == "error")
+                    | (F.col("classification_status") == "error")).select(
+        "request_id", "status", "regression_status", "classification_status")
+
+
 @register("round_outputs")
 def q_round_outputs(spark, sf):
     reg = R.regression_responses_view(spark, sf).withColumn(
@@ -661,9 +685,21 @@ def q_best_model(spark, sf):
     return M.best_model(q_model_leaderboard(spark, sf))
 
 
+def _tuning(spark, sf) -> dict:
+    return _memo(("tune", spark, sf),
+                 lambda: M.tune_gbt(regression_prepared(spark, sf, "A"), **QUERY_GRID))
+
+
 @register("tune_gbt")
 def q_tune_gbt(spark, sf):
-    return M.tuning_frame(spark, M.tune_gbt(regression_prepared(spark, sf, "A"), **QUERY_GRID))
+    return M.tuning_frame(spark, _tuning(spark, sf))
+
+
+@register("tuning_gain")
+def q_tuning_gain(spark, sf):
+    """Baseline vs tuned RMSE: absolute and relative improvement."""
+    return M.tuning_frame(spark, _tuning(spark, sf)).select(
+        "rmse_baseline", "rmse_tuned", "gain", "gain_pct")
 
 
 @register("feature_importance")

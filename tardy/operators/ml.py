@@ -253,21 +253,42 @@ def _error_rows(df: DataFrame, message: str, cols: list[tuple[str, str]]) -> Dat
                      F.lit("error").alias("status"), F.lit(message).alias("error"))
 
 
+def finite_features(numeric: list[str]) -> F.Column:
+    """True when every numeric input is present and finite.  A row failing
+    it would make the assembler fail the whole batch / micro-batch."""
+    ok = F.lit(True)
+    for c in numeric:
+        x = F.col(c).cast("double")
+        ok = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return ok
+
+
 def score_regression(features: DataFrame, model_a: PipelineModel | None,
                      model_b: PipelineModel | None) -> DataFrame:
-    """model_type B -> model B (adds DepDelay, TaxiOut); anything else -> A."""
+    """model_type B -> model B (adds DepDelay, TaxiOut); anything else -> A.
+    Rows whose inputs are not finite answer with an error row; the rest of
+    the batch is scored."""
     cols = [("predicted_delay_minutes", "double"), ("model_type", "string")]
     if model_a is None or model_b is None:
         return _error_rows(features, "Regression models not loaded", cols)
     is_b = F.col("model_type") == K.MODEL_B
     parts = []
-    for model, rows in ((model_b, features.filter(is_b)),
-                        (model_a, features.filter(~is_b | F.col("model_type").isNull()))):
-        parts.append(model.transform(rows).select(
+    for model, rows, numeric in (
+            (model_b, features.filter(is_b), K.NUMERIC_FEATURES_WITH_DEP),
+            (model_a, features.filter(~is_b | F.col("model_type").isNull()), K.NUMERIC_FEATURES)):
+        ok = finite_features(numeric)
+        parts.append(model.transform(rows.filter(ok)).select(
             "request_id", F.round("prediction", 2).alias("predicted_delay_minutes"),
             "model_type", F.lit("success").alias("status"),
             F.lit(None).cast("string").alias("error")))
-    return parts[0].unionByName(parts[1])
+        parts.append(rows.filter(~ok).select(
+            "request_id", F.lit(None).cast("double").alias("predicted_delay_minutes"),
+            "model_type", F.lit("error").alias("status"),
+            F.lit("invalid feature value").alias("error")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def positive_percent(col: str = "probability") -> F.Column:
@@ -279,12 +300,15 @@ def score_classification(features: DataFrame, model_30: PipelineModel | None,
     cols = [("probability_over_30min", "double"), ("probability_over_60min", "double")]
     if model_30 is None or model_60 is None:
         return _error_rows(features, "Classification models not loaded", cols)
-    p30 = _drop_ml(model_30.transform(features).withColumn("_p30", positive_percent()))
+    ok = finite_features(K.NUMERIC_FEATURES)
+    p30 = _drop_ml(model_30.transform(features.filter(ok)).withColumn("_p30", positive_percent()))
     p60 = model_60.transform(p30).withColumn("_p60", positive_percent())
-    return p60.select("request_id",
-                      F.round("_p30", 1).alias("probability_over_30min"),
-                      F.round("_p60", 1).alias("probability_over_60min"),
-                      F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    scored = p60.select("request_id",
+                        F.round("_p30", 1).alias("probability_over_30min"),
+                        F.round("_p60", 1).alias("probability_over_60min"),
+                        F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    bad = _error_rows(features.filter(~ok), "invalid feature value", cols)
+    return scored.unionByName(bad)
 
 
 def with_residuals(pred: DataFrame, label: str = K.TARGET) -> DataFrame:

@@ -655,3 +655,18 @@ ORACLE["carrier_hour_key"] = BASE + """
 SELECT UniqueCarrier, DepHour, avg(ArrDelay) AS AvgCarrierHourDelay,
   concat_ws('_', UniqueCarrier, cast(DepHour AS VARCHAR)) AS Key
 FROM reg GROUP BY UniqueCarrier, DepHour"""
+
+ORACLE["severity_band"] = SERVE + f"""
+SELECT request_id, {_band_sql('predicted_delay_minutes')} AS severity,
+  (CASE WHEN predicted_delay_minutes > 0 THEN '+' ELSE '' END)
+    || regexp_replace(cast(predicted_delay_minutes AS VARCHAR), '\\.0$', '') || ' min' AS delay_text
+FROM merged WHERE regression_status IS NOT NULL"""
+ORACLE["risk_band"] = SERVE + f"""
+SELECT request_id, {_risk_sql('probability_over_30min')} AS risk_30,
+  {_risk_sql('probability_over_60min')} AS risk_60,
+  printf('%.1f%%', probability_over_30min) AS p30_text,
+  printf('%.1f%%', probability_over_60min) AS p60_text
+FROM merged WHERE classification_status IS NOT NULL"""
+ORACLE["error_rows"] = SERVE + """
+SELECT request_id, status, regression_status, classification_status FROM merged
+WHERE regression_status = 'error' OR classification_status = 'error'"""

@@ -77,3 +77,23 @@ def test_scoring_without_models_gives_error_rows(spark):
     assert out.status == "error" and out.error == "Regression models not loaded"
     out = M.score_classification(feats, None, None).first()
     assert out.status == "error"
+
+
+def test_non_finite_inputs_become_error_rows(spark, prepared):
+    lr = M.regressors()["Linear Regression"].fit(prepared.train)
+    pipe = M.PipelineModel(stages=list(prepared.features.stages) + [lr])
+    cols = [c for c in prepared.test.columns
+            if not c.endswith(("Index", "Vec")) and c not in ("features", "features_raw")]
+    rows = prepared.test.select(*cols).limit(4).withColumn(
+        "request_id", F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("DepDelay", F.lit(float("nan"))).withColumn("TaxiOut", F.lit(10))
+    rows = rows.withColumn("model_type", F.when(F.col("request_id") == "0", "B").otherwise("A"))
+    rows = rows.cache()
+    out = {r.request_id: r for r in M.score_regression(rows, pipe, pipe).collect()}
+    assert len(out) == rows.count()
+    b_ids = [r.request_id for r in rows.filter(F.col("model_type") == "B").collect()]
+    for rid, r in out.items():
+        if rid in b_ids:
+            assert r.status == "error" and r.error == "invalid feature value"
+        else:
+            assert r.status == "success" and r.predicted_delay_minutes is not None
