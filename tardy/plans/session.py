@@ -33,15 +33,31 @@ DEFAULT_CONF = {
 CLUSTER_CONF = {
     "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    # splits and post-shuffle partitions of ~256 MB: few enough tasks for a
+    # 100 TB scan (~400k splits), small enough to stay in executor memory;
+    # AQE coalesces the (deliberately high) shuffle partition count down to
+    # this size per stage and splits skewed partitions above 5x the median
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
 }
 
+# Shuffle partitions on a cluster: total shuffled bytes of the largest stage
+# / 256 MB (about 20k for a full pass over 100 TB of trips before partial
+# aggregation shrinks it); AQE coalesces smaller stages automatically.
+CLUSTER_SHUFFLE_PARTITIONS = 20000
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
+
+def build_session(master: str = "local[*]", shuffle_partitions: int | None = None,
                   app_name: str = "tardy", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULT_CONF)
-    if not master.startswith("local"):
+    local = master.startswith("local")
+    if not local:
         conf.update(CLUSTER_CONF)
+    if shuffle_partitions is None:
+        shuffle_partitions = 8 if local else CLUSTER_SHUFFLE_PARTITIONS
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
