@@ -95,11 +95,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     honoured.  Only when it is unset *and* the master is local (tests,
     benchmarks on one machine) a scratch folder is created.
     """
-    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: no context; use the setting
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
         return configured

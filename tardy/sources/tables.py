@@ -14,10 +14,12 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     shuffle is added where the scan is already parallel.
     """
     spark = df.sparkSession
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    try:
+        want = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
         return df
-    return df.repartition(want)
+    return df if have >= want else df.repartition(want)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
