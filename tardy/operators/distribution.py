@@ -15,6 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.quantiles import exact_percentiles
 from ..plans.sizing import bounded_broadcast, materialize
 
 
@@ -102,8 +103,8 @@ def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,
     """Q1, median, Q3 (linear interpolation), whiskers at the furthest value
     inside 1.5 IQR of the box, and the outlier count; per group if given.
 
-    Pass 1: exact percentiles per group (``percentile`` keeps a count per
-    distinct value and merges partial buffers).  Pass 2: join the small
+    Pass 1: exact percentiles per group from range-partitioned running
+    counts (``plans/quantiles.py``): no task holds a whole group.  Pass 2: join the small
     per-group fences back (broadcast only below the measured row bound) and
     take conditional min/max/count, again partial aggregates.  Without a
     group the same plan runs on one constant key.
@@ -114,8 +115,9 @@ def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,
     keys = [group] if group else []
     data = data.select(*keys, F.col(column).cast("double").alias("x")) \
                .filter(F.col("x").isNotNull())
-    quart = [F.percentile("x", 0.25).alias("q1"), F.percentile("x", 0.5).alias("median"),
-             F.percentile("x", 0.75).alias("q3"), F.count(F.lit(1)).alias("n")]
+    # exact quartiles from range-partitioned running counts: a hot group is
+    # spread over many tasks instead of one per-group value map
+    quartiles = exact_percentiles(data, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     cols = ["q1", "median", "q3", "iqr", "n", "whisker_lo", "whisker_hi", "outliers"]
 
     def whiskers(lo: Column, hi: Column):
@@ -126,14 +128,14 @@ def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,
 
     if not group:
         # one struct-valued scalar subquery for the box; whiskers in one pass
-        box = _one_row_scalar(data.agg(*quart))
+        box = _one_row_scalar(quartiles.select("q1", "median", "q3", "n"))
         q1, q3 = box.getField("q1"), box.getField("q3")
         iqr = q3 - q1
         w = data.agg(*whiskers(q1 - 1.5 * iqr, q3 + 1.5 * iqr))
         return w.select(q1.alias("q1"), box.getField("median").alias("median"), q3.alias("q3"),
                         iqr.alias("iqr"), box.getField("n").alias("n"),
                         "whisker_lo", "whisker_hi", "outliers")
-    q = data.groupBy(group).agg(*quart)
+    q = quartiles.select(group, "q1", "median", "q3", "n")
     q = q.withColumn("iqr", F.col("q3") - F.col("q1")) \
          .withColumn("fence_lo", F.col("q1") - 1.5 * F.col("iqr")) \
          .withColumn("fence_hi", F.col("q3") + 1.5 * F.col("iqr"))

@@ -129,23 +129,20 @@ def row_counts(raw: DataFrame) -> DataFrame:
 
 def summary_stats(df: DataFrame, cols=None) -> DataFrame:
     """count, mean, stddev (sample), min, exact 25/50/75 % (discrete), max
-    per column, long form.  One aggregate; percentile_disc keeps value
-    counts per distinct value (partial aggregation), not raw rows."""
+    per column, long form.  The columns are stacked into (column, value)
+    rows so one pass serves all of them; the quartiles come from
+    range-partitioned running counts, so no task holds a whole column."""
+    from ..plans.quantiles import exact_percentiles
     cols = [c for c in (K.SUMMARY_COLUMNS if cols is None else cols) if c in df.columns]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-                 F.stddev_samp(x).alias(f"sd{i}"), F.min(x).alias(f"min{i}"),
-                 F.expr(f"percentile_disc(0.25) WITHIN GROUP (ORDER BY cast(`{c}` as double))").alias(f"q1_{i}"),
-                 F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY cast(`{c}` as double))").alias(f"q2_{i}"),
-                 F.expr(f"percentile_disc(0.75) WITHIN GROUP (ORDER BY cast(`{c}` as double))").alias(f"q3_{i}"),
-                 F.max(x).alias(f"max{i}")]
-    wide = df.agg(*aggs)
-    rows = ", ".join(f"'{c}', n{i}, mean{i}, sd{i}, min{i}, q1_{i}, q2_{i}, q3_{i}, max{i}"
-                     for i, c in enumerate(cols))
-    return wide.selectExpr(
-        f"stack({len(cols)}, {rows}) as (column, count, mean, stddev, min, p25, p50, p75, max)")
+    pairs = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
+    long = df.selectExpr(f"stack({len(cols)}, {pairs}) as (column, x)").filter(F.col("x").isNotNull())
+    moments = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("stddev"), F.min("x").alias("min"), F.max("x").alias("max"))
+    quart = exact_percentiles(long, "x", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, ["column"],
+                              discrete=True)
+    out = moments.join(quart.drop("n"), "column")
+    return out.select("column", "count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 
 
 def label_balance(df: DataFrame, labels=("DelayOver30", "DelayOver60")) -> DataFrame:

@@ -14,24 +14,37 @@ from pyspark.sql import functions as F
 
 
 def exclusive_prefix_sums(df: DataFrame, order_col: str, value_cols: list[str],
-                          ranges: int | None = None) -> DataFrame:
-    """Add ``<v>_before`` = sum of ``v`` over rows with a smaller key.
+                          ranges: int | None = None,
+                          partition_cols: list[str] | None = None) -> DataFrame:
+    """Add ``<v>_before`` = sum of ``v`` over rows with a smaller key (within
+    the same ``partition_cols`` group, if given).
 
-    ``df`` must have unique ``order_col`` values (pre-aggregate first).
+    ``df`` must have unique (``partition_cols``, ``order_col``) values
+    (pre-aggregate first).
     """
     spark = df.sparkSession
+    groups = list(partition_cols or [])
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order_col).withColumn("_range", F.spark_partition_id())
-    totals = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
-    over_ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_range", *[
+    ranged = (df.repartitionByRange(n, *groups, order_col)
+                .withColumn("_range", F.spark_partition_id()))
+    # one row per (key range, group present in it): at most ranges + groups
+    totals = ranged.groupBy("_range", *groups).agg(
+        *[F.sum(v).alias(f"_t_{v}") for v in value_cols])
+    over_ranges = Window.partitionBy(*groups).orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = totals.select("_range", *groups, *[
         F.coalesce(F.sum(f"_t_{v}").over(over_ranges), F.lit(0)).alias(f"_o_{v}")
         for v in value_cols])
-    inside = Window.partitionBy("_range").orderBy(order_col).rowsBetween(
+    inside = Window.partitionBy("_range", *groups).orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_l_{v}")
                                  for v in value_cols])
-    # one row per key range: bounded by the number of ranges
-    out = local.join(F.broadcast(offsets), "_range")
+    keys = ["_range", *groups]
+    if groups:
+        # the offsets table grows with the groups: a plain join, which AQE
+        # broadcasts only from its measured size
+        out = local.join(offsets, keys)
+    else:
+        out = local.join(F.broadcast(offsets), keys)  # one row per range
     return out.select(*df.columns, *[(F.col(f"_o_{v}") + F.col(f"_l_{v}")).alias(f"{v}_before")
                                      for v in value_cols])
