@@ -66,3 +66,21 @@ def test_auc_with_a_hot_score(spark):
     P, N = y.sum(), n - y.sum()
     exp = (ranks[y == 1].sum() - P * (P + 1) / 2) / (P * N)
     assert abs(got - exp) < 1e-12
+
+
+def test_exact_percentiles_match_builtins_with_hot_group(spark):
+    from tardy.plans.quantiles import exact_percentiles
+    rng = np.random.default_rng(11)
+    n = 20000
+    g = np.where(np.arange(n) % 3 == 0, "HOT", np.char.add("G", rng.integers(0, 20, n).astype(str)))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": rng.normal(0, 10, n).round(4)}))
+    probs = {"a": 0.1, "b": 0.5, "c": 0.9}
+    lin = {r.g: (r.a, r.b, r.c) for r in exact_percentiles(df, "x", probs, ["g"]).collect()}
+    ref = {r.g: (r.a, r.b, r.c) for r in df.groupBy("g").agg(
+        *[F.percentile("x", p).alias(k) for k, p in probs.items()]).collect()}
+    assert lin == ref
+    disc = {r.g: (r.a, r.b, r.c) for r in exact_percentiles(df, "x", probs, ["g"], discrete=True).collect()}
+    ref_d = {r.g: (r.a, r.b, r.c) for r in df.groupBy("g").agg(
+        *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)").alias(k)
+          for k, p in probs.items()]).collect()}
+    assert disc == ref_d
