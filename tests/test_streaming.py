@@ -23,3 +23,10 @@ def test_fan_out_sends_each_request_twice(spark):
     assert out.count() == 2 * valid
     assert {r.topic for r in out.select("topic").distinct().collect()} == {
         "input-regression", "input-classification"}
+
+
+def test_stream_scoring_equals_batch_scoring(spark):
+    for kind in ("regression", "classification"):
+        stream = REGISTRY[f"stream_score_{kind}"](spark, SF_SMALL)
+        batch = REGISTRY[f"score_{kind}"](spark, SF_SMALL)
+        assert table(stream.toPandas()) == table(batch.toPandas())
