@@ -8,7 +8,10 @@ deletes its intermediate tables when its result has been written.
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,28 @@ from ..plans.session import ensure_checkpoint_dir
 SLICE_BYTES = 8 << 20
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once per
+    application (they need not share the driver's folders)."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    top = os.path.dirname(package)
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{os.path.basename(package)}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, top))
+    context.addPyFile(path)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Delete a folder on whatever store it is on."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,10 +77,13 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        delete_path(self.spark, self.root)
+
     def result(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}-result"
         df.write.parquet(path)
-        delete_path(self.spark, self.root)
+        self.drop()
         atexit.register(_forget, self.spark, path)
         return self.spark.read.schema(df.schema).parquet(path)
 

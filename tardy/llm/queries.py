@@ -9,11 +9,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, sentencepiece_codec, token_counts
+from . import embedding_dedup, language_id, minhash_dedup, nearest, packing, secrets, sentencepiece_codec, token_counts, toxicity
+from .common import ship
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,9 +51,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.PATTERN)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_sentencepiece, op7_token_counts, op10_secrets)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_embedding_dedup, op3_packing, op5_nearest, op6_sentencepiece, op7_token_counts,
+    op8_toxicity, op9_minhash_dedup, op10_secrets)}
 ORACLE: dict[str, str] = {}
