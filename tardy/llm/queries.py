@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, minhash_dedup, nearest, packing, secrets, sentencepiece_codec, token_counts, toxicity
+from . import embedding_dedup, language_id, minhash_dedup, nearest, packing, secrets, sentencepiece_codec, token_counts, toxicity, warc
 from .common import ship
 
 
@@ -30,6 +30,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
@@ -64,6 +68,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_language_id, op2_embedding_dedup, op3_packing, op5_nearest, op6_sentencepiece, op7_token_counts,
+    op1_language_id, op2_embedding_dedup, op3_packing, op4_warc, op5_nearest, op6_sentencepiece, op7_token_counts,
     op8_toxicity, op9_minhash_dedup, op10_secrets)}
 ORACLE: dict[str, str] = {}
