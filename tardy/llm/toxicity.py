@@ -46,7 +46,7 @@ MAX_TRAIN_ROWS = 20_000
 #: learned words: most kept, fewest toxic texts with one, least ratio of the
 #: shares of toxic and other texts that have it
 MAX_LEARNED, MIN_TOXIC_TEXTS, MIN_RATIO = 200, 8, 20.0
-TREES, DEPTH, STEP = 20, 3, 0.3
+TREES, DEPTH, STEP, MIN_NODE = 20, 3, 0.3, 10
 CACHE_ENTRIES = 400_000
 
 FEATURES = ["lexicon_rate", "log_lexicon", "learned_rate", "log_learned", "near_rate", "log_near",
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> T
         scratch.drop()
         return ToxicityModel(words, constant=share if len(kinds) < 2 else min(share, 0.49))
     trees = GBTClassifier(featuresCol="_features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH,
-                          stepSize=STEP, seed=7).fit(rows.filter(~F.col("_hold")))
+                          stepSize=STEP, minInstancesPerNode=MIN_NODE, seed=7).fit(rows.filter(~F.col("_hold")))
     calibration = None
     if seen.get((True, 0.0), 0) and seen.get((True, 1.0), 0):
         held = trees.transform(rows.filter("_hold")).select(
