@@ -78,6 +78,8 @@ def fit_trees(texts: dict[str, list[str]], depth: int = DEPTH,
               min_count: int = MIN_COUNT) -> ContextTrees:
     """Trees from some texts of each language."""
     languages = sorted(texts)
+    if not languages:
+        return ContextTrees([], np.zeros(256, np.uint8), [], [0], np.zeros((1, 0), np.float32))
     joined = {}
     seen = np.zeros(256, bool)
     for lang in languages:

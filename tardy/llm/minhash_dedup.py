@@ -158,7 +158,7 @@ def band_keys(h: np.ndarray, doc: np.ndarray, ln_weight: np.ndarray, n_docs: int
         owner = np.repeat(np.arange(b - a), size)
         keys = np.zeros((b - a, bands), np.uint64)
         for k in range(bands * per_band):
-            z = (x + np.uint64(k + 1) * _BASE) * _MIX1
+            z = (x + np.uint64((k + 1) * int(_BASE) & ((1 << 64) - 1))) * _MIX1
             z ^= z >> np.uint64(29)
             z *= _MIX2
             z ^= z >> np.uint64(32)

@@ -1,0 +1,8 @@
+import pytest
+
+
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    from tardy.llm.common import ship
+
+    ship(spark)
