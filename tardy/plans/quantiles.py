@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import exclusive_prefix_sums
+from .sizing import materialize
 
 
 def ranked_values(df: DataFrame, value: str, groups: list[str]) -> DataFrame:
     """(groups..., v, c, before, n): distinct values with their counts, the
     number of values below them and the group size."""
-    counts = (df.select(*groups, F.col(value).cast("double").alias("v"))
-                .filter(F.col("v").isNotNull())
-                .groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("c")))
+    # written once: the running counts and the group sizes both read it
+    counts = materialize(df.select(*groups, F.col(value).cast("double").alias("v"))
+                           .filter(F.col("v").isNotNull())
+                           .groupBy(*groups, "v").agg(F.count(F.lit(1)).alias("c")))
     ranked = exclusive_prefix_sums(counts, "v", ["c"], partition_cols=groups)
     sizes = counts.groupBy(*groups).agg(F.sum("c").alias("n")) if groups else None
     if groups:

@@ -1,26 +1,59 @@
 """Broadcast only what has a proven size; cut lineage reliably.
 
 A derived table (an aggregate over the trip table) has no trustworthy size
-estimate before it runs.  ``bounded_broadcast`` materialises it as a
-parquet table in the shared ``spark.checkpoint.dir`` folder (survives
-executor loss), counts its rows, and hints a broadcast only when the count is below
-the bound.  Otherwise the join stays a shuffle join, which AQE may still
-turn into a broadcast from real shuffle statistics, and splits if skewed.
+estimate before it runs.  ``materialize`` writes it as a parquet table in the
+shared ``spark.checkpoint.dir`` folder (survives executor loss); from then on
+Spark knows its real file size.  ``bounded_broadcast`` hints a broadcast only
+when the written bytes are below a bound; otherwise the join is Spark's and
+AQE's choice, and is split if skewed.
+
+Written tables live until ``release_tables`` or the end of the program.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .session import ensure_checkpoint_dir
 
-# Rows per broadcast side; statistics rows are a few short columns, so
-# 2M rows stay well under the default 8 GB broadcast limit and the
-# executors' memory.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+# Parquet bytes of all tables that one plan broadcasts together; rows in
+# memory take a few times that, far below an executor's heap.
+MAX_BROADCAST_BYTES = 8 << 20
+
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _path(spark, path)
+    return fs.exists(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    target, fs = _path(spark, path)
+    fs.delete(target, True)
+
+
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a path."""
+    target, fs = _path(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new folder name in the shared folder, deleted by ``release_tables``
+    or at the end of the program."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    _TABLES.append((spark, path))
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -29,14 +62,33 @@ def materialize(df: DataFrame) -> DataFrame:
     (survives lost executors), and the scan carries real file sizes for
     the planner.  (An eager RDD checkpoint would compute ``df`` twice.)"""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tables")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_tables() -> None:
+    """Delete every table written so far; frames that read them are void."""
+    while _TABLES:
+        spark, path = _TABLES.pop()
+        try:
+            delete_path(spark, path)
+        except Exception:  # noqa: BLE001 - the session is gone; nothing to delete with
+            return
+
+
+atexit.register(release_tables)
+
+
+def table_bytes(df: DataFrame) -> int:
+    """File bytes behind a frame that only reads written tables."""
+    spark = df.sparkSession
+    return sum(path_bytes(spark, f) for f in df.inputFiles())
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+def bounded_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES,
                       already_materialized: bool = False) -> DataFrame:
-    """Return ``df`` (materialised) with a broadcast hint iff its row count fits."""
+    """Return ``df`` (materialised) with a broadcast hint iff its written
+    bytes fit."""
     small = df if already_materialized else materialize(df)
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    return F.broadcast(small) if table_bytes(small) <= max_bytes else small

@@ -84,3 +84,32 @@ def test_exact_percentiles_match_builtins_with_hot_group(spark):
         *[F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)").alias(k)
           for k, p in probs.items()]).collect()}
     assert disc == ref_d
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_prefix_sums_are_exact_with_very_many_scores(spark, reuse):
+    """Hundreds of thousands of distinct values over several ranges, the same
+    in every run, whether or not Spark reuses exchanges."""
+    from tardy.plans import prefix
+    from tardy.plans.quantiles import exact_percentiles
+    rng = np.random.default_rng(5)
+    n = 300_000
+    score = rng.random(n)
+    y = (rng.random(n) < score).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"s": score, "y": y})).repartition(8)
+    rank = pd.Series(score).rank(method="average")
+    P, N = y.sum(), n - y.sum()
+    exact = (rank[y == 1].sum() - P * (P + 1) / 2) / (P * N)
+    old, prefix.ROWS_PER_RANGE = prefix.ROWS_PER_RANGE, 40_000
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        for _ in range(3 if reuse == "true" else 1):
+            assert abs(MT.auc_rank_sum(df, "s", "y").first().auc - exact) < 1e-12
+        got = exact_percentiles(df, "s", {"a": 0.25, "b": 0.5, "c": 0.9}).first()
+        assert np.allclose([got.a, got.b, got.c], np.percentile(score, [25, 50, 90]), atol=1e-12)
+        groups = df.withColumn("g", F.when(F.col("y") == 1, "hot").otherwise(F.lit(None)))
+        by = {r.g: r.b for r in exact_percentiles(groups, "s", {"b": 0.5}, ["g"]).collect()}
+        assert abs(by["hot"] - np.percentile(score[y == 1], 50)) < 1e-12
+    finally:
+        prefix.ROWS_PER_RANGE = old
+        spark.conf.set("spark.sql.exchange.reuse", "true")
