@@ -38,7 +38,8 @@ def arrival_hour(dep_hour, dep_minute, duration) -> Column:
 def severity_band(minutes) -> Column:
     on_time, delayed, critical = K.SEVERITY_LABELS
     m = _c(minutes)
-    return (F.when(m <= K.SEVERITY_ON_TIME_UPTO, on_time)
+    return (F.when(m.isNull(), F.lit(None).cast("string"))  # no answer, no band
+             .when(m <= K.SEVERITY_ON_TIME_UPTO, on_time)
              .when(m <= K.SEVERITY_DELAYED_UPTO, delayed)
              .otherwise(critical))
 
@@ -54,7 +55,8 @@ def signed_minutes_text(minutes) -> Column:
 def risk_band(percent) -> Column:
     low, medium, high = K.RISK_LABELS
     p = _c(percent)
-    return (F.when(p < K.RISK_LOW_BELOW, low)
+    return (F.when(p.isNull(), F.lit(None).cast("string"))
+             .when(p < K.RISK_LOW_BELOW, low)
              .when(p < K.RISK_MEDIUM_BELOW, medium)
              .otherwise(high))
 

@@ -45,23 +45,42 @@ def _values(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
 
 
-def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
-    """(variable, bin, bin_lo, bin_hi, count) for all bins, empty ones included."""
-    vals = _values(df, column)
-    st = _range_stats(vals)
-    lo, hi = st.getField("lo"), st.getField("hi")
-    counts = (vals.groupBy(_bin_index(F.col("x"), lo, hi, bins).alias("bin"))
+def histograms(df: DataFrame, columns: list[str], bins: int = 50) -> DataFrame:
+    """(variable, bin, bin_lo, bin_hi, count) for all bins of all columns,
+    empty ones included: one pass for the ranges, one for the counts.  A
+    column without values has no bins."""
+    spread = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns)
+                      for n, f in (("lo", F.min), ("hi", F.max))])
+    st = _one_row_scalar(spread)
+    stack = ", ".join(f"{i}, cast(`{c}` as double)" for i, c in enumerate(columns))
+    vals = (df.selectExpr(f"stack({len(columns)}, {stack}) as (variable, x)")
+              .filter(F.col("x").isNotNull()))
+
+    def bound(name: str) -> Column:
+        out = F.lit(None).cast("double")
+        for i in range(len(columns)):
+            out = F.when(F.col("variable") == i, st.getField(f"{name}{i}")).otherwise(out)
+        return out
+
+    counts = (vals.groupBy("variable", _bin_index(F.col("x"), bound("lo"), bound("hi"), bins).alias("bin"))
                   .agg(F.count(F.lit(1)).alias("count")))
-    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    all_bins = df.sparkSession.range(bins * len(columns)).select(
+        F.expr(f"cast(id div {bins} as int)").alias("variable"), F.expr(f"cast(id % {bins} as int)").alias("bin"))
+    lo, hi = bound("lo"), bound("hi")
     width = (hi - lo) / bins
-    # at most ``bins`` rows on the build side
-    return (all_bins.join(F.broadcast(counts), "bin", "left")
-                    .select(F.lit(column).alias("variable"), "bin",
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("variable") + 1)
+    # at most one row per column and bin on the build side
+    return (all_bins.join(F.broadcast(counts), ["variable", "bin"], "left").filter(lo.isNotNull())
+                    .select(names.alias("variable"), "bin",
                             (lo + F.col("bin") * width).alias("bin_lo"),
                             (lo + (F.col("bin") + 1) * width).alias("bin_hi"),
                             F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count")))
 
 
+def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
+    return histograms(df, [column], bins)
+
+
 def density_histogram(df: DataFrame, column: str = "ArrDelay", bins: int = 100,
                       lo_keep: float = -60, hi_keep: float = 180) -> DataFrame:
     """Histogram of the values inside [lo_keep, hi_keep], as a density:
@@ -78,9 +97,8 @@ def kde_curve(df: DataFrame, column: str = "ArrDelay", points: int = 100) -> Dat
     bandwidth by Scott's rule (sample std * n^(-1/5)).
 
     Values are first reduced to (distinct value, count) by a partial
-    aggregate; each distinct value then emits its contribution to the fixed
-    grid (a generator of bounded width, not a join) and a second partial
-    aggregate sums per grid point.
+    aggregate; one more aggregate then holds one sum per grid point, so no
+    row is multiplied.
     """
     vals = _values(df, column)
     st = _range_stats(vals)
@@ -88,14 +106,16 @@ def kde_curve(df: DataFrame, column: str = "ArrDelay", points: int = 100) -> Dat
     bw = st.getField("sd") * F.pow(n.cast("double"), F.lit(-0.2))
     step = (hi - lo) / (points - 1)
     distinct = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    contrib = (distinct.select("x", "c", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("g"))
-                       .withColumn("gx", lo + F.col("g") * step))
-    z = (F.col("gx") - F.col("x")) / bw
-    dens = (contrib.groupBy("g", "gx")
-                   .agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s")))
+    def kernel(g: int) -> Column:
+        z = (lo + g * step - F.col("x")) / bw
+        return F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias(f"s{g}")
+
+    sums = distinct.agg(*[kernel(g) for g in range(points)])
+    cells = ", ".join(f"{g}, s{g}" for g in range(points))
     norm = n * bw * F.lit(math.sqrt(2 * math.pi))
-    return dens.select(F.col("g").cast("int").alias("point"), F.col("gx").alias("x"),
-                       F.try_divide(F.col("s"), norm).alias("density"))
+    return sums.selectExpr(f"stack({points}, {cells}) as (point, s)").select(
+        "point", (lo + F.col("point") * step).alias("x"),
+        F.try_divide(F.col("s"), norm).alias("density"))
 
 
 def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import features as X
+from ..plans.sizing import materialize
 from .stats import SPEC_BY_NAME, compute_stats, single_stat
 
 ENRICH_ORDER = ["carrier_stats", "hour_stats", "route_stats",
@@ -19,9 +20,10 @@ def enrich_one(df: DataFrame, stat: DataFrame, name: str) -> DataFrame:
 
 
 def enrich_single(df: DataFrame, name: str, value: str = "ArrDelay") -> DataFrame:
-    """One statistic computed from ``df`` and joined back (shuffle or AQE
-    broadcast decided from the real aggregate size)."""
-    return enrich_one(df, single_stat(df, SPEC_BY_NAME[name], value), name)
+    """One statistic computed from ``df``, written, and joined back: the
+    planner sees its real size, so a small statistic is broadcast and the
+    trips are not shuffled on a key of a few values."""
+    return enrich_one(df, materialize(single_stat(df, SPEC_BY_NAME[name], value)), name)
 
 
 def fill_averages(df: DataFrame) -> DataFrame:

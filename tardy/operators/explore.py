@@ -36,11 +36,15 @@ def delay_day_hour(df: DataFrame) -> DataFrame:
 
 
 def pivot_day_hour(df: DataFrame, hours: range = range(0, 25)) -> DataFrame:
-    """Rows DayOfWeek, columns h0..h24 = average delay.  The value list is
-    given, so no extra job discovers it and the schema is fixed."""
-    values = list(hours)
-    p = df.groupBy("DayOfWeek").pivot("DepHour", values).agg(F.avg("ArrDelay"))
-    return p.select("DayOfWeek", *[F.col(str(h)).alias(f"h{h}") for h in values])
+    """Rows DayOfWeek, columns h0..h24 = average delay, h_null for trips
+    without an hour and h_other for any further value, so no row is lost.
+    The value list is given, so no extra job discovers it and the schema is
+    fixed."""
+    hour, delay = F.col("DepHour"), F.col("ArrDelay")
+    cells = [F.avg(F.when(hour == h, delay)).alias(f"h{h}") for h in hours]
+    return df.groupBy("DayOfWeek").agg(
+        *cells, F.avg(F.when(hour.isNull(), delay)).alias("h_null"),
+        F.avg(F.when(~hour.isin(*hours), delay)).alias("h_other"))
 
 
 def top_routes(df: DataFrame, min_flights: int = 50, k: int = 10) -> DataFrame:
@@ -103,12 +107,16 @@ def numeric_columns(df: DataFrame, excluded=None) -> list[str]:
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair, pairwise-complete, in ONE
-    aggregate; returned in long form (col_a, col_b, corr) with a < b."""
+    aggregate; the full matrix in long form (col_a, col_b, corr): each pair
+    is computed once and returned both ways, the diagonal is the column with
+    itself."""
     cols = numeric_columns(df) if cols is None else cols
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    stack = ", ".join(f"'{a}', '{b}', c{i}" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr(f"stack({len(pairs)}, {stack}) as (col_a, col_b, corr)")
+    cells = [(a, b, i) for i, (a, b) in enumerate(pairs)]
+    cells += [(b, a, i) for a, b, i in cells if a != b]
+    stack = ", ".join(f"'{a}', '{b}', c{i}" for a, b, i in cells)
+    return wide.selectExpr(f"stack({len(cells)}, {stack}) as (col_a, col_b, corr)")
 
 
 def row_counts(raw: DataFrame) -> DataFrame:

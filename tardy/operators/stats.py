@@ -13,9 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, bounded_broadcast, materialize
+from ..plans.sizing import MAX_BROADCAST_BYTES, bounded_broadcast, materialize, path_exists, table_bytes
 
 STAT_KEYS = ["UniqueCarrier", "DepHour", "Route", "Origin", "Dest"]
 
@@ -81,14 +80,12 @@ def split_stats(long_df: DataFrame) -> dict[str, DataFrame]:
 
 
 def compute_stats(df: DataFrame, value: str = "ArrDelay",
-                  max_broadcast_rows: int | None = None) -> dict[str, DataFrame]:
-    """The six statistics, materialised once (reliable checkpoint) and each
-    marked for broadcast only if its measured row count fits the bound."""
+                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> dict[str, DataFrame]:
+    """The six statistics, written once and marked for broadcast only if the
+    written bytes of all six together fit the bound."""
     long_df = materialize(all_stats_long(df, value))
-    counts = {r["level"]: r["count"] for r in long_df.groupBy("level").count().collect()}
-    bound = DEFAULT_MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
-    return {name: (F.broadcast(t) if counts.get(name, 0) <= bound else t)
-            for name, t in split_stats(long_df).items()}
+    fits = table_bytes(long_df) <= max_broadcast_bytes
+    return {name: F.broadcast(t) if fits else t for name, t in split_stats(long_df).items()}
 
 
 def route_distances(raw: DataFrame) -> DataFrame:
@@ -121,14 +118,16 @@ def save_stats(stats: dict[str, DataFrame], path: str) -> None:
 
 
 def load_stats(spark: SparkSession, path: str,
-               max_broadcast_rows: int | None = None) -> dict[str, DataFrame]:
-    """Read the saved statistics; a missing table reads as empty."""
+               max_broadcast_bytes: int = 0) -> dict[str, DataFrame]:
+    """Read the saved statistics; a missing table reads as empty, any other
+    fault is raised.  With a byte bound, tables whose files fit an equal
+    share of it are marked for broadcast."""
     out = {}
     for name, ddl in STATS_SCHEMAS.items():
-        try:
-            t = spark.read.schema(ddl).parquet(f"{path.rstrip('/')}/{name}")
-            t.schema  # noqa: B018 - resolve now so a missing path fails here
-        except Exception:  # missing table -> empty, like an empty dictionary
-            t = spark.createDataFrame([], T._parse_datatype_string(ddl))
-        out[name] = bounded_broadcast(t, max_broadcast_rows) if max_broadcast_rows else t
+        at = f"{path.rstrip('/')}/{name}"
+        t = (spark.read.schema(ddl).parquet(at) if path_exists(spark, at)
+             else spark.createDataFrame([], ddl))
+        if max_broadcast_bytes:
+            t = bounded_broadcast(t, max_broadcast_bytes // len(STATS_SCHEMAS), already_materialized=True)
+        out[name] = t
     return out

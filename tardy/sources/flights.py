@@ -41,10 +41,10 @@ def flights_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
         "l_quantity", "l_returnflag", "l_shipdate")
-    # dimension sides are sized by Spark from their files; no spreading
-    orders = read_table(spark, sf_dir, "orders", spread=False).select("o_orderkey", "o_custkey")
-    cust = read_table(spark, sf_dir, "customer", spread=False).select("c_custkey", "c_nationkey")
-    supp = read_table(spark, sf_dir, "supplier", spread=False).select("s_suppkey", "s_nationkey")
+    # dimension sides are sized by Spark from their files
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
 
     j = (li.join(orders, li.l_orderkey == orders.o_orderkey)
            .join(cust, F.col("o_custkey") == cust.c_custkey)

@@ -5,23 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A file with a single row group is read by one task however large the
-    cluster; everything up to the first shuffle would then run serially.
-    Large inputs (thousands of splits) are returned untouched, so no
-    shuffle is added where the scan is already parallel.
-    """
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
-        return df
-    return df if have >= want else df.repartition(want)
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallelism(df) if spread else df
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One table; the split size settings decide how it is read."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
