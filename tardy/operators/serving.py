@@ -86,55 +86,86 @@ def distance_lookup(pairs: DataFrame, distances: DataFrame) -> DataFrame:
                     F.when(found, d).otherwise(F.lit(K.DISTANCE_NOT_FOUND)).alias("distance"))
 
 
-def first_response(responses: DataFrame) -> DataFrame:
-    """Keep the earliest answer per request id (first match only).  A
-    partial aggregate: duplicates collapse before the shuffle."""
-    cols = [c for c in responses.columns if c != "request_id"]
-    first = F.min_by(F.struct(*cols), F.col("ts"))
-    return (responses.groupBy("request_id").agg(first.alias("_r"))
-                     .select("request_id", "_r.*"))
-
-
-def _within_deadline(req_ts, resp_ts, seconds: int):
-    return (resp_ts >= req_ts) & (resp_ts <= req_ts + F.make_interval(secs=F.lit(seconds)))
-
-
-def attach_response(req: DataFrame, responses: DataFrame, prefix: str,
-                    value_cols: list[str], deadline: int = K.RESPONSE_DEADLINE_SECONDS) -> DataFrame:
-    """Left join the first answer per request that came within the deadline."""
-    r = first_response(responses).select(
-        F.col("request_id").alias(f"{prefix}_id"), F.col("ts").alias(f"{prefix}_ts"),
-        F.col("status").alias(f"{prefix}_status"), *value_cols)
-    cond = (F.col("request_id") == F.col(f"{prefix}_id")) & _within_deadline(
-        F.col("ts"), F.col(f"{prefix}_ts"), deadline)
-    return req.join(r, cond, "left").drop(f"{prefix}_id", f"{prefix}_ts")
-
-
-def request_response_join(req: DataFrame, responses: DataFrame,
+# Fields of an answer of each kind, besides its id and time.
+ANSWER_FIELDS = {
+    "regression": {"status": "string", "error": "string", "model_type": "string",
+                   "predicted_delay_minutes": "double"},
+    "classification": {"status": "string", "error": "string", "probability_over_30min": "double",
+                       "probability_over_60min": "double"},
+}
+_SHARED = ("status", "error", "model_type")
+
+
+def _named(kind: str, field: str) -> str:
+    return f"{kind}_{field}" if field in _SHARED else field
+
+
+def tagged_answers(responses: dict[str, DataFrame]) -> DataFrame:
+    """The answers of all kinds in one table: answer_id, answer_ts, and a
+    struct per kind (null for the other kinds)."""
+    out = None
+    for kind, df in responses.items():
+        structs = []
+        for other, fields in ANSWER_FIELDS.items():
+            if other in responses:
+                whole = F.struct(*[(F.col(f).cast(t) if f in df.columns else F.lit(None).cast(t)).alias(f)
+                                   for f, t in fields.items()])
+                structs.append((whole if other == kind else _null_struct(fields)).alias(other))
+        part = df.select(F.col("request_id").alias("answer_id"), F.col("ts").alias("answer_ts"), *structs)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _null_struct(fields: dict[str, str]):
+    return F.lit(None).cast("struct<" + ",".join(f"{f}:{t}" for f, t in fields.items()) + ">")
+
+
+def first_answers(req: DataFrame, answers: DataFrame, kinds: list[str],
+                  deadline: int = K.RESPONSE_DEADLINE_SECONDS) -> DataFrame:
+    """One row per request with the whole first answer of each kind, or
+    null.  Only answers from the request's time to the deadline count; of
+    those the earliest wins (ties: smallest status, then smallest values).
+
+    The same plan serves tables and streams (with watermarks on ``ts`` and
+    ``answer_ts``): a join bounded in time, then one aggregate per request,
+    so repeated answers are reduced before the shuffle of the aggregate.
+    """
+    near = F.expr(f"request_id = answer_id AND answer_ts >= ts "
+                  f"AND answer_ts <= ts + INTERVAL {int(deadline)} SECONDS")
+    joined = req.join(answers, near, "leftOuter")
+    # a kind's order is null for rows of other kinds, which min_by ignores
+    first = [F.min_by(F.col(k), F.when(F.col(k).isNotNull(), F.struct(
+        "answer_ts", *[F.col(k)[f] for f in ("status", *[x for x in ANSWER_FIELDS[k] if x != "status"])])))
+        .alias(k) for k in kinds]
+    return joined.groupBy("request_id", "ts").agg(*first)
+
+
+def answer_columns(first: DataFrame, kinds: list[str]) -> DataFrame:
+    """request_id, status and every answer's fields as columns.  All kinds
+    answered -> success; some -> partial; none -> timeout.  An answer whose
+    own status is error still counts as an answer."""
+    has = [F.col(k).isNotNull() for k in kinds]
+    every, some = has[0], has[0]
+    for h in has[1:]:
+        every, some = every & h, some | h
+    status = F.when(every, "success").when(some, "partial").otherwise("timeout")
+    return first.select("request_id", status.alias("status"), *[
+        F.col(k)[f].alias(_named(k, f)) for k in kinds for f in ANSWER_FIELDS[k]])
+
+
+def request_response_join(req: DataFrame, responses: DataFrame, kind: str = "regression",
                           deadline: int = K.RESPONSE_DEADLINE_SECONDS) -> DataFrame:
-    """One model kind: success with the answer, or timeout."""
+    """One model kind: success with the whole answer, or timeout."""
     base = valid_requests(req).select("request_id", "ts")
-    j = attach_response(base, responses, "regression", ["predicted_delay_minutes"], deadline)
-    status = F.when(F.col("regression_status").isNotNull(), "success").otherwise("timeout")
-    return j.select("request_id", status.alias("status"), "regression_status",
-                    "predicted_delay_minutes")
+    return answer_columns(first_answers(base, tagged_answers({kind: responses}), [kind], deadline), [kind])
 
 
 def merged_response(req: DataFrame, regression: DataFrame, classification: DataFrame,
                     deadline: int = K.RESPONSE_DEADLINE_SECONDS) -> DataFrame:
-    """Both answers -> success; one -> partial; none -> timeout.  An answer
-    whose own status is error still counts as an answer."""
+    """Both kinds, each answer whole: success, partial or timeout."""
     base = valid_requests(req).select("request_id", "ts")
-    j = attach_response(base, regression, "regression", ["predicted_delay_minutes"], deadline)
-    j = attach_response(j, classification, "classification",
-                        ["probability_over_30min", "probability_over_60min"], deadline)
-    has_r = F.col("regression_status").isNotNull()
-    has_c = F.col("classification_status").isNotNull()
-    status = (F.when(has_r & has_c, "success").when(has_r | has_c, "partial")
-               .otherwise("timeout"))
-    return j.select("request_id", status.alias("status"), "regression_status",
-                    "predicted_delay_minutes", "classification_status",
-                    "probability_over_30min", "probability_over_60min")
+    answers = tagged_answers({"regression": regression, "classification": classification})
+    return answer_columns(first_answers(base, answers, list(ANSWER_FIELDS), deadline), list(ANSWER_FIELDS))
 
 
 def request_validation(req: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Scoring requests and model responses.
 
 Batch: ``read_request_batch`` reads JSON request bodies with the declared
-schema.  Test views: ``requests_view`` turns click events into requests;
+schema.  Test views: ``requests_view`` turns every event into a request;
 ``regression_responses_view`` / ``classification_responses_view`` turn the
-same clicks into model answers with a per-request latency.  Every click
+same events into model answers with a per-request latency.  Every event
 gets an answer row; answers that a model never delivered in time carry a
 latency far beyond the deadline (so they count as missing), which keeps the
-response tables whole instead of filtering rows out.
+response tables whole instead of filtering rows out.  Some requests get a
+second answer (at the same time or later) and some a stray one from before
+the request.
 """
 
 from __future__ import annotations
@@ -31,16 +33,14 @@ def parse_request_json(value: Column) -> Column:
     return F.from_json(value, REQUEST_SCHEMA, {"mode": "PERMISSIVE"})
 
 
-def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = read_table(spark, sf_dir, "events")
-    return (ev.filter(F.col("event_type") == "click")
-              .select("event_id", "user_id", "value",
-                      F.col("ts").cast("timestamp").alias("ts")))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "events").select(
+        "event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
 
 
 def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
-    return _clicks(spark, sf_dir).select(
+    return _events(spark, sf_dir).select(
         F.when(e % 50 == 0, F.lit(None).cast("string"))
          .when(e % 51 == 0, F.lit(""))
          .otherwise(F.concat(F.lit("r"), e.cast("string"))).alias("request_id"),
@@ -71,24 +71,47 @@ def _answer_ts(latency_mod: int, lost_mod: int) -> Column:
     return F.col("ts") + F.make_interval(secs=seconds)
 
 
+# Kinds of answer rows: the answer itself, a repeated one, a stray early one.
+_MAIN, _REPEATED, _EARLY = 0, 1, 2
+
+
+def _with_strays(events: DataFrame) -> DataFrame:
+    """One row per answer message of an event, its kind in ``k``."""
+    e = F.col("event_id")
+    kinds = F.array_compact(F.array(
+        F.lit(_MAIN), F.when(e % 10 == 3, F.lit(_REPEATED)), F.when(e % 14 == 5, F.lit(_EARLY))))
+    return events.withColumn("k", F.explode(kinds))
+
+
+def _sent(ts: Column) -> Column:
+    """Repeated answers come 0 to 2 s after the first, early ones 2 s before
+    the request."""
+    later = F.make_interval(secs=(F.col("event_id") % 3).cast("int"))
+    return (F.when(F.col("k") == _EARLY, F.col("ts") - F.make_interval(secs=F.lit(2)))
+             .when(F.col("k") == _REPEATED, ts + later).otherwise(ts))
+
+
 def regression_responses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return _clicks(spark, sf_dir).select(
+    return _with_strays(_events(spark, sf_dir)).select(
         F.concat(F.lit("r"), e.cast("string")).alias("request_id"),
-        _answer_ts(13, 4).alias("ts"),
-        F.col("value").alias("predicted_delay_minutes"),
+        _sent(_answer_ts(13, 4)).alias("ts"),
+        (F.col("value") + 100 * F.col("k")).alias("predicted_delay_minutes"),
+        F.when(F.col("user_id") % 3 == 0, "B").otherwise("A").alias("model_type"),
         F.when(e % 20 == 0, "error").otherwise("success").alias("status"),
+        F.when(e % 20 == 0, "invalid feature value").alias("error"),
     )
 
 
 def classification_responses_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    return _clicks(spark, sf_dir).select(
+    return _with_strays(_events(spark, sf_dir)).select(
         F.concat(F.lit("r"), e.cast("string")).alias("request_id"),
-        _answer_ts(12, 6).alias("ts"),
+        _sent(_answer_ts(12, 6)).alias("ts"),
         ((e % 1000).cast("double") / 10).alias("probability_over_30min"),
-        ((e % 700).cast("double") / 10).alias("probability_over_60min"),
+        (((e + F.col("k")) % 700).cast("double") / 10).alias("probability_over_60min"),
         F.lit("success").alias("status"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 
@@ -97,7 +120,7 @@ def form_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     HH:MM, free-text numbers that may be empty, zero or trail junk)."""
     e, u = F.col("event_id"), F.col("user_id")
     dur = (30 + u % 300).cast("string")
-    return _clicks(spark, sf_dir).select(
+    return _events(spark, sf_dir).select(
         F.concat(F.lit("r"), e.cast("string")).alias("request_id"),
         F.concat(F.lpad((e % 24).cast("string"), 2, "0"), F.lit(":"),
                  F.lpad((u % 60).cast("string"), 2, "0")).alias("dep_time"),

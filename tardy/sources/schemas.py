@@ -65,3 +65,12 @@ CLASSIFICATION_RESPONSE_SCHEMA = T.StructType([
     T.StructField("status", T.StringType()),
     T.StructField("error", T.StringType()),
 ])
+
+ANSWER_SCHEMAS = {"regression": REGRESSION_RESPONSE_SCHEMA, "classification": CLASSIFICATION_RESPONSE_SCHEMA}
+
+# A message as a file topic keeps it; a broker adds the time itself.
+MESSAGE_SCHEMA = T.StructType([
+    T.StructField("key", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("timestamp", T.TimestampType()),
+])

@@ -2,8 +2,9 @@
 
 Production reads and writes message topics (``format("kafka")``): the
 value is UTF-8 JSON, decoded with a declared schema; the message
-timestamp is the event time.  Any other streaming format (file source in
-tests) reads JSON rows with the same schema.
+timestamp is the event time.  Any other streaming format (files) reads
+JSON rows with the same schema, or with the option ``messages`` whole
+messages (key, value, timestamp) as a topic holds them.
 """
 
 from __future__ import annotations
@@ -12,15 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.schemas import MESSAGE_SCHEMA
+
 
 def read_json_stream(spark: SparkSession, schema: T.StructType, fmt: str = "kafka",
                      path: str | None = None, options: dict | None = None,
                      ts_col: str = "ts") -> DataFrame:
     """Decode a JSON message stream; the result has ``schema`` plus ``ts``."""
     opts = dict(options or {})
-    if fmt == "kafka":
-        opts.setdefault("startingOffsets", "latest")
-        raw = spark.readStream.format("kafka").options(**opts).load()
+    messages = str(opts.pop("messages", "false")).lower() == "true"
+    if fmt == "kafka" or messages:
+        if messages:
+            raw = spark.readStream.format(fmt).schema(MESSAGE_SCHEMA).options(**opts).load(path)
+        else:
+            opts.setdefault("startingOffsets", "latest")
+            raw = spark.readStream.format("kafka").options(**opts).load()
         body = F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE"})
         return raw.select(body.alias("m"), F.col("timestamp").alias(ts_col)).select("m.*", ts_col)
     full = schema if ts_col in schema.fieldNames() else T.StructType(
@@ -29,11 +36,12 @@ def read_json_stream(spark: SparkSession, schema: T.StructType, fmt: str = "kafk
     return reader.load(path) if path else reader.load()
 
 
-def to_messages(df: DataFrame, key: str = "request_id") -> DataFrame:
-    """key/value columns for a message sink: value = JSON of the row."""
+def to_messages(df: DataFrame, key: str = "request_id", stamp: bool = False) -> DataFrame:
+    """key/value columns for a message sink: value = JSON of the row.  With
+    ``stamp`` also the time, which a broker would add (file topics)."""
     cols = [c for c in df.columns]
-    return df.select(F.col(key).cast("string").alias("key"),
-                     F.to_json(F.struct(*cols)).alias("value"))
+    out = [F.col(key).cast("string").alias("key"), F.to_json(F.struct(*cols)).alias("value")]
+    return df.select(*out, *([F.current_timestamp().alias("timestamp")] if stamp else []))
 
 
 def write_stream(df: DataFrame, fmt: str, checkpoint: str, path: str | None = None,

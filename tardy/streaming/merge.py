@@ -1,58 +1,35 @@
 """Request/response joins in event time.
 
-Each answer stream is de-duplicated per request id within the watermark
-(first answer wins) and joined to the request stream with a left outer
-join bounded by the deadline; state is dropped once the watermark passes
-the deadline, so memory is bounded by the traffic in one deadline window.
+The answers of all kinds are one stream; the request stream is joined to it
+within the deadline and one aggregate per request keeps the first answer of
+each kind.  The plan is that of the batch twins (``operators/serving.py``)
+with watermarks: a request's state is dropped, and its row sent, once the
+watermark passes its deadline, so memory is bounded by the traffic in one
+deadline window.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators.serving import valid_requests
+from ..operators.serving import answer_columns, first_answers, tagged_answers, valid_requests
 
 
-def _answers(responses: DataFrame, prefix: str, value_cols: list[str], delay: str) -> DataFrame:
-    r = responses.select(F.col("request_id").alias(f"{prefix}_id"),
-                         F.col("ts").alias(f"{prefix}_ts"),
-                         F.col("status").alias(f"{prefix}_status"), *value_cols)
-    return (r.withWatermark(f"{prefix}_ts", delay)
-             .dropDuplicatesWithinWatermark([f"{prefix}_id"]))
-
-
-def _join(left: DataFrame, answers: DataFrame, prefix: str, deadline: int) -> DataFrame:
-    cond = F.expr(f"request_id = {prefix}_id AND {prefix}_ts >= ts "
-                  f"AND {prefix}_ts <= ts + INTERVAL {int(deadline)} SECONDS")
-    # only one event-time column may flow into the next stateful join
-    return left.join(answers, cond, "leftOuter").drop(f"{prefix}_id", f"{prefix}_ts")
+def _merge(requests: DataFrame, responses: dict[str, DataFrame], deadline: int, delay: str) -> DataFrame:
+    req = valid_requests(requests).select("request_id", "ts").withWatermark("ts", delay)
+    marked = {k: r.withWatermark("ts", delay) for k, r in responses.items()}
+    kinds = list(responses)
+    return answer_columns(first_answers(req, tagged_answers(marked), kinds, deadline), kinds)
 
 
 def merge_response_streams(requests: DataFrame, regression: DataFrame, classification: DataFrame,
                            deadline: int = K.RESPONSE_DEADLINE_SECONDS,
                            delay: str = "20 seconds") -> DataFrame:
-    req = valid_requests(requests).select("request_id", "ts").withWatermark("ts", delay)
-    j = _join(req, _answers(regression, "regression", ["predicted_delay_minutes"], delay),
-              "regression", deadline)
-    j = _join(j, _answers(classification, "classification",
-                          ["probability_over_30min", "probability_over_60min"], delay),
-              "classification", deadline)
-    has_r = F.col("regression_status").isNotNull()
-    has_c = F.col("classification_status").isNotNull()
-    status = F.when(has_r & has_c, "success").when(has_r | has_c, "partial").otherwise("timeout")
-    return j.select("request_id", status.alias("status"), "regression_status",
-                    "predicted_delay_minutes", "classification_status",
-                    "probability_over_30min", "probability_over_60min")
-
-
-def single_response_stream(requests: DataFrame, regression: DataFrame,
+    return _merge(requests, {"regression": regression, "classification": classification}, deadline, delay)
+
+
+def single_response_stream(requests: DataFrame, responses: DataFrame, kind: str = "regression",
                            deadline: int = K.RESPONSE_DEADLINE_SECONDS,
                            delay: str = "20 seconds") -> DataFrame:
-    req = valid_requests(requests).select("request_id", "ts").withWatermark("ts", delay)
-    j = _join(req, _answers(regression, "regression", ["predicted_delay_minutes"], delay),
-              "regression", deadline)
-    status = F.when(F.col("regression_status").isNotNull(), "success").otherwise("timeout")
-    return j.select("request_id", status.alias("status"), "regression_status",
-                    "predicted_delay_minutes")
+    return _merge(requests, {kind: responses}, deadline, delay)

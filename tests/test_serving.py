@@ -83,7 +83,9 @@ def test_merge_both_one_none_error_and_first_match(spark):
     cls = spark.createDataFrame([("a", t0 + 5 * s, 10.0, 5.0, "success"), ("b", t0 + 10 * s, 20.0, 1.0, "success")],
                                 "request_id string, ts timestamp, probability_over_30min double, "
                                 "probability_over_60min double, status string")
+    reg = reg.withColumn("model_type", F.lit("A")).withColumn("error", F.when(F.col("status") == "error", "bad"))
     got = {r.request_id: r for r in V.merged_response(req, reg, cls).collect()}
+    assert got["a"].regression_model_type == "A" and got["c"].regression_error == "bad"
     assert got["a"].status == "success" and got["a"].predicted_delay_minutes == 1.0   # first answer
     assert got["b"].status == "partial" and got["b"].regression_status is None      # 11 s: too late
     assert got["c"].status == "partial" and got["c"].regression_status == "error"   # error counts
@@ -98,3 +100,28 @@ def test_validation_rule(spark):
         "request_id string, UniqueCarrier string, Origin string, Dest string, Distance int, DepHour int, CRSElapsedTime int")
     got = {r.request_id: r.is_valid for r in V.request_validation(req).collect()}
     assert got == {"1": True, "2": False, "3": False, "4": False, "5": False}
+
+
+def test_first_answer_inside_the_window_wins(spark):
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    s = dt.timedelta(seconds=1)
+    req = spark.createDataFrame([("a", t0), ("b", t0), ("c", t0)], "request_id string, ts timestamp")
+    reg = spark.createDataFrame(
+        [("a", t0 + 5 * s, 99.0, "success"), ("a", t0 + 2 * s, 1.0, "success"), ("a", t0 - 3 * s, 7.0, "success"),
+         ("b", t0 - 1 * s, 5.0, "success"), ("c", t0 + 4 * s, 8.0, "success"), ("c", t0 + 4 * s, 3.0, "success")],
+        "request_id string, ts timestamp, predicted_delay_minutes double, status string")
+    got = {r.request_id: r for r in V.request_response_join(req, reg).collect()}
+    assert got["a"].predicted_delay_minutes == 1.0     # the later one first in the table, an early stray
+    assert got["b"].status == "timeout"                # answered before it was asked
+    assert got["c"].predicted_delay_minutes == 3.0     # same time: smallest values
+    cls = spark.createDataFrame([("a", t0 + s, 10.0, 5.0, "success")],
+                                "request_id string, ts timestamp, probability_over_30min double, "
+                                "probability_over_60min double, status string")
+    one = {r.request_id: r for r in V.request_response_join(req, cls, "classification").collect()}
+    assert one["a"].probability_over_30min == 10.0 and one["b"].status == "timeout"
+
+
+def test_no_answer_has_no_band(spark):
+    from tardy.functions import bands as B
+    r = spark.createDataFrame([(None,)], "x double").select(B.severity_band("x").alias("s"), B.risk_band("x").alias("r")).first()
+    assert r.s is None and r.r is None

@@ -17,6 +17,12 @@ def test_stream_single_equals_batch(spark):
     assert table(stream.toPandas()) == table(batch.toPandas())
 
 
+def test_stream_single_classification_equals_batch(spark):
+    stream = REGISTRY["stream_single_classification"](spark, SF_SMALL)
+    batch = REGISTRY["classification_response_join"](spark, SF_SMALL)
+    assert table(stream.toPandas()) == table(batch.toPandas())
+
+
 def test_fan_out_sends_each_request_twice(spark):
     out = REGISTRY["stream_fan_out"](spark, SF_SMALL)
     valid = REGISTRY["valid_requests"](spark, SF_SMALL).count()
