@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.prefix import exclusive_prefix_sums
-from ..plans.sizing import materialize
 
 
 def regression_metrics(df: DataFrame, label: str = "ArrDelay",
@@ -35,14 +34,28 @@ def accuracy(df: DataFrame, label: str, prediction: str = "prediction") -> DataF
     return df.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-def auc_rank_sum(df: DataFrame, score: str, label: str) -> DataFrame:
-    s = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"))
-    # one row per distinct score, stored once: both branches of the prefix
-    # sum read it instead of recomputing the lineage
-    per_score = materialize(s.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"),
-                                               F.count_if(F.col("y") == 0).alias("neg")))
-    ranked = exclusive_prefix_sums(per_score, "s", ["neg"])
+def _per_score(df: DataFrame, score: str, label: str, hit=None) -> DataFrame:
+    """One row per distinct score with its class counts (and hits)."""
+    s = df.select(F.col(score).cast("double").alias("s"), F.col(label).cast("int").alias("y"),
+                  (F.lit(0) if hit is None else hit.cast("int")).alias("h"))
+    return s.groupBy("s").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
+                              F.sum("h").alias("hits"), F.count(F.lit(1)).alias("rows"))
+
+
+def _auc(ranked: DataFrame) -> DataFrame:
     part = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2.0)
-    tot = ranked.agg(F.sum(part).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return tot.select((F.col("u") / (F.col("P") * F.col("N"))).alias("auc"),
-                      F.col("P").alias("positives"), F.col("N").alias("negatives"))
+    tot = ranked.agg(F.sum(part).alias("u"), F.sum("pos").alias("P"), F.sum("neg").alias("N"),
+                     F.sum("hits").alias("hits"), F.sum("rows").alias("rows"))
+    return tot.select(F.try_divide(F.col("u"), F.col("P") * F.col("N")).alias("auc"),
+                      F.col("P").alias("positives"), F.col("N").alias("negatives"),
+                      F.try_divide(F.col("hits"), F.col("rows")).alias("accuracy"))
+
+
+def auc_rank_sum(df: DataFrame, score: str, label: str) -> DataFrame:
+    return _auc(exclusive_prefix_sums(_per_score(df, score, label), "s", ["neg"])).drop("accuracy")
+
+
+def auc_and_accuracy(df: DataFrame, score: str, label: str, prediction: str = "prediction") -> DataFrame:
+    """Both from one aggregate over the predictions."""
+    hit = F.col(label).cast("double") == F.col(prediction).cast("double")
+    return _auc(exclusive_prefix_sums(_per_score(df, score, label, hit), "s", ["neg"]))

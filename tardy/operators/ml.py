@@ -2,34 +2,42 @@
 leaderboard, tuning, importances, save/load, batch scoring.
 
 Feature stages (indexers, one-hot encoders, assembler, scaler) are fitted
-ONCE per feature set and their output is persisted; every model of the
-comparison and every tuning fold reuses it instead of refitting the same
-stages.  The indexer and encoder are multi-column stages, so all five
-categorical columns are counted in one pass.
+ONCE per feature set and their output (label and feature vector only) is
+written; every model of the comparison and every tuning fold reads it
+instead of refitting the same stages.  The indexer and encoder are
+multi-column stages, so all five categorical columns are counted in one pass.
+
+The min-max scaler sees the numeric block alone, so that the one-hot slots
+stay sparse: scaling a 0/1 slot to [0, 1] changes nothing, except a slot that
+is 1 in every row, which stays 1 here and would become 0.5.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
-                                   MulticlassClassificationEvaluator, RegressionEvaluator)
 from pyspark.ml.feature import (MinMaxScaler, OneHotEncoder, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..plans.session import ensure_checkpoint_dir
+from ..plans.sizing import delete_path, path_exists, scratch_path
+from . import metrics as MT
 
 FEATURES = "features"
 RAW_FEATURES = "features_raw"
+NUMERIC_BLOCK, SCALED_BLOCK = "numeric_raw", "numeric_scaled"
+# rows of a model table that one task holds, about: boosting runs hundreds of
+# short jobs, whose cost on small tables is the number of tasks
+ROWS_PER_PARTITION = 100_000
 
 
 # ---------------------------------------------------------------- feature stages
@@ -41,21 +49,32 @@ def feature_stages(numeric: list[str], categorical: list[str] | None = None,
     indexer = StringIndexer(inputCols=categorical, outputCols=idx_cols,
                             handleInvalid="keep", stringOrderType="frequencyDesc")
     encoder = OneHotEncoder(inputCols=idx_cols, outputCols=vec_cols, dropLast=True)
-    assembler = VectorAssembler(inputCols=vec_cols + numeric, outputCol=RAW_FEATURES,
-                                handleInvalid="error")
-    if scaler == "standard":
+    if scaler == "standard":  # division only: sparse stays sparse
+        assembler = VectorAssembler(inputCols=vec_cols + numeric, outputCol=RAW_FEATURES,
+                                    handleInvalid="error")
         scale = StandardScaler(inputCol=RAW_FEATURES, outputCol=FEATURES,
                                withMean=False, withStd=True)
-    else:
-        scale = MinMaxScaler(inputCol=RAW_FEATURES, outputCol=FEATURES)
-    return [indexer, encoder, assembler, scale]
+        return [indexer, encoder, assembler, scale]
+    block = VectorAssembler(inputCols=numeric, outputCol=NUMERIC_BLOCK, handleInvalid="error")
+    scale = MinMaxScaler(inputCol=NUMERIC_BLOCK, outputCol=SCALED_BLOCK)
+    assembler = VectorAssembler(inputCols=vec_cols + [SCALED_BLOCK], outputCol=FEATURES,
+                                handleInvalid="error")
+    return [indexer, encoder, block, scale, assembler]
+
 
+def fill_inputs(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """The policy for null numeric inputs (the assembler rejects them): the
+    value that serving assumes for a missing request field, else 0.  No row
+    is lost; ``null_inputs`` counts what was filled."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(K.REQUEST_DEFAULTS.get(c, 0)))
+                           for c in numeric})
 
-def model_table(df: DataFrame, numeric: list[str], labels: list[str]) -> DataFrame:
-    """Model columns in a fixed order.  Rows with a null model input are
-    dropped here: the assembler rejects nulls."""
-    cols = list(dict.fromkeys(K.CATEGORICAL_FEATURES + numeric + labels))
-    return df.select(cols).dropna(subset=numeric + labels)
+
+def null_inputs(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """(column, nulls) for every numeric input, in one pass."""
+    stack = ", ".join(f"'{c}', n{i}" for i, c in enumerate(numeric))
+    return (df.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(numeric)])
+              .selectExpr(f"stack({len(numeric)}, {stack}) as (column, nulls)"))
 
 
 def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -65,25 +84,36 @@ def random_split(df: DataFrame, weights=(0.8, 0.2), seed: int = 42) -> tuple[Dat
 
 @dataclass
 class Prepared:
+    """Fitted feature stages and the written (labels, vector) tables."""
     features: PipelineModel
     train: DataFrame
     test: DataFrame
     numeric: list[str]
+    root: str = ""
 
     def release(self):
-        self.train.unpersist()
-        self.test.unpersist()
-
-
-def prepare(train: DataFrame, test: DataFrame, numeric: list[str],
-            scaler: str = "minmax") -> Prepared:
-    """Fit the feature stages once on the training rows; persist the
-    transformed frames (spill to disk, recomputed from lineage if lost)."""
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+        """Delete the written tables."""
+        delete_path(self.train.sparkSession, self.root)
+
+
+def prepare(train: DataFrame, test: DataFrame, numeric: list[str], scaler: str = "minmax",
+            labels: list[str] | None = None) -> Prepared:
+    """Fit the feature stages once on the training rows and write labels and
+    vectors of both parts (written tables survive lost executors and are
+    read by every model; the raw columns are not carried along).  ``train``
+    and ``test`` should read a written table: several passes go over them."""
+    spark = train.sparkSession
+    labels = [K.TARGET] if labels is None else labels
+    train, test = fill_inputs(train, numeric), fill_inputs(test, numeric)
     fm = Pipeline(stages=feature_stages(numeric, scaler=scaler)).fit(train)
-    tr = fm.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    te = fm.transform(test).persist(StorageLevel.MEMORY_AND_DISK)
-    return Prepared(fm, tr, te, numeric)
+    root = scratch_path(spark, "models")
+    parts = []
+    for name, rows in (("train", train), ("test", test)):
+        tasks = max(1, -(-rows.count() // ROWS_PER_PARTITION))
+        have = fm.transform(rows).select(*labels, FEATURES)
+        have.coalesce(tasks).write.parquet(f"{root}/{name}")
+        parts.append(spark.read.schema(have.schema).parquet(f"{root}/{name}"))
+    return Prepared(fm, *parts, numeric, root)
 
 
 # ---------------------------------------------------------------- estimators
@@ -105,16 +135,16 @@ def classifier(label: str, trees: int = 50, depth: int = 10, seed: int = 42):
 
 
 def regression_scores(pred: DataFrame, label: str = K.TARGET) -> dict[str, float]:
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction")
-    return {m: ev.evaluate(pred, {ev.metricName: m}) for m in ("rmse", "mae", "r2")}
+    """RMSE, MAE and R^2 from one pass over the predictions."""
+    r = MT.regression_metrics(pred, label).first()
+    return {m: r[m] for m in ("rmse", "mae", "r2")}
 
 
 def classification_scores(pred: DataFrame, label: str) -> dict[str, float]:
-    auc = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
-                                        metricName="areaUnderROC").evaluate(pred)
-    acc = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction",
-                                            metricName="accuracy").evaluate(pred)
-    return {"auc": auc, "accuracy": acc}
+    """Exact AUC and accuracy; the model runs once."""
+    scored = pred.select(vector_to_array("probability")[1].alias("score"), label, "prediction")
+    r = MT.auc_and_accuracy(scored, "score", label).first()
+    return {"auc": r.auc, "accuracy": r.accuracy}
 
 
 @dataclass
@@ -134,12 +164,17 @@ class Fitted:
 def train_compare(prep: Prepared, estimators: dict, kind: str,
                   label: str = K.TARGET) -> list[Fitted]:
     ensure_checkpoint_dir(prep.train.sparkSession)
-    out = []
-    for i, (name, est) in enumerate(estimators.items()):
-        model = est.fit(prep.train)
-        out.append(Fitted(name, kind, model, regression_scores(model.transform(prep.test), label),
-                          i, prep))
-    return out
+    train = prep.train.cache()
+    try:
+        def fit(job):
+            i, (name, est) = job
+            model = est.fit(train)
+            return Fitted(name, kind, model, regression_scores(model.transform(prep.test), label), i, prep)
+        # the models are independent; their many short jobs share the cluster
+        with ThreadPoolExecutor(len(estimators)) as pool:
+            return list(pool.map(fit, enumerate(estimators.items())))
+    finally:
+        train.unpersist()
 
 
 def leaderboard(spark: SparkSession, fitted: list[Fitted]) -> DataFrame:
@@ -166,25 +201,44 @@ def pick_best(fitted: list[Fitted]) -> Fitted:
 
 
 def tune_gbt(prep: Prepared, label: str = K.TARGET, iters=(20, 50, 100), depths=(4, 6),
-             folds: int = 3, seed: int = 42, parallelism: int = 2) -> dict:
+             folds: int = 3, seed: int = 42, parallelism: int = 3) -> dict:
     """Default boosted trees vs a cross-validated grid (features outside the
-    grid: fitted once).  Returns baseline/tuned RMSE and the best params."""
+    grid: fitted once).  Returns baseline/tuned RMSE and the best params.
+
+    Boosting with the same seed builds the same first trees whatever the
+    number of iterations, so one fit of the largest number per fold and
+    depth serves every grid point of that depth: its error after each
+    iteration comes from one pass over the fold's validation rows.
+    """
     ensure_checkpoint_dir(prep.train.sparkSession)
     gbt = GBTRegressor(featuresCol=FEATURES, labelCol=label, seed=seed)
-    ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="rmse")
     base = gbt.fit(prep.train)
-    rmse_base = ev.evaluate(base.transform(prep.test))
-    grid = ParamGridBuilder().addGrid(gbt.maxIter, list(iters)).addGrid(gbt.maxDepth, list(depths)).build()
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        seed=seed, parallelism=parallelism)
-    cvm = cv.fit(prep.train)
-    best = cvm.bestModel
-    rmse_tuned = ev.evaluate(best.transform(prep.test))
+    rmse_base = regression_scores(base.transform(prep.test), label)["rmse"]
+    fold = F.pmod(F.xxhash64(F.unwrap_udt(FEATURES), F.col(label), F.lit(seed)), F.lit(folds))
+    rows = prep.train.withColumn("_fold", fold).cache()
+
+    def fit(job):
+        depth, k = job
+        model = gbt.copy({gbt.maxIter: max(iters), gbt.maxDepth: depth}).fit(rows.filter(F.col("_fold") != k))
+        errors = model.evaluateEachIteration(rows.filter(F.col("_fold") == k), "squared")
+        return [(depth, n, errors[n - 1] ** 0.5) for n in iters]
+
+    try:
+        jobs = [(d, k) for d in depths for k in range(folds)]
+        with ThreadPoolExecutor(parallelism) as pool:
+            found = [r for rs in pool.map(fit, jobs) for r in rs]
+    finally:
+        rows.unpersist()
+    mean = {(n, d): sum(e for dd, nn, e in found if (nn, dd) == (n, d)) / folds
+            for n in iters for d in depths}
+    best_iter, best_depth = min(mean, key=mean.get)  # the first of equal points
+    best = gbt.copy({gbt.maxIter: best_iter, gbt.maxDepth: best_depth}).fit(prep.train)
+    rmse_tuned = regression_scores(best.transform(prep.test), label)["rmse"]
     return {"rmse_baseline": rmse_base, "rmse_tuned": rmse_tuned,
             "gain": rmse_base - rmse_tuned,
             "gain_pct": (1 - rmse_tuned / rmse_base) * 100 if rmse_base else None,
-            "best_maxIter": best.getMaxIter(), "best_maxDepth": best.getMaxDepth(),
-            "fits": len(grid) * folds + 1}
+            "best_maxIter": best_iter, "best_maxDepth": best_depth,
+            "fits": len(mean) * folds + 1}
 
 
 def tuning_frame(spark: SparkSession, result: dict) -> DataFrame:
@@ -195,13 +249,16 @@ def tuning_frame(spark: SparkSession, result: dict) -> DataFrame:
 
 
 # ---------------------------------------------------------------- importances
-def feature_names(df: DataFrame, column: str = RAW_FEATURES) -> list[str]:
-    """Slot names from the assembler's attribute metadata."""
+def feature_names(df: DataFrame, numeric: list[str], column: str = FEATURES) -> list[str]:
+    """Slot names from the assembler's attribute metadata; the slots of the
+    scaled block are the numeric columns in order."""
     attrs = df.schema[column].metadata["ml_attr"]["attrs"]
     slots = [a for group in attrs.values() for a in group]
     names = [""] * (max(a["idx"] for a in slots) + 1)
     for a in slots:
-        names[a["idx"]] = a["name"]
+        name = a["name"]
+        block = name.removeprefix(f"{SCALED_BLOCK}_")
+        names[a["idx"]] = numeric[int(block)] if block != name else name
     return names
 
 
@@ -231,16 +288,16 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str) -> PipelineModel | None:
-    """A missing or unreadable model loads as None (scoring then answers
-    with error rows)."""
-    try:
-        return PipelineModel.load(path)
-    except Exception:  # noqa: BLE001
+    """A missing model loads as None (scoring then answers with error rows);
+    any other fault is raised."""
+    if not path_exists(SparkSession.builder.getOrCreate(), path):
         return None
+    return PipelineModel.load(path)
 
 
 # ---------------------------------------------------------------- scoring
-_ML_COLS = ["rawPrediction", "probability", "prediction", RAW_FEATURES, FEATURES]
+_ML_COLS = ["rawPrediction", "probability", "prediction", RAW_FEATURES, FEATURES, NUMERIC_BLOCK,
+            SCALED_BLOCK]
 
 
 def _drop_ml(df: DataFrame) -> DataFrame:
@@ -253,42 +310,47 @@ def _error_rows(df: DataFrame, message: str, cols: list[tuple[str, str]]) -> Dat
                      F.lit("error").alias("status"), F.lit(message).alias("error"))
 
 
+def _finite(column: str) -> F.Column:
+    x = F.col(column).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
 def finite_features(numeric: list[str]) -> F.Column:
     """True when every numeric input is present and finite.  A row failing
     it would make the assembler fail the whole batch / micro-batch."""
     ok = F.lit(True)
     for c in numeric:
-        x = F.col(c).cast("double")
-        ok = ok & x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+        ok = ok & _finite(c)
     return ok
 
 
+def _neutral(df: DataFrame, numeric: list[str]) -> DataFrame:
+    """Non-finite inputs as 0, so every row passes the assembler; the row's
+    validity is known from before."""
+    return df.withColumns({c: F.when(_finite(c), F.col(c)).otherwise(F.lit(0)) for c in numeric})
+
+
 def score_regression(features: DataFrame, model_a: PipelineModel | None,
                      model_b: PipelineModel | None) -> DataFrame:
     """model_type B -> model B (adds DepDelay, TaxiOut); anything else -> A.
     Rows whose inputs are not finite answer with an error row; the rest of
-    the batch is scored."""
+    the batch is scored.  One pass: both models run in a chain over neutral
+    inputs and each row takes the prediction of its own."""
     cols = [("predicted_delay_minutes", "double"), ("model_type", "string")]
     if model_a is None or model_b is None:
         return _error_rows(features, "Regression models not loaded", cols)
-    is_b = F.col("model_type") == K.MODEL_B
-    parts = []
-    for model, rows, numeric in (
-            (model_b, features.filter(is_b), K.NUMERIC_FEATURES_WITH_DEP),
-            (model_a, features.filter(~is_b | F.col("model_type").isNull()), K.NUMERIC_FEATURES)):
-        ok = finite_features(numeric)
-        parts.append(model.transform(rows.filter(ok)).select(
-            "request_id", F.round("prediction", 2).alias("predicted_delay_minutes"),
-            "model_type", F.lit("success").alias("status"),
-            F.lit(None).cast("string").alias("error")))
-        parts.append(rows.filter(~ok).select(
-            "request_id", F.lit(None).cast("double").alias("predicted_delay_minutes"),
-            "model_type", F.lit("error").alias("status"),
-            F.lit("invalid feature value").alias("error")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    is_b = F.coalesce(F.col("model_type") == K.MODEL_B, F.lit(False))
+    rows = features.withColumn("_b", is_b).withColumn(
+        "_ok", F.when(F.col("_b"), finite_features(K.NUMERIC_FEATURES_WITH_DEP))
+                .otherwise(finite_features(K.NUMERIC_FEATURES)))
+    rows = _neutral(rows, K.NUMERIC_FEATURES_WITH_DEP)
+    rows = _drop_ml(model_b.transform(rows).withColumn("_pb", F.col("prediction")))
+    rows = model_a.transform(rows)
+    picked = F.round(F.when(F.col("_b"), F.col("_pb")).otherwise(F.col("prediction")), 2)
+    return rows.select(
+        "request_id", F.when(F.col("_ok"), picked).alias("predicted_delay_minutes"), "model_type",
+        F.when(F.col("_ok"), "success").otherwise("error").alias("status"),
+        F.when(~F.col("_ok"), "invalid feature value").alias("error"))
 
 
 def positive_percent(col: str = "probability") -> F.Column:
@@ -300,15 +362,15 @@ def score_classification(features: DataFrame, model_30: PipelineModel | None,
     cols = [("probability_over_30min", "double"), ("probability_over_60min", "double")]
     if model_30 is None or model_60 is None:
         return _error_rows(features, "Classification models not loaded", cols)
-    ok = finite_features(K.NUMERIC_FEATURES)
-    p30 = _drop_ml(model_30.transform(features.filter(ok)).withColumn("_p30", positive_percent()))
-    p60 = model_60.transform(p30).withColumn("_p60", positive_percent())
-    scored = p60.select("request_id",
-                        F.round("_p30", 1).alias("probability_over_30min"),
-                        F.round("_p60", 1).alias("probability_over_60min"),
-                        F.lit("success").alias("status"), F.lit(None).cast("string").alias("error"))
-    bad = _error_rows(features.filter(~ok), "invalid feature value", cols)
-    return scored.unionByName(bad)
+    rows = _neutral(features.withColumn("_ok", finite_features(K.NUMERIC_FEATURES)), K.NUMERIC_FEATURES)
+    rows = _drop_ml(model_30.transform(rows).withColumn("_p30", positive_percent()))
+    rows = model_60.transform(rows).withColumn("_p60", positive_percent())
+    ok = F.col("_ok")
+    return rows.select(
+        "request_id", F.when(ok, F.round("_p30", 1)).alias("probability_over_30min"),
+        F.when(ok, F.round("_p60", 1)).alias("probability_over_60min"),
+        F.when(ok, "success").otherwise("error").alias("status"),
+        F.when(~ok, "invalid feature value").alias("error"))
 
 
 def with_residuals(pred: DataFrame, label: str = K.TARGET) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvalu
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from tardy.catalog import classification_table, enriched_regression
+from tardy.catalog import classification_table, enriched_regression, regression_model_table
 from tardy.functions import constants as K
 from tardy.operators import metrics as MT
 from tardy.operators import ml as M
@@ -18,11 +18,18 @@ from tardy.operators import ml as M
 
 @pytest.fixture(scope="module")
 def prepared(spark):
-    table = M.model_table(enriched_regression(spark, SF_SMALL), K.NUMERIC_FEATURES, [K.TARGET])
-    train, test = M.random_split(table)
+    train, test = raw_split(spark)
     return M.prepare(train, test, K.NUMERIC_FEATURES)
 
 
+def raw_split(spark):
+    return M.random_split(regression_model_table(spark, SF_SMALL))
+
+
+def raw_test_rows(spark):
+    return M.fill_inputs(raw_split(spark)[1], K.NUMERIC_FEATURES_WITH_DEP)
+
+
 def test_regression_twin_equals_evaluator(spark):
     pred = enriched_regression(spark, SF_SMALL).select(
         K.TARGET, F.col("AvgCarrierHourDelay").alias("prediction"))
@@ -55,8 +62,7 @@ def test_models_beat_the_mean_and_round_trip(spark, prepared):
     path = os.path.join(tempfile.mkdtemp(prefix="tardy-model-"), "m")
     M.save_model(pipe, path)
     again = M.load_model(path)
-    raw = prepared.test.select(*[c for c in prepared.test.columns
-                                 if not c.endswith(("Index", "Vec")) and c not in ("features", "features_raw")])
+    raw = raw_test_rows(spark)
     a = pipe.transform(raw).select("prediction").collect()
     b = again.transform(raw).select("prediction").collect()
     assert a == b
@@ -65,8 +71,8 @@ def test_models_beat_the_mean_and_round_trip(spark, prepared):
 
 def test_importance_names_cover_the_vector(spark, prepared):
     rf = M.regressors(rf_trees=3, rf_depth=3)["Random Forest"].fit(prepared.train)
-    names = M.feature_names(prepared.train)
-    assert len(names) == rf.featureImportances.size
+    names = M.feature_names(prepared.train, prepared.numeric)
+    assert len(names) == rf.featureImportances.size and set(prepared.numeric) <= set(names)
     top = M.feature_importance(spark, rf, names, top=5).collect()
     assert len(top) <= 5 and all(r.Importance >= 0 for r in top)
 
@@ -82,9 +88,7 @@ def test_scoring_without_models_gives_error_rows(spark):
 def test_non_finite_inputs_become_error_rows(spark, prepared):
     lr = M.regressors()["Linear Regression"].fit(prepared.train)
     pipe = M.PipelineModel(stages=list(prepared.features.stages) + [lr])
-    cols = [c for c in prepared.test.columns
-            if not c.endswith(("Index", "Vec")) and c not in ("features", "features_raw")]
-    rows = prepared.test.select(*cols).limit(4).withColumn(
+    rows = raw_test_rows(spark).limit(4).withColumn(
         "request_id", F.monotonically_increasing_id().cast("string"))
     rows = rows.withColumn("DepDelay", F.lit(float("nan"))).withColumn("TaxiOut", F.lit(10))
     rows = rows.withColumn("model_type", F.when(F.col("request_id") == "0", "B").otherwise("A"))
@@ -97,3 +101,40 @@ def test_non_finite_inputs_become_error_rows(spark, prepared):
             assert r.status == "error" and r.error == "invalid feature value"
         else:
             assert r.status == "success" and r.predicted_delay_minutes is not None
+
+
+def test_written_features_are_sparse_and_no_row_is_lost(spark, prepared):
+    kinds = prepared.train.select(F.unwrap_udt("features")["type"].alias("t")).distinct().collect()
+    assert [r.t for r in kinds] == [0]
+    assert prepared.train.columns == [K.TARGET, "features"]
+    assert prepared.train.count() + prepared.test.count() == enriched_regression(spark, SF_SMALL).count()
+
+
+def test_one_feature_linear_regression_equals_the_aggregate(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    t = enriched_regression(spark, SF_SMALL).select("DepDelay", K.TARGET)
+    m = LinearRegression(labelCol=K.TARGET, featuresCol="v", solver="normal").fit(
+        VectorAssembler(inputCols=["DepDelay"], outputCol="v").transform(t))
+    s = t.agg(F.regr_slope(K.TARGET, "DepDelay"), F.regr_intercept(K.TARGET, "DepDelay")).first()
+    assert math.isclose(m.coefficients[0], s[0], rel_tol=1e-9) and math.isclose(m.intercept, s[1], rel_tol=1e-7)
+
+
+def test_grid_search_by_prefixes_equals_fits_of_each_size(spark, prepared):
+    """The error after k iterations of a long fit is that of a fit of k."""
+    from pyspark.ml.regression import GBTRegressor
+    long = GBTRegressor(labelCol=K.TARGET, maxIter=6, maxDepth=3, seed=42).fit(prepared.train)
+    errors = long.evaluateEachIteration(prepared.test, "squared")
+    for n in (2, 4):
+        short = GBTRegressor(labelCol=K.TARGET, maxIter=n, maxDepth=3, seed=42).fit(prepared.train)
+        rmse = M.regression_scores(short.transform(prepared.test))["rmse"]
+        assert math.isclose(rmse, errors[n - 1] ** 0.5, rel_tol=1e-9)
+    got = M.tune_gbt(prepared, iters=(2, 4), depths=(2, 3), folds=2)
+    assert got["fits"] == 9 and got["best_maxIter"] in (2, 4) and got["rmse_tuned"] > 0
+
+
+def test_a_broken_model_is_an_error_and_a_missing_one_is_none(tmp_path, spark):
+    (tmp_path / "broken" / "metadata").mkdir(parents=True)
+    assert M.load_model(str(tmp_path / "none")) is None
+    with pytest.raises(Exception):
+        M.load_model(str(tmp_path / "broken"))
