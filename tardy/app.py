@@ -6,9 +6,11 @@ regression feature sets (without / with departure delay) are compared
 across the three regressors, the best of each is saved as a servable
 pipeline, and the two risk classifiers are trained and saved.
 
-``serve`` loads that state and starts the two scoring streams (request
-topic -> answers topic).  The merge of the two answer streams is
-``streaming.merge.merge_response_streams``.
+``serve`` starts the two scoring streams (request topic -> answers topic)
+from the saved state.  ``dispatch`` copies every valid incoming request to
+the input topics, ``collect_answers`` reads requests and answer topics and
+sends the merged answer of each request (or that of one kind) before or at
+its deadline, and ``lookup_distances`` answers distance queries.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from .operators import clean as C
 from .operators import enrich as J
 from .operators import ml as M
 from .operators import stats as S
+from .operators import serving as V
 from .plans.session import configure
-from .sources.schemas import REQUEST_SCHEMA
+from .plans.sizing import MAX_BROADCAST_BYTES, materialize
+from .sources.schemas import ANSWER_SCHEMAS, REQUEST_SCHEMA
 from .streaming import io as SIO
+from .streaming import merge as SM
 from .streaming import scoring as SS
 
 MODEL_DIRS = {"A": "model_a", "B": "model_b", 30: "model_classification_30",
@@ -40,45 +45,43 @@ class TrainResult:
     best: dict
 
 
-def _tree_params(quick: bool) -> dict:
-    # quick: small trees for smoke runs; otherwise the reference sizes
-    return {"gbt_iter": 5, "gbt_depth": 3, "rf_trees": 5, "rf_depth": 5} if quick else {}
-
-
-def train(spark: SparkSession, trips: DataFrame, out_dir: str, quick: bool = False) -> TrainResult:
+def train(spark: SparkSession, trips: DataFrame, out_dir: str,
+          regressor_sizes: dict | None = None, classifier_sizes: dict | None = None) -> TrainResult:
+    """The sizes override the reference's numbers of trees, depths and
+    iterations (``M.regressors``, ``M.classifier``)."""
     configure(spark)
     out = out_dir.rstrip("/")
     reg = C.clean_regression(trips)
     stats = S.compute_stats(reg)
     S.save_stats({**stats, "route_distances": S.route_distances(trips)}, f"{out}/{STATS_DIR}")
-    table = M.model_table(J.enrich_all(reg, stats), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])
+    # written once: the split and every pass over it read the same rows
+    table = materialize(C.model_input(J.enrich_all(reg, stats), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET]))
     train_df, test_df = M.random_split(table)
     fits, best = [], {}
     for kind, numeric in (("A", K.NUMERIC_FEATURES), ("B", K.NUMERIC_FEATURES_WITH_DEP)):
         prep = M.prepare(train_df, test_df, numeric)
-        kind_fits = M.train_compare(prep, M.regressors(**_tree_params(quick)), kind)
+        kind_fits = M.train_compare(prep, M.regressors(**(regressor_sizes or {})), kind)
         winner = M.pick_best(kind_fits)
         M.save_model(winner.pipeline(), f"{out}/{MODEL_DIRS[kind]}")
         best[kind] = winner.name
         fits += kind_fits
+        prep.release()
     # classification: statistics over status-filtered rows, late null drop
     base = C.clean_classification_base(trips)
+    labels = [f"DelayOver{t}" for t in K.LABEL_THRESHOLDS]
     labelled = J.enrich_all(base).withColumns(
         {f"DelayOver{t}": X.delay_label(t) for t in K.LABEL_THRESHOLDS}
     ).dropna(subset=["ArrDelay", "UniqueCarrier", "Origin", "Dest"])
-    labels = [f"DelayOver{t}" for t in K.LABEL_THRESHOLDS]
-    ctab = M.model_table(labelled, K.NUMERIC_FEATURES, labels)
-    ctrain, ctest = M.random_split(ctab)
-    cprep = M.prepare(ctrain, ctest, K.NUMERIC_FEATURES)
+    ctrain, ctest = M.random_split(materialize(C.model_input(labelled, K.NUMERIC_FEATURES, labels)))
+    cprep = M.prepare(ctrain, ctest, K.NUMERIC_FEATURES, labels=labels)
     rows = []
-    for t in K.LABEL_THRESHOLDS:
-        label = f"DelayOver{t}"
-        trees = {"trees": 5, "depth": 5} if quick else {}
-        model = M.classifier(label, **trees).fit(cprep.train)
+    for t, label in zip(K.LABEL_THRESHOLDS, labels):
+        model = M.classifier(label, **(classifier_sizes or {})).fit(cprep.train)
         scores = M.classification_scores(model.transform(cprep.test), label)
         M.save_model(M.Fitted(label, "classification", model, scores, 0, cprep).pipeline(),
                      f"{out}/{MODEL_DIRS[t]}")
         rows.append((label, float(scores["auc"]), float(scores["accuracy"])))
+    cprep.release()
     cls = spark.createDataFrame(rows, "label string, auc double, accuracy double")
     return TrainResult(M.leaderboard(spark, fits), cls, best)
 
@@ -96,7 +99,7 @@ def load_serving(spark: SparkSession, out_dir: str) -> Serving:
     """Saved statistics (size-checked broadcast) and the four pipelines;
     a missing model loads as None and its stream answers with error rows."""
     out = out_dir.rstrip("/")
-    stats = S.load_stats(spark, f"{out}/{STATS_DIR}", max_broadcast_rows=2_000_000)
+    stats = S.load_stats(spark, f"{out}/{STATS_DIR}", max_broadcast_bytes=MAX_BROADCAST_BYTES)
     models = {k: M.load_model(f"{out}/{d}") for k, d in MODEL_DIRS.items()}
     return Serving(stats, models["A"], models["B"], models[30], models[60])
 
@@ -113,17 +116,65 @@ def serve(spark: SparkSession, serving: Serving, fmt: str, checkpoint_root: str,
     root = checkpoint_root.rstrip("/")
     queries = []
     for kind in ("regression", "classification"):
-        src = dict(inputs[kind])
-        path = src.pop("path", None)
-        requests = SIO.read_json_stream(spark, REQUEST_SCHEMA, fmt, path=path, options=src)
+        requests = _source(spark, REQUEST_SCHEMA, fmt, inputs[kind])
         if kind == "regression":
             answers = SS.score_regression_stream(requests, serving.stats, serving.model_a, serving.model_b)
         else:
             answers = SS.score_classification_stream(requests, serving.stats, serving.model_30,
                                                      serving.model_60)
-        sink = dict(outputs[kind])
-        sink_path = sink.pop("path", None)
-        sink_fmt = sink.pop("format", fmt)
-        queries.append(SIO.write_stream(SIO.to_messages(answers), sink_fmt, f"{root}/{kind}",
-                                        path=sink_path, options=sink, trigger=trigger))
+        queries.append(_sink(answers, fmt, f"{root}/{kind}", outputs[kind], trigger))
     return queries
+
+
+def _source(spark: SparkSession, schema, fmt: str, options: dict) -> DataFrame:
+    src = dict(options)
+    path = src.pop("path", None)
+    return SIO.read_json_stream(spark, schema, src.pop("format", fmt), path=path, options=src)
+
+
+def _sink(df: DataFrame, fmt: str, checkpoint: str, options: dict, trigger: dict | None):
+    out = dict(options)
+    path, kind = out.pop("path", None), out.pop("format", fmt)
+    return SIO.write_stream(SIO.to_messages(df, stamp=kind != "kafka"), kind, checkpoint, path=path,
+                            options=out, trigger=trigger)
+
+
+def dispatch(spark: SparkSession, fmt: str, checkpoint: str, source: dict, outputs: dict,
+             trigger: dict | None = None):
+    """Every valid request to each of ``outputs`` (name -> sink options), one
+    read of the source."""
+    configure(spark)
+    requests = V.valid_requests(_source(spark, REQUEST_SCHEMA, fmt, source))
+
+    def writer(options: dict):
+        def write(batch: DataFrame, _batch_id: int):
+            out = dict(options)
+            path, kind = out.pop("path", None), out.pop("format", fmt)
+            w = SIO.to_messages(batch, stamp=kind != "kafka").write.mode("append").format(kind).options(**out)
+            w.save(path) if path else w.save()
+        return write
+
+    w = SS.fan_out(requests, {k: writer(o) for k, o in outputs.items()}).option("checkpointLocation", checkpoint)
+    return (w.trigger(**trigger) if trigger else w).start()
+
+
+def collect_answers(spark: SparkSession, fmt: str, checkpoint: str, requests: dict, answers: dict,
+                    output: dict, trigger: dict | None = None, delay: str = "20 seconds",
+                    deadline: int = K.RESPONSE_DEADLINE_SECONDS):
+    """Merged answers of the kinds in ``answers`` (kind -> source options of
+    its answer topic): both kinds give success, partial or timeout, one kind
+    success or timeout."""
+    configure(spark)
+    req = _source(spark, REQUEST_SCHEMA, fmt, requests)
+    streams = {k: _source(spark, ANSWER_SCHEMAS[k], fmt, o) for k, o in answers.items()}
+    if len(streams) == 1:
+        kind, = streams
+        merged = SM.single_response_stream(req, streams[kind], kind, deadline, delay)
+    else:
+        merged = SM.merge_response_streams(req, streams["regression"], streams["classification"], deadline, delay)
+    return _sink(merged, fmt, checkpoint, output, trigger)
+
+
+def lookup_distances(serving: Serving, pairs: DataFrame) -> DataFrame:
+    """Distances of (Origin, Dest) rows from the saved route table."""
+    return V.distance_lookup(pairs, serving.stats["route_distances"])
