@@ -60,6 +60,14 @@ def classification_table(spark, sf) -> DataFrame:
     return out.dropna(subset=["ArrDelay", "UniqueCarrier", "Origin", "Dest"])
 
 
+def labelled_flights(spark, sf) -> DataFrame:
+    """Labels and null drop of the classification table without its
+    statistics."""
+    base = C.clean_classification_base(flights_view(spark, sf))
+    out = base.withColumns({f"DelayOver{t}": X.delay_label(t) for t in K.LABEL_THRESHOLDS})
+    return out.dropna(subset=["ArrDelay", "UniqueCarrier", "Origin", "Dest"])
+
+
 # ---------------------------------------------------------------- sources / projections
 @register("project")
 def q_project(spark, sf):
@@ -253,7 +261,7 @@ def q_top_taxi_out(spark, sf):
 
 @register("label_balance")
 def q_label_balance(spark, sf):
-    return E.label_balance(classification_table(spark, sf))
+    return E.label_balance(labelled_flights(spark, sf))
 
 
 @register("summary_stats")
@@ -297,8 +305,7 @@ def q_union_tagged(spark, sf):
 
 @register("histogram")
 def q_histogram(spark, sf):
-    eda = _eda(spark, sf)
-    return D.histogram(eda, "ArrDelay", 50).unionByName(D.histogram(eda, "DepDelay", 50))
+    return D.histograms(_eda(spark, sf), ["ArrDelay", "DepDelay"], 50)
 
 
 @register("density_histogram")
@@ -330,8 +337,8 @@ from .sources import requests as R  # noqa: E402
 
 
 def serving_stats(spark, sf):
-    """The six statistics of the training table, materialised and
-    size-checked for broadcast."""
+    """The six statistics of the training table, written and size-checked for
+    broadcast."""
     return S.compute_stats(_reg(spark, sf))
 
 
@@ -349,7 +356,7 @@ def q_request_features(spark, sf):
 def q_distance_lookup(spark, sf):
     from .plans.sizing import bounded_broadcast
     req = V.valid_requests(R.requests_view(spark, sf)).select("request_id", "Origin", "Dest")
-    # one row per route: materialised, broadcast only below the row bound
+    # one row per route: written, broadcast only below the byte bound
     dist = bounded_broadcast(S.route_distances(flights_view(spark, sf)))
     return V.distance_lookup(req, dist)
 
@@ -382,6 +389,12 @@ def q_arrival_hour(spark, sf):
         "request_id", "DepHour", "DepMinute", "CRSElapsedTime", "CRSArrHour")
 
 
+@register("classification_response_join")
+def q_classification_response_join(spark, sf):
+    return V.request_response_join(R.requests_view(spark, sf),
+                                   R.classification_responses_view(spark, sf), "classification")
+
+
 @register("answer_bands")
 def q_answer_bands(spark, sf):
     return V.answer_bands(q_merged_response(spark, sf))
@@ -408,7 +421,7 @@ def q_error_rows(spark, sf):
     m = q_merged_response(spark, sf)
     return m.filter((F.col("regression_status") == "error")
                     | (F.col("classification_status") == "error")).select(
-        "request_id", "status", "regression_status", "classification_status")
+        "request_id", "status", "regression_status", "regression_error", "classification_status")
 
 
 @register("round_outputs")
@@ -435,20 +448,14 @@ def q_json_requests(spark, sf):
 
 
 # ---------------------------------------------------------------- models (MLlib)
-from pyspark import StorageLevel  # noqa: E402
 from pyspark.ml.functions import vector_to_array  # noqa: E402
 
 from .operators import metrics as MT  # noqa: E402
 from .operators import ml as M  # noqa: E402
 
-# Registered model queries keep the reference's forest sizes; boosted trees
-# use Spark's default size (20 iterations, depth 5) and a small tuning grid
-# so the whole registry stays cheap to check.  The library functions keep
-# the reference's numbers as their defaults (100 iterations, depth 7; grid
-# {20, 50, 100} x {4, 6}, 3 folds).
-QUERY_GBT = {"gbt_iter": 20, "gbt_depth": 5}
-QUERY_GRID = {"iters": (5, 10), "depths": (2, 3), "folds": 3}
-
+# Every registered model query has the reference sizes (the defaults of
+# operators/ml.py).  Fitted models and their written tables are shared by the
+# queries of one application until ``release``.
 _MEMO: dict = {}
 
 
@@ -462,11 +469,18 @@ def _memo(key, make):
     return _MEMO[key]
 
 
+def release() -> None:
+    """Forget the fitted models and delete every written table."""
+    from .plans.sizing import release_tables
+    _MEMO.clear()
+    release_tables()
+
+
 def regression_model_table(spark, sf) -> DataFrame:
-    def make():
-        t = M.model_table(enriched_regression(spark, sf), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])
-        return t.persist(StorageLevel.MEMORY_AND_DISK)
-    return _memo(("reg_table", spark, sf), make)
+    """Model columns of all enriched trips, written once."""
+    from .plans.sizing import materialize
+    return _memo(("reg_table", spark, sf), lambda: materialize(C.model_input(
+        enriched_regression(spark, sf), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])))
 
 
 def regression_split(spark, sf):
@@ -484,21 +498,21 @@ def regression_prepared(spark, sf, kind: str) -> M.Prepared:
 
 def regression_fits(spark, sf, kind: str) -> list:
     return _memo(("reg_fits", spark, sf, kind), lambda: M.train_compare(
-        regression_prepared(spark, sf, kind), M.regressors(**QUERY_GBT), kind))
+        regression_prepared(spark, sf, kind), M.regressors(), kind))
 
 
 def classification_model_table(spark, sf) -> DataFrame:
+    from .plans.sizing import materialize
     labels = [f"DelayOver{t}" for t in K.LABEL_THRESHOLDS]
-    def make():
-        t = M.model_table(classification_table(spark, sf), K.NUMERIC_FEATURES, labels)
-        return t.persist(StorageLevel.MEMORY_AND_DISK)
-    return _memo(("cls_table", spark, sf), make)
+    return _memo(("cls_table", spark, sf), lambda: materialize(C.model_input(
+        classification_table(spark, sf), K.NUMERIC_FEATURES, labels)))
 
 
 def classification_prepared(spark, sf) -> M.Prepared:
     def make():
         train, test = M.random_split(classification_model_table(spark, sf))
-        return M.prepare(train, test, K.NUMERIC_FEATURES)
+        return M.prepare(train, test, K.NUMERIC_FEATURES,
+                         labels=[f"DelayOver{t}" for t in K.LABEL_THRESHOLDS])
     return _memo(("cls_prep", spark, sf), make)
 
 
@@ -519,61 +533,81 @@ def _pick(fits, name):
 @register("string_index")
 def q_string_index(spark, sf):
     """Index of every category value (frequency order, ties by label): one
-    multi-column indexer fit (one pass), then the fitted model indexes the
-    distinct values of each column with their counts."""
-    table = regression_model_table(spark, sf)
+    grouping-sets count over the five columns, ranked per column."""
+    from pyspark.sql import Window
     cats = K.CATEGORICAL_FEATURES
-    model = M.StringIndexer(inputCols=cats, outputCols=[f"{c}_index" for c in cats],
-                            handleInvalid="keep", stringOrderType="frequencyDesc").fit(table)
-    out = None
-    for c in cats:
-        counts = table.groupBy(c).agg(F.count(F.lit(1)).alias("count"))
-        # other inputs null -> the model gives them the spare index; dropped below
-        filled = counts.select(*[F.col(x) if x == c else F.lit(None).cast("string").alias(x)
-                                 for x in cats], "count")
-        idx = model.transform(filled).select(F.lit(c).alias("column"), F.col(c).alias("label"),
-                                             "count", F.col(f"{c}_index").alias("index"))
-        out = idx if out is None else out.unionByName(idx)
-    return out
-
-
-def _encoded_model_table(spark, sf) -> DataFrame:
-    """Indexer, encoder and assembler fitted on the whole model table (the
-    stages every model of the comparison shares)."""
+    table = enriched_regression(spark, sf)
+    counts = (table.groupingSets([[c] for c in cats], *cats)
+                   .agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("gid")))
+    column, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, c in enumerate(cats):
+        here = F.col("gid") == (1 << len(cats)) - 1 - (1 << (len(cats) - 1 - i))
+        column, label = F.when(here, c).otherwise(column), F.when(here, F.col(c)).otherwise(label)
+    # as many rows per column as it has values
+    order = Window.partitionBy("column").orderBy(F.desc("count"), "label")
+    return (counts.select(column.alias("column"), label.alias("label"), "count")
+                  .withColumn("index", (F.row_number().over(order) - 1).cast("double")))
+
+
+def _fitted_stages(spark, sf, names: int) -> DataFrame:
+    """The first feature stages, fitted on the whole model table."""
     from pyspark.ml import Pipeline
-    table = regression_model_table(spark, sf)
-    stages = M.feature_stages(K.NUMERIC_FEATURES_WITH_DEP)[:3]
+    table = M.fill_inputs(regression_model_table(spark, sf), K.NUMERIC_FEATURES_WITH_DEP)
+    stages = M.feature_stages(K.NUMERIC_FEATURES_WITH_DEP, scaler="standard")[:names]
     return Pipeline(stages=stages).fit(table).transform(table)
 
 
+def _vector(column: str):
+    """(size, indices, values) of a vector column as the JVM stores it: a
+    dense vector has no size and no indices."""
+    v = F.unwrap_udt(column)
+    return F.coalesce(v["size"], F.size(v["values"])), v["indices"], v["values"]
+
+
 @register("one_hot")
 def q_one_hot(spark, sf):
     """Per row and categorical column: index, vector width, hot slot
-    (1-based; 0 = all-zero vector for an unseen value)."""
-    enc = _encoded_model_table(spark, sf)
+    (1-based; 0 = all-zero vector for an unseen value), read from the sparse
+    vectors."""
+    enc = _fitted_stages(spark, sf, 2)
     cols = []
     for c in K.CATEGORICAL_FEATURES:
-        arr = vector_to_array(F.col(f"{c}Vec"))
+        size, indices, _ = _vector(f"{c}Vec")
         cols += [F.col(c), F.col(f"{c}Index").cast("int").alias(f"{c}Index"),
-                 F.size(arr).alias(f"{c}Width"),
-                 F.array_position(arr, 1.0).cast("int").alias(f"{c}Hot")]
+                 size.cast("int").alias(f"{c}Width"),
+                 (F.coalesce(F.get(indices, F.lit(0)), F.lit(-1)) + 1).cast("int").alias(f"{c}Hot")]
     return enc.select(*cols)
 
 
 @register("assemble")
 def q_assemble(spark, sf):
     """Assembled vector width and number of non-zero slots per row."""
-    raw = vector_to_array(F.col(M.RAW_FEATURES))
-    return _encoded_model_table(spark, sf).select(
-        F.size(raw).alias("width"), F.size(F.filter(raw, lambda v: v != 0)).alias("nonzero"),
-        K.TARGET)
+    size, _, values = _vector(M.RAW_FEATURES)
+    return _fitted_stages(spark, sf, 3).select(
+        size.cast("int").alias("width"), F.size(F.filter(values, lambda v: v != 0)).alias("nonzero"), K.TARGET)
+
+
+@register("feature_pipeline")
+def q_feature_pipeline(spark, sf):
+    """The whole feature pipeline of the models (index, encode, scale the
+    numeric block, assemble): per row the vector's width, its non-zero slots
+    and the sum of its scaled numeric part."""
+    from pyspark.ml import Pipeline
+    table = M.fill_inputs(regression_model_table(spark, sf), K.NUMERIC_FEATURES_WITH_DEP)
+    out = Pipeline(stages=M.feature_stages(K.NUMERIC_FEATURES_WITH_DEP)).fit(table).transform(table)
+    size, _, values = _vector(M.FEATURES)
+    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) - len(K.CATEGORICAL_FEATURES)
+    return out.select("UniqueCarrier", "Origin", "Dest", K.TARGET, size.cast("int").alias("width"),
+                      F.size(F.filter(values, lambda v: v != 0)).alias("nonzero"),
+                      F.round(total, 6).alias("numeric_sum"))
 
 
 def _scaled_columns(spark, sf, scaler: str):
+    """All numeric inputs next to their scaled values."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
-    cols = ["Distance", "CRSElapsedTime", "DepHour", "AvgRouteDelay"]
-    table = regression_model_table(spark, sf).select(*cols)
+    cols = K.NUMERIC_FEATURES_WITH_DEP
+    table = M.fill_inputs(regression_model_table(spark, sf), cols).select(*cols)
     asm = VectorAssembler(inputCols=cols, outputCol="v")
     sc = (MinMaxScaler(inputCol="v", outputCol="s") if scaler == "minmax"
           else StandardScaler(inputCol="v", outputCol="s", withMean=False, withStd=True))
@@ -593,9 +627,15 @@ def q_standard_scale(spark, sf):
     return _scaled_columns(spark, sf, "standard")
 
 
+def _carrier_hour_average(df: DataFrame) -> DataFrame:
+    """Only the one statistic that the baselines use."""
+    out = J.enrich_single(df, "carrier_hour_stats")
+    return out.withColumn("AvgCarrierHourDelay", F.coalesce("AvgCarrierHourDelay", F.lit(0.0)))
+
+
 def _baseline_predictions(spark, sf) -> DataFrame:
     """The statistics baseline: predict the carrier x hour average."""
-    return enriched_regression(spark, sf).select(
+    return _carrier_hour_average(_reg(spark, sf)).select(
         K.TARGET, F.col("AvgCarrierHourDelay").alias("prediction"))
 
 
@@ -612,7 +652,11 @@ def q_residuals(spark, sf):
 
 
 def _cls_baseline(spark, sf) -> DataFrame:
-    t = classification_table(spark, sf)
+    # the statistic counts rows whose delay is null, as the classification
+    # table does; labels and the null drop come after it
+    base = C.clean_classification_base(flights_view(spark, sf))
+    t = _carrier_hour_average(base).withColumn("DelayOver30", X.delay_label(30)).dropna(
+        subset=["ArrDelay", "UniqueCarrier", "Origin", "Dest"])
     return t.select("DelayOver30", F.col("AvgCarrierHourDelay").alias("score"),
                     F.when(F.col("AvgCarrierHourDelay") > 30, 1.0).otherwise(0.0).alias("prediction"))
 
@@ -623,6 +667,18 @@ def q_auc_rank_sum(spark, sf):
     return a.withColumn("auc", F.round("auc", 9))
 
 
+@register("auc_many_scores")
+def q_auc_many_scores(spark, sf):
+    """The same area on a score with very many distinct values."""
+    t = labelled_flights(spark, sf).filter(F.col("DepDelay").isNotNull())
+    # the delay plus a fraction of other columns: nearly every trip its own
+    spread = sum(F.col(c).cast("bigint") * k for c, k in (
+        ("FlightNum", 7919), ("AirTime", 104729), ("ActualElapsedTime", 1299709), ("TaxiOut", 15485863)))
+    score = F.col("DepDelay") + (spread % 1000003) / F.lit(100003.0)
+    a = MT.auc_rank_sum(t.select(score.alias("score"), "DelayOver30"), "score", "DelayOver30")
+    return a.withColumn("auc", F.round("auc", 9))
+
+
 @register("accuracy")
 def q_accuracy(spark, sf):
     return MT.accuracy(_cls_baseline(spark, sf), "DelayOver30").withColumn(
@@ -665,6 +721,12 @@ def q_classification_60(spark, sf):
     return _cls_predictions(spark, sf, 60)
 
 
+@register("classification_sample")
+def q_classification_sample(spark, sf):
+    """Label, prediction and probability of a few test rows."""
+    return _cls_predictions(spark, sf, 30).limit(10)
+
+
 @register("classification_metrics")
 def q_classification_metrics(spark, sf):
     rows = []
@@ -687,7 +749,7 @@ def q_best_model(spark, sf):
 
 def _tuning(spark, sf) -> dict:
     return _memo(("tune", spark, sf),
-                 lambda: M.tune_gbt(regression_prepared(spark, sf, "A"), **QUERY_GRID))
+                 lambda: M.tune_gbt(regression_prepared(spark, sf, "A")))
 
 
 @register("tune_gbt")
@@ -705,7 +767,7 @@ def q_tuning_gain(spark, sf):
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     f = _pick(regression_fits(spark, sf, "A"), "Random Forest")
-    names = M.feature_names(f.prepared.train)
+    names = M.feature_names(f.prepared.train, f.prepared.numeric)
     return M.feature_importance(spark, f.model, names, top=20)
 
 
@@ -742,7 +804,8 @@ def q_score_classification(spark, sf):
 # ---------------------------------------------------------------- sampling / splitting
 @register("sample_bernoulli")
 def q_sample_bernoulli(spark, sf):
-    return _eda(spark, sf).select("ArrDelay").sample(False, 0.1, 42)
+    from .operators.sampling import bernoulli_sample
+    return bernoulli_sample(_eda(spark, sf).select("ArrDelay"), 0.1)
 
 
 @register("sample_capped")
@@ -769,7 +832,13 @@ def q_stable_split(spark, sf):
 @register("model_input")
 def q_model_input(spark, sf):
     """Model columns in a fixed order (categoricals, numerics, label)."""
-    return M.model_table(enriched_regression(spark, sf), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])
+    return C.model_input(enriched_regression(spark, sf), K.NUMERIC_FEATURES_WITH_DEP, [K.TARGET])
+
+
+@register("null_inputs")
+def q_null_inputs(spark, sf):
+    """Null numeric model inputs per column: what the fill policy replaces."""
+    return M.null_inputs(regression_model_table(spark, sf), K.NUMERIC_FEATURES_WITH_DEP)
 
 
 @register("request_ids")
@@ -815,6 +884,14 @@ def q_stream_single_response(spark, sf):
                      event_time=True)
 
 
+@register("stream_single_classification")
+def q_stream_single_classification(spark, sf):
+    t = _response_tables(spark, sf)
+    del t["regression"]
+    return RP.replay(spark, t, lambda s: SM.single_response_stream(
+        s["requests"], s["classification"], "classification"), event_time=True)
+
+
 @register("stream_score_regression")
 def q_stream_score_regression(spark, sf):
     a, b, _, _ = serving_models(spark, sf)
@@ -835,7 +912,7 @@ def q_stream_score_classification(spark, sf):
 def q_stream_fan_out(spark, sf):
     """Each valid request is sent to both input topics (one source, one
     micro-batch, two sinks)."""
-    root = RP._scratch(spark)
+    root = RP.scratch(spark)
     req = R.requests_view(spark, sf)
     req.write.json(f"{root}/in")
     stream = V.valid_requests(spark.readStream.schema(req.schema).json(f"{root}/in"))

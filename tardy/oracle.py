@@ -284,7 +284,8 @@ ORACLE["delay_day_hour"] = BASE + """
 SELECT DayOfWeek, DepHour, avg(ArrDelay) AS AvgDelay FROM eda GROUP BY DayOfWeek, DepHour"""
 ORACLE["pivot_day_hour"] = BASE + "SELECT DayOfWeek, " + ", ".join(
     f"avg(CASE WHEN DepHour = {h} THEN ArrDelay END) AS h{h}" for h in range(25)
-) + " FROM eda GROUP BY DayOfWeek"
+) + """, avg(CASE WHEN DepHour IS NULL THEN ArrDelay END) AS h_null,
+  avg(CASE WHEN DepHour < 0 OR DepHour > 24 THEN ArrDelay END) AS h_other FROM eda GROUP BY DayOfWeek"""
 ORACLE["top_routes"] = BASE + """
 SELECT Route, avg(ArrDelay) AS AvgDelay, count(*) AS FlightCount
 FROM (SELECT Origin || '-' || Dest AS Route, ArrDelay FROM eda)
@@ -312,7 +313,7 @@ def _summary_sql(cols):
 
 
 ORACLE["summary_stats"] = BASE + _summary_sql(["ArrDelay", "DepDelay", "Distance", "ActualElapsedTime"])
-_PAIRS = [(a, b) for i, a in enumerate(_EDA_NUMERIC) for b in _EDA_NUMERIC[i + 1:]]
+_PAIRS = [(a, b) for a in _EDA_NUMERIC for b in _EDA_NUMERIC]
 ORACLE["correlation_matrix"] = BASE + " UNION ALL ".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({b}, {a}), 6) AS corr FROM eda" for a, b in _PAIRS)
 ORACLE["speed_trend"] = BASE + """
@@ -391,7 +392,12 @@ ORACLE["box_stats_by_carrier"] = _box_sql("AND ArrDelay BETWEEN -30 AND 180", "U
 
 # ---------------------------------------------------------------- serving
 REQUESTS = """
-clicks AS (SELECT event_id, user_id, value, cast(ts AS TIMESTAMP) AS ts FROM events WHERE event_type = 'click'),
+evs AS (SELECT event_id, user_id, value, cast(ts AS TIMESTAMP) AS ts FROM events),
+strays AS (
+  SELECT *, 0 AS k FROM evs
+  UNION ALL SELECT *, 1 AS k FROM evs WHERE event_id % 10 = 3
+  UNION ALL SELECT *, 2 AS k FROM evs WHERE event_id % 14 = 5
+),
 requests AS (
   SELECT
     CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 51 = 0 THEN ''
@@ -410,40 +416,50 @@ requests AS (
     cast((event_id + 3) % 24 AS INTEGER) AS CRSArrHour,
     value - 20 AS DepDelay,
     cast(user_id % 30 AS INTEGER) AS TaxiOut
-  FROM clicks
+  FROM evs
 ),
 vreq AS (SELECT * FROM requests WHERE coalesce(length(request_id), 0) > 0),
 reg_resp AS (
   SELECT 'r' || cast(event_id AS VARCHAR) AS request_id,
-    ts + to_seconds(cast(event_id % 13 + CASE WHEN event_id % 4 = 1 THEN 3600 ELSE 0 END AS BIGINT)) AS ts,
-    value AS predicted_delay_minutes,
-    CASE WHEN event_id % 20 = 0 THEN 'error' ELSE 'success' END AS status
-  FROM clicks
+    CASE WHEN k = 2 THEN ts - to_seconds(cast(2 AS BIGINT)) ELSE
+      ts + to_seconds(cast(event_id % 13 + CASE WHEN event_id % 4 = 1 THEN 3600 ELSE 0 END
+                           + CASE WHEN k = 1 THEN event_id % 3 ELSE 0 END AS BIGINT)) END AS ts,
+    value + 100 * k AS predicted_delay_minutes,
+    CASE WHEN user_id % 3 = 0 THEN 'B' ELSE 'A' END AS model_type,
+    CASE WHEN event_id % 20 = 0 THEN 'error' ELSE 'success' END AS status,
+    CASE WHEN event_id % 20 = 0 THEN 'invalid feature value' END AS error
+  FROM strays
 ),
 cls_resp AS (
   SELECT 'r' || cast(event_id AS VARCHAR) AS request_id,
-    ts + to_seconds(cast(event_id % 12 + CASE WHEN event_id % 6 = 1 THEN 3600 ELSE 0 END AS BIGINT)) AS ts,
+    CASE WHEN k = 2 THEN ts - to_seconds(cast(2 AS BIGINT)) ELSE
+      ts + to_seconds(cast(event_id % 12 + CASE WHEN event_id % 6 = 1 THEN 3600 ELSE 0 END
+                           + CASE WHEN k = 1 THEN event_id % 3 ELSE 0 END AS BIGINT)) END AS ts,
     cast(event_id % 1000 AS DOUBLE) / 10 AS probability_over_30min,
-    cast(event_id % 700 AS DOUBLE) / 10 AS probability_over_60min,
-    'success' AS status
-  FROM clicks
+    cast((event_id + k) % 700 AS DOUBLE) / 10 AS probability_over_60min,
+    'success' AS status, cast(NULL AS VARCHAR) AS error
+  FROM strays
 ),
-reg_first AS (SELECT request_id, arg_min(ts, ts) AS ts, arg_min(predicted_delay_minutes, ts) AS predicted_delay_minutes,
-                     arg_min(status, ts) AS status FROM reg_resp GROUP BY request_id),
-cls_first AS (SELECT request_id, arg_min(ts, ts) AS ts, arg_min(probability_over_30min, ts) AS probability_over_30min,
-                     arg_min(probability_over_60min, ts) AS probability_over_60min,
-                     arg_min(status, ts) AS status FROM cls_resp GROUP BY request_id),
+reg_first AS (
+  SELECT r.*, row_number() OVER (PARTITION BY q.request_id ORDER BY r.ts, r.status, r.error NULLS FIRST,
+                                 r.model_type, r.predicted_delay_minutes) AS place
+  FROM vreq q JOIN reg_resp r ON r.request_id = q.request_id
+       AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 10 SECOND),
+cls_first AS (
+  SELECT c.*, row_number() OVER (PARTITION BY q.request_id ORDER BY c.ts, c.status, c.error NULLS FIRST,
+                                 c.probability_over_30min, c.probability_over_60min) AS place
+  FROM vreq q JOIN cls_resp c ON c.request_id = q.request_id
+       AND c.ts >= q.ts AND c.ts <= q.ts + INTERVAL 10 SECOND),
 merged AS (
   SELECT q.request_id,
     CASE WHEN r.status IS NOT NULL AND c.status IS NOT NULL THEN 'success'
          WHEN r.status IS NOT NULL OR c.status IS NOT NULL THEN 'partial' ELSE 'timeout' END AS status,
-    r.status AS regression_status, r.predicted_delay_minutes,
-    c.status AS classification_status, c.probability_over_30min, c.probability_over_60min
+    r.status AS regression_status, r.error AS regression_error, r.model_type AS regression_model_type,
+    r.predicted_delay_minutes, c.status AS classification_status, c.error AS classification_error,
+    c.probability_over_30min, c.probability_over_60min
   FROM vreq q
-  LEFT JOIN reg_first r ON q.request_id = r.request_id
-       AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 10 SECOND
-  LEFT JOIN cls_first c ON q.request_id = c.request_id
-       AND c.ts >= q.ts AND c.ts <= q.ts + INTERVAL 10 SECOND
+  LEFT JOIN reg_first r ON q.request_id = r.request_id AND r.place = 1
+  LEFT JOIN cls_first c ON q.request_id = c.request_id AND c.place = 1
 ),
 form AS (
   SELECT 'r' || cast(event_id AS VARCHAR) AS request_id,
@@ -454,7 +470,7 @@ form AS (
          ELSE cast(event_id % 3000 AS VARCHAR) END AS distance_text,
     cast(cast(floor(value - 20) AS BIGINT) AS VARCHAR) AS dep_delay_text,
     cast(user_id % 30 AS VARCHAR) AS taxi_out_text
-  FROM clicks
+  FROM evs
 )"""
 
 
@@ -516,10 +532,11 @@ x AS (SELECT v.request_id, v.Origin, v.Dest, coalesce(f.Distance, b.Distance) AS
 SELECT request_id, Origin, Dest, coalesce(dd IS NOT NULL AND dd <> 0, false) AS found,
   CASE WHEN dd IS NOT NULL AND dd <> 0 THEN dd ELSE 1000 END AS distance FROM x"""
 ORACLE["request_response_join"] = SERVE + """
-SELECT q.request_id, CASE WHEN r.status IS NOT NULL THEN 'success' ELSE 'timeout' END AS status,
-  r.status AS regression_status, r.predicted_delay_minutes
-FROM vreq q LEFT JOIN reg_first r ON q.request_id = r.request_id
-  AND r.ts >= q.ts AND r.ts <= q.ts + INTERVAL 10 SECOND"""
+SELECT request_id, CASE WHEN regression_status IS NOT NULL THEN 'success' ELSE 'timeout' END AS status,
+  regression_status, regression_error, regression_model_type, predicted_delay_minutes FROM merged"""
+ORACLE["classification_response_join"] = SERVE + """
+SELECT request_id, CASE WHEN classification_status IS NOT NULL THEN 'success' ELSE 'timeout' END AS status,
+  classification_status, classification_error, probability_over_30min, probability_over_60min FROM merged"""
 ORACLE["merged_response"] = SERVE + "SELECT * FROM merged"
 ORACLE["request_validation"] = SERVE + """
 SELECT request_id, UniqueCarrier, Origin, Dest, CRSElapsedTime,
@@ -538,11 +555,11 @@ FROM form_req"""
 
 
 def _band_sql(m: str) -> str:
-    return f"""CASE WHEN {m} <= 15 THEN 'on_time' WHEN {m} <= 45 THEN 'delayed' ELSE 'critical' END"""
+    return f"""CASE WHEN {m} IS NULL THEN NULL WHEN {m} <= 15 THEN 'on_time' WHEN {m} <= 45 THEN 'delayed' ELSE 'critical' END"""
 
 
 def _risk_sql(p: str) -> str:
-    return f"CASE WHEN {p} < 25 THEN 'low' WHEN {p} < 50 THEN 'medium' ELSE 'high' END"
+    return f"CASE WHEN {p} IS NULL THEN NULL WHEN {p} < 25 THEN 'low' WHEN {p} < 50 THEN 'medium' ELSE 'high' END"
 
 
 ORACLE["answer_bands"] = SERVE + f"""
@@ -572,7 +589,7 @@ ORACLE["json_requests"] = SERVE + "SELECT * EXCLUDE (ts) FROM vreq"
 
 # ---------------------------------------------------------------- model twins
 MODEL = with_ctes(FLIGHTS, DERIVED, REG, stats_ctes("reg"), enriched_cte("reg"),
-                  "mt AS (SELECT * FROM enriched WHERE DepHour IS NOT NULL)")
+                  "mt AS (SELECT * REPLACE (coalesce(DepHour, 12) AS DepHour) FROM enriched)")
 
 ORACLE["string_index"] = MODEL + """
 , cnt AS (""" + " UNION ALL ".join(
@@ -582,7 +599,10 @@ SELECT col AS "column", label, count,
   cast(row_number() OVER (PARTITION BY col ORDER BY count DESC, label ASC) - 1 AS DOUBLE) AS index
 FROM cnt"""
 
-_SCALE_COLS = ["Distance", "CRSElapsedTime", "DepHour", "AvgRouteDelay"]
+_NUMS_B = ['DayOfWeek', 'Month', 'Day', 'DepHour', 'IsWeekend', 'IsRushHour', 'Distance', 'CRSElapsedTime', 'CRSArrHour',
+           'AvgCarrierDelay', 'AvgHourDelay', 'AvgRouteDelay', 'AvgOriginDelay', 'AvgDestDelay', 'AvgCarrierHourDelay',
+           'CarrierFlightCount', 'RouteFlightCount', 'DepDelay', 'TaxiOut']
+_SCALE_COLS = _NUMS_B
 ORACLE["min_max_scale"] = MODEL + "SELECT " + ", ".join(_SCALE_COLS) + ", " + ", ".join(
     f"round(CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 "
     f"ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END, 9) AS {c}_scaled"
@@ -602,6 +622,18 @@ b AS (SELECT DelayOver30 AS y, AvgCarrierHourDelay AS s,
         CASE WHEN AvgCarrierHourDelay > 30 THEN cast(1 AS DOUBLE) ELSE cast(0 AS DOUBLE) END AS p FROM cls)""")
 ORACLE["auc_rank_sum"] = _CLS_BASE + """
 , ps AS (SELECT s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM b GROUP BY s),
+r AS (SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+      FROM ps)
+SELECT round(sum(pos * (nb + neg / cast(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 9) AS auc,
+  cast(sum(pos) AS BIGINT) AS positives, cast(sum(neg) AS BIGINT) AS negatives FROM r"""
+ORACLE["auc_many_scores"] = with_ctes(FLIGHTS, DERIVED, """
+b AS (SELECT CASE WHEN ArrDelay > 30 THEN 1 ELSE 0 END AS y,
+        DepDelay + ((cast(FlightNum AS BIGINT) * 7919 + cast(AirTime AS BIGINT) * 104729
+          + cast(ActualElapsedTime AS BIGINT) * 1299709 + cast(TaxiOut AS BIGINT) * 15485863) % 1000003)
+          / cast(100003 AS DOUBLE) AS s
+      FROM derived WHERE ArrDelay IS NOT NULL AND DepDelay IS NOT NULL AND UniqueCarrier IS NOT NULL
+        AND Origin IS NOT NULL AND Dest IS NOT NULL)""") + """
+, ps AS (SELECT s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM b GROUP BY s),
 r AS (SELECT s, pos, neg, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
       FROM ps)
 SELECT round(sum(pos * (nb + neg / cast(2 AS DOUBLE))) / (sum(pos) * sum(neg)), 9) AS auc,
@@ -621,14 +653,16 @@ SELECT UniqueCarrier, Origin, Dest, TimeOfDay, DistanceCategory,
   DayOfWeek, Month, Day, DepHour, IsWeekend, IsRushHour, Distance, CRSElapsedTime, CRSArrHour,
   AvgCarrierDelay, AvgHourDelay, AvgRouteDelay, AvgOriginDelay, AvgDestDelay, AvgCarrierHourDelay,
   CarrierFlightCount, RouteFlightCount, DepDelay, TaxiOut, ArrDelay
-FROM mt"""
+FROM enriched"""
+ORACLE["null_inputs"] = MODEL + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM enriched" for c in _NUMS_B)
 
 # stream twins: the replayed streams must give exactly the batch answers
 ORACLE["stream_merge_responses"] = ORACLE["merged_response"]
 ORACLE["stream_single_response"] = ORACLE["request_response_join"]
+ORACLE["stream_single_classification"] = ORACLE["classification_response_join"]
 
 _CATS = ['UniqueCarrier', 'Origin', 'Dest', 'TimeOfDay', 'DistanceCategory']
-_NUMS_B = ['DayOfWeek', 'Month', 'Day', 'DepHour', 'IsWeekend', 'IsRushHour', 'Distance', 'CRSElapsedTime', 'CRSArrHour', 'AvgCarrierDelay', 'AvgHourDelay', 'AvgRouteDelay', 'AvgOriginDelay', 'AvgDestDelay', 'AvgCarrierHourDelay', 'CarrierFlightCount', 'RouteFlightCount', 'DepDelay', 'TaxiOut']
 
 
 def _index_ctes() -> str:
@@ -651,6 +685,13 @@ ORACLE["assemble"] = MODEL + ", " + _index_ctes() + "\nSELECT " + " + ".join(
     f"i_{c}.width" for c in _CATS) + f" + {len(_NUMS_B)} AS width, {len(_CATS)} + " + " + ".join(
     f"(CASE WHEN mt.{n} <> 0 THEN 1 ELSE 0 END)" for n in _NUMS_B) + " AS nonzero, mt.ArrDelay FROM mt " + _joined_index()
 
+ORACLE["feature_pipeline"] = MODEL + ", " + _index_ctes() + ", sc AS (SELECT *, " + ", ".join(
+    f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0.5 "
+    f"ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END AS z_{c}" for c in _NUMS_B) + """
+  FROM mt) SELECT UniqueCarrier, Origin, Dest, ArrDelay, """ + " + ".join(
+    f"(SELECT max(width) FROM i_{c})" for c in _CATS) + f" + {len(_NUMS_B)} AS width, {len(_CATS)} + " + " + ".join(
+    f"(CASE WHEN z_{n} <> 0 THEN 1 ELSE 0 END)" for n in _NUMS_B) + " AS nonzero, round(" + " + ".join(
+    f"cast(z_{n} AS DOUBLE)" for n in _NUMS_B) + ", 6) AS numeric_sum FROM sc"
 ORACLE["carrier_hour_key"] = BASE + """
 SELECT UniqueCarrier, DepHour, avg(ArrDelay) AS AvgCarrierHourDelay,
   concat_ws('_', UniqueCarrier, cast(DepHour AS VARCHAR)) AS Key
@@ -668,5 +709,5 @@ SELECT request_id, {_risk_sql('probability_over_30min')} AS risk_30,
   printf('%.1f%%', probability_over_60min) AS p60_text
 FROM merged WHERE classification_status IS NOT NULL"""
 ORACLE["error_rows"] = SERVE + """
-SELECT request_id, status, regression_status, classification_status FROM merged
+SELECT request_id, status, regression_status, regression_error, classification_status FROM merged
 WHERE regression_status = 'error' OR classification_status = 'error'"""

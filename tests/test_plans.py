@@ -26,9 +26,9 @@ def test_bounded_broadcast_respects_the_bound(spark):
     small = spark.range(0, 10).withColumn("w", F.col("id") + 1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        hinted = big.join(bounded_broadcast(small, max_rows=100), "id")
+        hinted = big.join(bounded_broadcast(small, max_bytes=1 << 20), "id")
         assert "BroadcastHashJoin" in _plan(hinted)
-        not_hinted = big.join(bounded_broadcast(small, max_rows=5), "id")
+        not_hinted = big.join(bounded_broadcast(small, max_bytes=100), "id")
         assert "BroadcastHashJoin" not in _plan(not_hinted)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -44,3 +44,32 @@ def test_prefix_sums_with_a_hot_key_range(spark):
         expect[float(k)] = running
         running += 1000 if k < 10 else 1
     assert out == expect
+
+
+def test_enrichment_does_not_shuffle_the_trips_on_a_few_values(spark):
+    from tardy.catalog import REGISTRY
+    # the threshold is far below the trips and above the small statistic
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16384")
+    try:
+        plan = _plan(REGISTRY["enrich_carrier"](spark, SF_SMALL))
+        assert "hashpartitioning(UniqueCarrier" not in plan and "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_label_balance_computes_no_statistics(spark):
+    from tardy.catalog import REGISTRY
+    text = REGISTRY["label_balance"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "AvgCarrierDelay" not in text and text.count("Join") == 3  # the trip view's own joins
+
+
+def test_scoring_scans_the_requests_once(spark):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+    from tardy.functions import constants as K
+    from tardy.operators import ml as M
+    model = PipelineModel([SQLTransformer(statement="SELECT *, DepHour * 2.0 AS prediction FROM __THIS__")])
+    feats = spark.range(10).select(F.col("id").cast("string").alias("request_id"), F.lit("A").alias("model_type"),
+                                   *[F.lit(1.0).alias(c) for c in K.NUMERIC_FEATURES_WITH_DEP])
+    plan = M.score_regression(feats, model, model)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0") == 1 and "Union" not in plan
