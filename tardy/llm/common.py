@@ -8,6 +8,7 @@ deletes its intermediate tables when its result has been written.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -25,6 +26,8 @@ from ..plans.session import ensure_checkpoint_dir
 #: bytes of text that a task holds in working arrays at once (a longer
 #: single text is a slice of its own)
 SLICE_BYTES = 8 << 20
+#: rows of an Arrow batch: a few MB of usual texts in the JVM and in Python
+BATCH_ROWS = 2000
 
 
 _shipped: set[str] = set()
@@ -32,7 +35,9 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers, once per
-    application (they need not share the driver's folders)."""
+    application (they need not share the driver's folders), and let Arrow
+    batches of whole texts be small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -67,6 +72,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
     def path(self, name: str = "t") -> str:
         self._n += 1
@@ -75,7 +81,16 @@ class Scratch:
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def forget(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            _, path = self._paths.pop(id(t), (None, None))
+            if path:
+                delete_path(self.spark, path)
 
     def drop(self) -> None:
         delete_path(self.spark, self.root)
@@ -116,6 +131,16 @@ def text_slices(batch: pa.RecordBatch, column: str,
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], len(sizes)]):
         yield batch.slice(a, b - a), texts.slice(a, b - a)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker is used again by later
+    stages, next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

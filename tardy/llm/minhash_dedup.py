@@ -9,9 +9,11 @@ are linked.  Connected components of the links are the groups.
 How no group is ever gathered and no bucket compared pair by pair:
 
 * equal word sequences are one node from the start (an aggregate),
-* a bucket compares its nodes with one leader only; after the components are
-  known, buckets that still hold several are compared with another leader,
-  and so on until a round finds no link,
+* a bucket first compares its nodes with one leader only; in buckets that then
+  still hold several components, each node is compared with the nodes of other
+  components that share most samples with it, and so on until a round finds
+  next to no link (samples are a few bytes, so a bucket's nodes meet in blocks of bounded
+  size and only a pair or two per node leave it),
 * the pairs get their texts by joins; hot leaders are split like hot keys.
 
 Document frequencies are counted over all documents, in 2**18 hash buckets
@@ -35,9 +37,23 @@ from .components import connected_components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
+#: nodes of a bucket that are held against each other at once (larger ones are
+#: dealt to blocks, anew in each round), and rows of a task, about
+BLOCK, TASK_ROWS = 512, 8192
+#: further partners of a node that a round tries
+RANKS = 3
+#: the search ends with a round (the second at least) in which a smaller share
+#: of the pairs are links; what is left is less similar than what was tried
+MIN_ROUNDS, MIN_SHARE = 2, 0.001
+#: equal samples of all BANDS * ROWS that a pair needs before its texts are
+#: compared: at similarity 0.8 about 38 of 48 are equal, and fewer than 30 with
+#: a chance of 0.2 % (as small as that of sharing no band)
+MIN_EQUAL = 30
 IDF_BITS = 18
 _HASH_BITS = 44
 _CHUNK = 1 << 15
+#: bytes of text that a task holds as arrays of words and shingles
+SLICE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -79,7 +95,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(inside & (~before | edge))
     after = np.r_[~inside[1:] | edge[1:], True]
     ends = np.flatnonzero(inside & after) + 1
-    power, inverse = _powers(1 << max(23, (n + 1).bit_length()))
+    power, inverse = _powers(1 << max(21, (n + 1).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     words = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
@@ -104,7 +120,7 @@ def shingles(words: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple
     doc = np.repeat(np.arange(len(n)), n)
     factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     total = np.zeros(len(words), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(words))):
         # words past the text's end add nothing: for short texts only
         shifted = words[k:] * factors[k]
         if k:
@@ -141,11 +157,13 @@ def _sampling_tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_keys(h: np.ndarray, doc: np.ndarray, ln_weight: np.ndarray, n_docs: int,
-              bands: int = BANDS, per_band: int = ROWS) -> np.ndarray:
-    """[text, band] hashes of the consistent weighted samples; texts without
-    shingles get zeros (they are not to be banded)."""
+              bands: int = BANDS, per_band: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """[text, band] hashes of the consistent weighted samples and [text,
+    sample] a byte of each; texts without shingles get zeros (they are not to
+    be banded)."""
     gamma, ln_gamma = _sampling_tables()
     out = np.zeros((n_docs, bands), np.uint64)
+    marks = np.zeros((n_docs, bands * per_band), np.uint8)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     sizes = np.diff(np.r_[starts, len(doc)])
     # whole texts, in chunks that stay in the processor's cache
@@ -172,8 +190,9 @@ def band_keys(h: np.ndarray, doc: np.ndarray, ln_weight: np.ndarray, n_docs: int
             first = hit[np.r_[True, owner[hit[1:]] != owner[hit[:-1]]]]
             sample = mix(x[first] * _BASE + t[first].astype(np.int64).view(np.uint64))
             keys[:, k // per_band] = mix(keys[:, k // per_band] * _MIX2 + sample)
+            marks[doc[starts[a:b]], k] = sample & np.uint64(0xFF)
         out[doc[starts[a:b]]] = keys
-    return out
+    return out, marks
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -184,7 +203,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
     def run(batches):
         total, texts_seen = np.zeros(1 << IDF_BITS, np.int64), 0
         for batch in batches:
-            for _, texts in text_slices(batch, text_col, 4 << 20):
+            for _, texts in text_slices(batch, text_col, SLICE):
                 words, offsets = word_hashes(texts)
                 h, doc = shingles(words, offsets)
                 each = np.unique((doc.astype(np.int64) << IDF_BITS) | _bucket(h))
@@ -227,30 +246,32 @@ def similarities(left: pa.Array, right: pa.Array, weights: np.ndarray) -> np.nda
 
 def _signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-                        ("bands", pa.list_(pa.int64()))])
+                        ("bands", pa.list_(pa.int64())), ("samples", pa.list_(pa.int8()))])
+
+    def lists(values: np.ndarray) -> pa.Array:
+        ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+        return pa.ListArray.from_arrays(ends, pa.array(values.ravel()))
 
     def run(batches):
         for batch in batches:
-            for part, texts in text_slices(batch, text_col, 4 << 20):
+            for part, texts in text_slices(batch, text_col, SLICE):
                 words, offsets, h, doc, lw = weighted_sets(texts, weights.value)
-                keys = band_keys(h, doc, lw, len(texts))
+                keys, marks = band_keys(h, doc, lw, len(texts))
                 k1, k2 = sequence_keys(words, offsets)
                 empty = np.diff(offsets) == 0
-                flat = pa.array(keys.view(np.int64).ravel())
-                ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * keys.shape[1])
                 yield rows({"doc_id": part.column(id_col).cast(pa.int64()),
                             "k1": pa.array(k1, mask=empty), "k2": pa.array(k2, mask=empty),
-                            "bands": pa.ListArray.from_arrays(ends, flat)}, schema)
+                            "bands": lists(keys.view(np.int64)), "samples": lists(marks.view(np.int8))}, schema)
 
     return docs.select(id_col, text_col).mapInArrow(
-        run, "doc_id long, k1 long, k2 long, bands array<long>")
+        run, "doc_id long, k1 long, k2 long, bands array<long>, samples array<byte>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     def run(batches):
         for batch in batches:
-            for part, left in text_slices(batch, "left", 2 << 20):
+            for part, left in text_slices(batch, "left", SLICE):
                 like = similarities(left, part.column("right"), weights.value) >= SIMILARITY
                 yield part.select(["a", "b"]).filter(pa.array(like))
 
@@ -260,6 +281,89 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _merged(groups: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after further links, which are few: they are followed
+    between the components, and every node is mapped on."""
+    def named(column: str) -> DataFrame:
+        return groups.select(F.col("node").alias(column), F.col("component").alias(f"{column}_c"))
+
+    ends = (links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+            .select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")))
+    joined = scratch.table(connected_components(ends, scratch), "joined")
+    old = (groups.join(joined.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
+           .select("node", F.coalesce("c", "component").alias("component")))
+    return old.union(joined.join(groups, "node", "left_anti"))
+
+
+def _placed(members: DataFrame, groups: DataFrame) -> DataFrame:
+    return (members.join(groups, "node", "left")
+            .select("bucket", "node", "samples", F.coalesce("component", "node").alias("component")))
+
+
+def _with_leader(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a < b) of a bucket's nodes with its leader, the node with the
+    smallest hash (the same for a group in all its buckets), where they are
+    not in one component and enough of their samples are equal."""
+    held = _placed(members, groups)
+    leader = F.min_by(F.struct("node", "component", "samples"), F.struct(F.xxhash64("node"), "node"))
+    first = (held.groupBy("bucket").agg(leader.alias("leader"))
+             .select(F.col("bucket").alias("in_bucket"), F.col("leader.node").alias("b"),
+                     F.col("leader.component").alias("c"), F.col("leader.samples").alias("s")))
+    equal = F.aggregate(F.zip_with("samples", "s", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
+    near = (F.col("bucket") == F.col("in_bucket")) & (F.col("component") != F.col("c")) & (equal >= MIN_EQUAL)
+    return (held.join(first, near)
+            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
+
+
+def _closest(nodes: np.ndarray, parts: np.ndarray, samples: np.ndarray, turn: int):
+    """For each node the node of another component with most equal samples,
+    and the ``RANKS`` next ones of this turn, if enough are equal."""
+    equal = np.zeros((len(nodes), len(nodes)), np.int16)
+    for k in range(samples.shape[1]):
+        equal += samples[:, k, None] == samples[None, :, k]
+    equal[parts[:, None] == parts[None]] = -1
+    order = np.argsort(-equal, axis=1, kind="stable")
+    a, b = [], []
+    ranks = {0, *range(RANKS * (turn - 1) + 1, RANKS * turn + 1)}
+    for rank in sorted(r for r in ranks if r < len(nodes)):
+        other = order[:, rank]
+        at = np.flatnonzero(equal[np.arange(len(nodes)), other] >= MIN_EQUAL)
+        a.append(np.minimum(nodes[at], nodes[other[at]]))
+        b.append(np.maximum(nodes[at], nodes[other[at]]))
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _with_closest(members: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b) of nodes of different components of a bucket, a few per
+    node, the most similar by their samples first."""
+    held = _placed(members, groups)
+    mixed = (held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"),
+                                        F.max("component").alias("high"))
+             .filter("low <> high")
+             .select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows_now = mixed.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, -(-rows_now // TASK_ROWS))
+    unit = F.xxhash64("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")))
+    dealt = (held.join(mixed, "bucket").withColumn("unit", unit)
+             .select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "node", "component", "samples"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(group: pa.Table) -> pa.Table:
+        units = group["unit"].to_numpy()
+        order = np.argsort(units, kind="stable")
+        units, nodes, parts = units[order], group["node"].to_numpy()[order], group["component"].to_numpy()[order]
+        samples = np.asarray(group["samples"].combine_chunks().flatten()).reshape(len(units), -1)[order]
+        cuts = np.flatnonzero(np.r_[True, units[1:] != units[:-1]])
+        found = [_closest(nodes[i:j], parts[i:j], samples[i:j], turn)
+                 for i, j in zip(cuts, [*cuts[1:], len(units)]) if j - i > 1]
+        if not found:
+            return schema.empty_table()
+        both = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
+        return pa.table([both[0], both[1]], schema=schema)
+
+    return dealt.groupBy("task").applyInArrow(pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id (smallest id of the group), kept (doc_id is it).
 
@@ -275,7 +379,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = scratch.table(_signatures(docs, share, "doc_id", "text"), "signatures")
     known = marks.filter("doc_id is not null and k1 is not null")
     # copies: one node per word sequence, its smallest id
-    first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"))
+    first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"),
+                                          F.min("samples").alias("samples"))
     nodes = scratch.table(first, "nodes")
     member_of = scratch.table(known.select("doc_id", "k1", "k2")
                               .join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
@@ -288,33 +393,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = scratch.table(nodes.select("node", F.posexplode("bands").alias("band", "key"))
                            .select("node", F.xxhash64("band", "key").alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.countDistinct("node").alias("n")).filter("n > 1")
-    members = scratch.table(banded.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "members")
-    wanted = members.select("node").distinct()
+    several = scratch.table(banded.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "several")
+    scratch.forget(banded)
+    # written, so that Spark knows how small it is before it plans the joins
+    wanted = scratch.table(several.select("node").distinct(), "wanted")
+    marked = nodes.select("node", "samples").join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.min("samples").alias("samples"))
+    members = scratch.table(several.join(marked, "node"), "members")
     texts = scratch.table(docs.join(wanted, docs.doc_id == wanted.node, "left_semi")
                           .groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "texts")
     groups = scratch.table(connected_components(links, scratch), "groups")
-    tried, turn = None, 0
+    pairs = scratch.table(_with_leader(members, groups), "pairs")
+    tried, turn = pairs, 0
     while True:
-        held = (members.join(groups, "node", "left")
-                .select("bucket", "node", F.coalesce("component", "node").alias("component")))
-        order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")
-        leaders = (held.groupBy("bucket")
-                   .agg(F.min(order).alias("leader"), F.min("component").alias("low"),
-                        F.max("component").alias("high"))
-                   .filter("low <> high")
-                   .select("bucket", F.col("leader.node").alias("b"), F.col("leader.component").alias("c")))
-        pairs = (held.join(leaders, "bucket").filter("component <> c")
-                 .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.table(pairs, "pairs")
         new = scratch.table(_verified(pairs, texts, share), "links")
-        if new.isEmpty():
+        last = turn >= MIN_ROUNDS and new.count() <= MIN_SHARE * pairs.count()
+        old, groups = groups, scratch.table(_merged(groups, new, scratch), "groups")
+        scratch.forget(old, new)
+        if last:
             break
-        links = links.union(new)
-        tried = pairs if tried is None else tried.union(pairs)
-        groups = scratch.table(connected_components(links, scratch), "groups")
         turn += 1
+        pairs = scratch.table(_with_closest(members, groups, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
     grouped = (member_of.join(groups, "node", "left")
                .select("doc_id", F.coalesce("component", "node").alias("component_id")))
     alone = marks.filter("doc_id is null or k1 is null").select(

@@ -5,15 +5,22 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tardy.llm import embedding_dedup, minhash_dedup, nearest, queries
-from tardy.llm.common import Scratch
+from tardy.llm import components, embedding_dedup, minhash_dedup, nearest, queries
+from tardy.llm.common import Scratch, ship
 from tardy.llm.components import connected_components
 
 SF = "/root/testdata/sf0.01"
 
 
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+
 def classes(nodes, links):
     parent = {n: n for n in nodes}
 
@@ -27,7 +34,9 @@ def classes(nodes, links):
     return {n: top(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", one_task)
     r = random.Random(1)
     links = [(i, i + 1) for i in range(200, 260)] + [(1000, i) for i in range(1001, 1300)]
     links += [(r.randrange(2000, 2200), r.randrange(2000, 2200)) for _ in range(150)]
@@ -80,6 +89,17 @@ def test_similarity_is_weighted_jaccard():
     assert np.allclose(got, [1 / 3, 1, 1 / 7, 0, 1])
 
 
+def test_shingles_of_very_few_words():
+    import pyarrow as pa
+
+    for text, n in (("", 0), ("one", 1), ("one two", 1), ("a b c d e", 1), ("a b c d e f", 2)):
+        words, offsets = minhash_dedup.word_hashes(pa.array([text]))
+        h, doc = minhash_dedup.shingles(words, offsets)
+        assert len(h) == n and (doc == 0).all()
+    both = minhash_dedup.shingles(*minhash_dedup.word_hashes(pa.array(["one two", "", "one two"])))
+    assert both[0][0] == both[0][1] and both[1].tolist() == [0, 2]
+
+
 def test_samples_collide_as_often_as_the_weighted_jaccard():
     import pyarrow as pa
 
@@ -92,8 +112,8 @@ def test_samples_collide_as_often_as_the_weighted_jaccard():
     texts = pa.array([" ".join(words), " ".join(changed)])
     true = minhash_dedup.similarities(texts[:1], texts[1:], weights)[0]
     _, _, h, doc, lw = minhash_dedup.weighted_sets(texts, weights)
-    keys = minhash_dedup.band_keys(h, doc, lw, 2, bands=2000, per_band=1)
-    assert abs((keys[0] == keys[1]).mean() - true) < 0.04
+    keys, marks = minhash_dedup.band_keys(h, doc, lw, 2, bands=2000, per_band=1)
+    assert abs((keys[0] == keys[1]).mean() - true) < 0.04 and abs((marks[0] == marks[1]).mean() - true) < 0.05
 
 
 def test_minhash_edge_cases(spark):

@@ -6,14 +6,21 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tardy.llm import language_id, queries, toxicity
-from tardy.llm.common import text_buffer
+from tardy.llm.common import ship, text_buffer
 
 SF = "/root/testdata/sf0.01"
 
 
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+
 class Brute:
     """The same model byte by byte with dictionaries."""
 

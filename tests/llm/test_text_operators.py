@@ -20,8 +20,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tardy.llm import packing, queries, secrets, sentencepiece_codec, token_counts
+from tardy.llm.common import ship
 
 SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    ship(spark)
+
 EDGE = [None, "", " ", "a", "   two  spaces ", "\n\n \n", "x" * 5000, "a  b c", "执 é ſ ▁ <s>",
         "<|endoftext|> a<|endoftext|>", "tab\t\x0b\x1c end ", "İΣΣ Σ", "a" * 40 + " " * 40 + "b"]
 

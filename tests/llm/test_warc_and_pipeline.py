@@ -5,15 +5,22 @@ import gzip
 import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tardy.llm import language_id, queries, warc
-from tardy.llm.common import Scratch
+from tardy.llm.common import Scratch, ship
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def shipped(spark):
+    ship(spark)
+
+
+
 def expected_rows(pages):
     groups = {}
     for i, html in pages:
