@@ -59,9 +59,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row per piece, with its ids."""
+    """Token sequences: one row per piece, with its ids.  The workers still
+    hold what earlier stages took, so the working set is small here."""
     ship(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"),
+                        slice_bytes=2 << 20, cache_entries=150_000)
 
 
 STAGES = [

@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from .common import BoundedCache, rows, text_slices
 
 TIERS = (4096, 2048, 1024, 512)
-POOL_TOKENS = 1 << 21
+POOL_TOKENS = 1 << 20
 #: tokens of a step group
 STEP_TOKENS = 32 * 4096
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
+SLICE = 8 << 20
 
 
 class WordTokenizer:
@@ -44,7 +45,7 @@ class WordTokenizer:
 
     GROUP = 200
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_entries: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,7 +54,7 @@ class WordTokenizer:
         # an added token between two words keeps their ids apart
         self.mark_id, mark = max(added.items(), key=lambda x: x[0])
         self.mark = mark.content
-        self.known = BoundedCache(CACHE_ENTRIES)
+        self.known = BoundedCache(cache_entries)
 
     def _encode(self, words: list[str]) -> list[bytes]:
         plain = [w for w in words if self.mark not in w]
@@ -105,8 +106,8 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, cache_entries: int) -> WordTokenizer:
+    return WordTokenizer(path, cache_entries)
 
 
 class Pool:
@@ -188,7 +189,7 @@ PACKED = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
 
 def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS,
          pool_tokens: int = POOL_TOKENS, step_tokens: int = STEP_TOKENS,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+         slice_bytes: int = SLICE, cache_entries: int = CACHE_ENTRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document, place and ids (little-endian unsigned
     32-bit), the sequence and offset there, the sequence's tier and step group.
 
@@ -202,7 +203,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
                         ("tier", pa.int32()), ("step_group", pa.int64())])
 
     def run(batches):
-        tool = word_tokenizer(path)
+        tool = word_tokenizer(path, cache_entries)
         base = TaskContext.get().partitionId() << 33
         pool, held, waiting, n_docs, n_seq, n_step = Pool(tiers), {}, 0, 0, 0, 0
 
@@ -230,7 +231,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
             return rows(out, schema)
 
         for batch in batches:
-            for part, texts in text_slices(batch, text_col):
+            for part, texts in text_slices(batch, text_col, slice_bytes):
                 ids, bounds = tool.encode(texts, end_id)
                 for i, doc_id in enumerate(part.column(id_col).to_pylist()):
                     own = ids[bounds[i]:bounds[i + 1]]

@@ -47,7 +47,7 @@ MAX_TRAIN_ROWS = 20_000
 #: shares of toxic and other texts that have it
 MAX_LEARNED, MIN_TOXIC_TEXTS, MIN_RATIO = 200, 8, 20.0
 TREES, DEPTH, STEP, MIN_NODE = 20, 3, 0.3, 10
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 FEATURES = ["lexicon_rate", "log_lexicon", "learned_rate", "log_learned", "near_rate", "log_near",
             "second_rate", "capital_rate", "shout_rate", "punct_rate", "exclaim_rate",
@@ -141,7 +141,7 @@ def text_features(docs: DataFrame, learned: list[str], keep: list[str],
     def run(batches):
         kinds = WordKinds(words)
         for batch in batches:
-            for part, texts in text_slices(batch, text_col, 4 << 20):
+            for part, texts in text_slices(batch, text_col, 2 << 20):
                 x = kinds.features(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in keep] + [pa.array(x[:, j]) for j in range(x.shape[1])],
@@ -198,8 +198,11 @@ class ToxicityModel:
             if self.calibration is None:
                 out = rows.select(*keep, F.col("_raw").alias("score"))
             else:
+                # a thousandth of the raw output keeps the order inside the
+                # flat steps of the calibration
+                fine = F.col("_score") * 0.999 + F.col("_raw") * 0.001
                 out = self.calibration.transform(rows).select(
-                    *keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))).alias("score"))
+                    *keep, F.greatest(F.lit(0.0), F.least(F.lit(1.0), fine)).alias("score"))
         return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
