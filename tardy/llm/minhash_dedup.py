@@ -9,12 +9,13 @@ are linked.  Connected components of the links are the groups.
 How no group is ever gathered and no bucket compared pair by pair:
 
 * equal word sequences are one node from the start (an aggregate),
-* a bucket first compares its nodes with one leader only; in buckets that then
-  still hold several components, each node is compared with the nodes of other
-  components that share most samples with it, and so on until a round finds
-  next to no link (samples are a few bytes, so a bucket's nodes meet in blocks of bounded
-  size and only a pair or two per node leave it),
-* the pairs get their texts by joins; hot leaders are split like hot keys.
+* a bucket first compares its nodes with one leader only, which joins up large
+  groups of near copies,
+* in buckets that then still hold several components, every pair of nodes of
+  different components is compared by whole texts: in units of a block or of
+  two blocks of bounded size, which emit only the links that join nodes up,
+* the pairs with a leader get their texts by joins; hot leaders are split like
+  hot keys.
 
 Document frequencies are counted over all documents, in 2**18 hash buckets
 of shingles (a table of bounded size at any scale): what very many documents
@@ -37,17 +38,12 @@ from .components import connected_components
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 4
-#: nodes of a bucket that are held against each other at once (larger ones are
-#: dealt to blocks, anew in each round), and rows of a task, about
-BLOCK, TASK_ROWS = 512, 8192
-#: further partners of a node that a round tries
-RANKS = 3
-#: the search ends with a round (the second at least) in which a smaller share
-#: of the pairs are links; what is left is less similar than what was tried
-MIN_ROUNDS, MIN_SHARE = 2, 0.001
-#: equal samples of all BANDS * ROWS that a pair needs before its texts are
-#: compared: at similarity 0.8 about 38 of 48 are equal, and fewer than 30 with
-#: a chance of 0.2 % (as small as that of sharing no band)
+#: nodes, and bytes of their texts, of a bucket that are held against each other
+#: at once (a larger bucket is cut into blocks, and each pair of blocks is
+#: compared), and rows and bytes of a task, about
+BLOCK, BLOCK_BYTES, TASK_ROWS, TASK_BYTES = 512, 2 << 20, 8192, 16 << 20
+#: equal samples of all BANDS * ROWS that a pair needs before it is compared with
+#: the leader ahead of the others (what has fewer is compared later)
 MIN_EQUAL = 30
 IDF_BITS = 18
 _HASH_BITS = 44
@@ -315,53 +311,102 @@ def _with_leader(members: DataFrame, groups: DataFrame) -> DataFrame:
             .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
 
 
-def _closest(nodes: np.ndarray, parts: np.ndarray, samples: np.ndarray, turn: int):
-    """For each node the node of another component with most equal samples,
-    and the ``RANKS`` next ones of this turn, if enough are equal."""
-    equal = np.zeros((len(nodes), len(nodes)), np.int16)
-    for k in range(samples.shape[1]):
-        equal += samples[:, k, None] == samples[None, :, k]
-    equal[parts[:, None] == parts[None]] = -1
-    order = np.argsort(-equal, axis=1, kind="stable")
-    a, b = [], []
-    ranks = {0, *range(RANKS * (turn - 1) + 1, RANKS * turn + 1)}
-    for rank in sorted(r for r in ranks if r < len(nodes)):
-        other = order[:, rank]
-        at = np.flatnonzero(equal[np.arange(len(nodes)), other] >= MIN_EQUAL)
-        a.append(np.minimum(nodes[at], nodes[other[at]]))
-        b.append(np.maximum(nodes[at], nodes[other[at]]))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _with_closest(members: DataFrame, groups: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a < b) of nodes of different components of a bucket, a few per
-    node, the most similar by their samples first."""
-    held = _placed(members, groups)
-    mixed = (held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"),
-                                        F.max("component").alias("high"))
-             .filter("low <> high")
-             .select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    rows_now = mixed.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, -(-rows_now // TASK_ROWS))
-    unit = F.xxhash64("bucket", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks")))
-    dealt = (held.join(mixed, "bucket").withColumn("unit", unit)
-             .select(F.pmod("unit", F.lit(tasks)).alias("task"), "unit", "node", "component", "samples"))
+def _links_of_unit(nodes: np.ndarray, parts: np.ndarray, side: np.ndarray, keys: list, band: int,
+                   texts: pa.Array, weights: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join up the similar nodes of a unit: each pair of different
+    components is compared by its whole texts (two blocks: pairs across), unless
+    it is joined already or shares an earlier band, where it is compared."""
+    _, _, h, doc, lw = weighted_sets(texts, weights)
+    w = np.exp(lw)
+    n = len(nodes)
+    total = np.bincount(doc, weights=w, minlength=n)
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    starts, sizes = ends[:-1], np.diff(ends)
+    known, shingle = np.unique(h, return_inverse=True)
+    root = np.unique(parts, return_inverse=True)[1]
+    own = np.zeros(len(known))
+    links = []
+    for i in range(n):
+        # no similarity exceeds the ratio of the total weights
+        fit = (root != root[i]) & (np.minimum(total, total[i]) >= (SIMILARITY - 1e-9) * np.maximum(total, total[i]))
+        fit &= side > side[i] if side[0] != side[-1] else np.arange(n) > i
+        others = np.flatnonzero(fit)
+        if band and len(others) and len(keys[i]):
+            early = keys[i][:band]
+            others = others[[not len(keys[j]) or not (keys[j][:band] == early).any() for j in others]]
+        if not len(others):
+            continue
+        mine = slice(starts[i], ends[i + 1])
+        own[shingle[mine]] = w[mine]
+        count = sizes[others]
+        first = np.cumsum(count) - count
+        at = np.arange(count.sum()) + np.repeat(starts[others] - first, count)
+        shared = np.add.reduceat(np.minimum(own[shingle[at]], w[at]), first)
+        own[shingle[mine]] = 0
+        for j in others[shared >= SIMILARITY * (total[i] + total[others] - shared)]:
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                links.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return links
+
+
+def _units(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """The nodes of each bucket with several components, in units that are
+    compared at once: a bucket's blocks.  A
+    component beyond a block has blocks of its own, which do not meet."""
+    held = (members.select("bucket", "band", "node", "bytes").join(groups, "node", "left")
+            .withColumn("component", F.coalesce("component", "node")))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    mixed = (held.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .filter("low <> high").select("bucket"))
+    parts = (held.join(mixed, "bucket").groupBy("bucket", "component")
+             .agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).withColumn("blocks", blocks))
+    large = parts.filter("blocks > 1").select("bucket", F.col("component").alias("pure"), "blocks")
+    small = (parts.filter("blocks = 1").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+             .select("bucket", F.lit(None).cast("long").alias("pure"), blocks.alias("blocks")))
+    dealt = large.union(small)
+    numbered = dealt.select("bucket", "pure", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k"))
+    block = F.xxhash64(F.coalesce("pure", F.lit(0)), F.col("pure").isNull(), "k")
+    one = numbered.select("bucket", F.col("pure").alias("pure_i"), block.alias("i"))
+    two = numbered.select("bucket", F.col("pure").alias("pure_j"), block.alias("j"))
+    met = one.join(two, "bucket").filter("i = j and pure_i is null").select("bucket", "i", "j")
+    sides = met.select("bucket", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
+        met.filter("i < j").select("bucket", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    placed = (held.join(large.withColumnRenamed("pure", "component").withColumnRenamed("blocks", "own_blocks"),
+                        ["bucket", "component"], "left")
+              .join(small.select("bucket", F.col("blocks").alias("small_blocks")), "bucket", "left")
+              .withColumn("pure", F.when(F.col("own_blocks").isNotNull(), F.col("component")))
+              .withColumn("k", F.pmod(F.xxhash64("node"), F.coalesce("own_blocks", "small_blocks")).cast("int"))
+              .select("bucket", "band", "node", "component", "bytes", block.alias("block")))
+    return (placed.join(sides, ["bucket", "block"])
+            .select(F.xxhash64("bucket", "i", "j").alias("unit"), "band", "side", "node", "component", "bytes"))
+
+
+def _within_buckets(units: DataFrame, texts: DataFrame, weights) -> DataFrame:
+    """Links (a, b) that join up all similar nodes of the units."""
+    total = units.agg(F.count("*"), F.sum("bytes")).first()
+    tasks = max(1, -(-total[0] // TASK_ROWS), -(-(total[1] or 0) // TASK_BYTES))
+    held = (units.join(texts, "node").withColumn("task", F.pmod("unit", F.lit(tasks)))
+            .select("task", "unit", "band", "side", "node", "component", "bands", "text"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def pairs(group: pa.Table) -> pa.Table:
-        units = group["unit"].to_numpy()
-        order = np.argsort(units, kind="stable")
-        units, nodes, parts = units[order], group["node"].to_numpy()[order], group["component"].to_numpy()[order]
-        samples = np.asarray(group["samples"].combine_chunks().flatten()).reshape(len(units), -1)[order]
-        cuts = np.flatnonzero(np.r_[True, units[1:] != units[:-1]])
-        found = [_closest(nodes[i:j], parts[i:j], samples[i:j], turn)
-                 for i, j in zip(cuts, [*cuts[1:], len(units)]) if j - i > 1]
-        if not found:
-            return schema.empty_table()
-        both = np.unique(np.stack([np.concatenate(x) for x in zip(*found)]), axis=1)
-        return pa.table([both[0], both[1]], schema=schema)
-
-    return dealt.groupBy("task").applyInArrow(pairs, "a long, b long").distinct()
+    def links(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group.drop_columns(["text", "bands"]),
+                                [(c, "ascending") for c in ("unit", "side", "node")])
+        small = group.select(["unit", "band", "side", "node", "component"]).take(order)
+        unit, band, side, node, part = (small[c].to_numpy() for c in small.schema.names)
+        cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        found = []
+        for i, j in zip(cuts, [*cuts[1:], len(unit)]):
+            if part[i:j].min() == part[i:j].max():
+                continue
+            own = group.select(["bands", "text"]).take(order[i:j])
+            keys = own["bands"].to_pandas().tolist()
+            found += _links_of_unit(node[i:j], part[i:j], side[i:j], keys, band[i],
+                                    own["text"].combine_chunks(), weights.value)
+        return pa.table([[a for a, _ in found], [b for _, b in found]], schema=schema)
+
+    return held.groupBy("task").applyInArrow(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,30 +436,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = scratch.table(ties.select("doc_id", "a").join(member_of.distinct(), "doc_id")
                           .filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "ties")
     banded = scratch.table(nodes.select("node", F.posexplode("bands").alias("band", "key"))
-                           .select("node", F.xxhash64("band", "key").alias("bucket")), "bands")
+                           .select("node", "band", F.xxhash64("band", "key").alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.countDistinct("node").alias("n")).filter("n > 1")
     several = scratch.table(banded.join(shared.select("bucket"), "bucket", "left_semi").distinct(), "several")
     scratch.forget(banded)
     # written, so that Spark knows how small it is before it plans the joins
     wanted = scratch.table(several.select("node").distinct(), "wanted")
-    marked = nodes.select("node", "samples").join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("samples").alias("samples"))
-    members = scratch.table(several.join(marked, "node"), "members")
-    texts = scratch.table(docs.join(wanted, docs.doc_id == wanted.node, "left_semi")
-                          .groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")), "texts")
+    # an id with several texts has no bands of its own to go by
+    marked = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(
+        F.min("samples").alias("samples"),
+        F.when(F.count("*") == 1, F.min("bands")).otherwise(F.array().cast("array<bigint>")).alias("bands"))
+    chosen = (docs.join(wanted, docs.doc_id == wanted.node, "left_semi")
+              .groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")))
+    texts = scratch.table(chosen.join(marked, "node"), "texts")
+    members = scratch.table(several.join(texts.select("node", "samples", F.octet_length("text").alias("bytes")),
+                                         "node"), "members")
+    texts = texts.drop("samples")
     groups = scratch.table(connected_components(links, scratch), "groups")
-    pairs = scratch.table(_with_leader(members, groups), "pairs")
-    tried, turn = pairs, 0
-    while True:
-        new = scratch.table(_verified(pairs, texts, share), "links")
-        last = turn >= MIN_ROUNDS and new.count() <= MIN_SHARE * pairs.count()
-        old, groups = groups, scratch.table(_merged(groups, new, scratch), "groups")
-        scratch.forget(old, new)
-        if last:
-            break
-        turn += 1
-        pairs = scratch.table(_with_closest(members, groups, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
+    near = scratch.table(_verified(_with_leader(members, groups), texts, share), "links")
+    groups = scratch.table(_merged(groups, near, scratch), "groups")
+    units = scratch.table(_units(members, groups), "units")
+    rest = scratch.table(_within_buckets(units, texts, share), "links")
+    groups = scratch.table(_merged(groups, rest, scratch), "groups")
     grouped = (member_of.join(groups, "node", "left")
                .select("doc_id", F.coalesce("component", "node").alias("component_id")))
     alone = marks.filter("doc_id is null or k1 is null").select(

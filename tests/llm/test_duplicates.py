@@ -252,3 +252,33 @@ def test_stopping_quantile():
     # known values of the chi-square table
     assert abs(nearest.chi_square_quantile(0.95, 2) - 5.991) < 1e-3
     assert abs(nearest.chi_square_quantile(0.95, 12) - 21.026) < 1e-3
+
+
+def family(n, words=400, seed=6):
+    """Pages of a template with five words replaced: pairs at about 0.74, and
+    twins (2k, 2k + 1) that share two of the words at about 0.83."""
+    r = random.Random(seed)
+    texts = []
+    for k in range(n // 2):
+        at = r.sample(range(5, words - 5, 5), 8)
+        for twin, own in enumerate((at[:5], at[:2] + at[5:])):
+            page = [f"b{i}" for i in range(words)]
+            for place in own:
+                page[place] = f"e{k}x{place}" if place in at[:2] else f"e{k}t{twin}x{place}"
+            texts.append(" ".join(page))
+    return texts
+
+
+@pytest.mark.parametrize("block", [512])
+def test_minhash_links_of_a_template_family(spark, monkeypatch, block):
+    import pyarrow as pa
+
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    texts = family(400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = minhash_dedup.ln_idf(*minhash_dedup.document_frequencies(df))
+    like = minhash_dedup.similarities(pa.array(texts[::2]), pa.array(texts[1::2]), weights)
+    twins = np.flatnonzero(like >= 0.8) * 2
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()}
+    missed = sum(got[a] != got[a + 1] for a in twins.tolist())
+    assert len(twins) >= 190 and len(set(got.values())) >= 190 and missed <= 0.01 * len(twins)
