@@ -352,7 +352,7 @@ def _links_of_unit(nodes: np.ndarray, parts: np.ndarray, side: np.ndarray, keys:
 
 def _units(members: DataFrame, groups: DataFrame) -> DataFrame:
     """The nodes of each bucket with several components, in units that are
-    compared at once: a bucket's blocks.  A
+    compared at once: a bucket's blocks, and each pair of its blocks.  A
     component beyond a block has blocks of its own, which do not meet."""
     held = (members.select("bucket", "band", "node", "bytes").join(groups, "node", "left")
             .withColumn("component", F.coalesce("component", "node")))
@@ -369,7 +369,7 @@ def _units(members: DataFrame, groups: DataFrame) -> DataFrame:
     block = F.xxhash64(F.coalesce("pure", F.lit(0)), F.col("pure").isNull(), "k")
     one = numbered.select("bucket", F.col("pure").alias("pure_i"), block.alias("i"))
     two = numbered.select("bucket", F.col("pure").alias("pure_j"), block.alias("j"))
-    met = one.join(two, "bucket").filter("i = j and pure_i is null").select("bucket", "i", "j")
+    met = one.join(two, "bucket").filter("i <= j and not coalesce(pure_i = pure_j, false)").select("bucket", "i", "j")
     sides = met.select("bucket", "i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).union(
         met.filter("i < j").select("bucket", "i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
     placed = (held.join(large.withColumnRenamed("pure", "component").withColumnRenamed("blocks", "own_blocks"),

@@ -269,7 +269,7 @@ def family(n, words=400, seed=6):
     return texts
 
 
-@pytest.mark.parametrize("block", [512])
+@pytest.mark.parametrize("block", [512, 64])
 def test_minhash_links_of_a_template_family(spark, monkeypatch, block):
     import pyarrow as pa
 
