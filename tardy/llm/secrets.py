@@ -8,7 +8,8 @@ before they are reported:
   names an algorithm, the payload to JSON,
 * ``pem``: an armoured block; the body must decode to DER with nested
   lengths that add up, or to an OpenSSH key with its length-prefixed fields,
-* ``der``: a base64 or hex run that decodes to such a structure by itself.
+* ``der``: a base64, URL-safe or hex run, over line breaks too, that decodes to
+  such a structure by itself, from the start of a run or after a sign in it.
 """
 
 from __future__ import annotations
@@ -31,10 +32,19 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
                      r"""([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-#: a DER sequence starts with 0x30, in base64 with M
-_B64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{39,}={0,2}")
+#: three dotted runs from any start of a run (a token may follow a dot)
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*))")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----(?:\s*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[ \t][^\n]*[^\s][^\n]*)*)*"
+                  r"([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: a DER sequence starts with 0x30: in base64 with M and one of A to P
+_B64_START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNzaC1rZXktdjEA)")
+_BREAK = r"[ \t]*\r?\n[ \t]*(?!-----)"
+#: runs that may go on in the next line, in one of the two alphabets
+_B64_RUNS = [re.compile(f"{c}+(?:{_BREAK}{c}+)*") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]")]
+_HEX_START = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{2}|6[fF]70656[eE]737368)")
+_HEX_RUN = re.compile(f"[0-9A-Fa-f]+(?:{_BREAK}[0-9A-Fa-f]+)*")
+#: shortest candidates, in characters
+_MIN_B64, _MIN_HEX = 40, 24
 _OPENSSH = b"openssh-key-v1\0"
 
 
@@ -90,11 +100,100 @@ def is_key(raw: bytes | None) -> bool:
     return raw[0] == 0x30 and der_nodes(raw) >= 3
 
 
+def key_size(raw: bytes) -> int | None:
+    """Bytes of the key that starts with ``raw`` (its first bytes are enough
+    for a DER sequence), by its own lengths; None if they do not tell."""
+    if raw.startswith(_OPENSSH):
+        at, keys = len(_OPENSSH), 0
+        for field in range(4):
+            if at + 4 > len(raw):
+                return None
+            size = int.from_bytes(raw[at:at + 4])
+            if field == 3:
+                at, keys = at + 4, size
+            else:
+                at += 4 + size
+        for _ in range(keys + 1):
+            if at + 4 > len(raw):
+                return None
+            at += 4 + int.from_bytes(raw[at:at + 4])
+        return at
+    if len(raw) < 6 or raw[0] != 0x30:
+        return None
+    if raw[1] < 128:
+        return 2 + raw[1]
+    wide = raw[1] - 128
+    return 2 + wide + int.from_bytes(raw[2:2 + wide]) if 1 <= wide <= 4 else None
+
+
+def _key_end(text: str, start: int, run: re.Pattern, decode, per: int, of: int, least: int) -> int | None:
+    """End of the key that starts there, if one does: the whole run in its
+    line, or as many characters as the key's own lengths say, over line
+    breaks too.  ``per`` characters hold ``of`` bytes."""
+    m = run.match(text, start)
+    if not m:
+        return None
+    line = m[0].split("\n", 1)[0].rstrip()
+    single = line if len(line) == len(m[0]) else None
+    head = decode("".join(m[0][:4 * least].split())[:24])
+    if not head or not (head[0] == 0x30 or head.startswith(_OPENSSH[:7])):
+        return None
+    size = key_size(head)
+    body = None
+    if head.startswith(_OPENSSH[:7]):
+        body = "".join(m[0].split())
+        size = key_size(decode(body) or b"")
+    if size is not None:
+        need = -(-size * per // of)
+        if need >= least and need <= len(m[0]):
+            body = body or "".join(m[0].split())
+            raw = decode(body[:need]) if need <= len(body) else None
+            if raw and is_key(raw[:size]):
+                end, left = start, need
+                while left:
+                    left -= not text[end].isspace()
+                    end += 1
+                if not text[end:end + 1].isalnum():
+                    return end
+    raw = decode(line) if len(line) >= least else None
+    return start + len(line) if is_key(raw) and (single or raw.startswith(_OPENSSH) or key_size(raw)) else None
+
+
+def _b64_any(text: str) -> bytes | None:
+    return _b64(text.replace("-", "+").replace("_", "/"))
+
+
+def _unhex(text: str) -> bytes | None:
+    return bytes.fromhex(text[:len(text) // 2 * 2]) if text else None
+
+
+def key_runs(text: str) -> list[tuple[int, int]]:
+    """Spans of base64, URL-safe and hex runs that are keys by themselves."""
+    found = set()
+    for starts, runs, decode, per, of, least in (
+            (_B64_START, _B64_RUNS, _b64_any, 4, 3, _MIN_B64), (_HEX_START, [_HEX_RUN], _unhex, 2, 1, _MIN_HEX)):
+        done = 0
+        for m in starts.finditer(text):
+            if m.start() < done:
+                continue
+            ends = [_key_end(text, m.start(), run, decode, per, of, least) for run in runs]
+            end = max((e for e in ends if e), default=None)
+            if end:
+                done = end
+                if per == 4:
+                    while end - done < 2 and text[end:end + 1] == "=":
+                        end += 1
+                found.add((m.start(), end))
+    return sorted(found)
+
+
 def is_signed_token(text: str) -> bool:
     head, body = (_b64(p, url=True) for p in text.split(".")[:2])
+    if not (head or b"").lstrip().startswith(b"{"):
+        return False
     try:
         header, payload = json.loads(head or b""), json.loads(body or b"")
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(header, dict) and "alg" in header and isinstance(payload, dict)
 
@@ -110,15 +209,10 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
                   if m.end() - m.start() >= 20]
     for m in _HEX.finditer(text):
         found.append(("hex", m.start(), m.end()))
-        run = m[0]
-        if run.startswith("30") and len(run) % 2 == 0 and is_key(bytes.fromhex(run)):
-            found.append(("der", m.start(), m.end()))
-    if "eyJ" in text:
-        found += [("jwt", m.start(), m.end()) for m in _JWT.finditer(text)
-                  if is_signed_token(m[0])]
+    found += [("jwt", m.start(1), m.end(1)) for m in _JWT.finditer(text) if is_signed_token(m[1])]
     if "-----BEGIN " in text:
         found += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if is_key(_b64(m[2]))]
-    found += [("der", m.start(), m.end()) for m in _B64.finditer(text) if is_key(_b64(m[0]))]
+    found += [("der", a, b) for a, b in key_runs(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -184,6 +184,32 @@ def test_structures_are_confirmed_by_decoding():
     assert secrets.is_key(ssh) and not secrets.is_key(ssh[:20])
 
 
+def test_key_runs_of_every_form():
+    r = random.Random(8)
+    key = der(0x30, der(2, b"\0") + der(2, r.randbytes(200)) + der(0x30, der(2, b"\5") + der(4, r.randbytes(70))))
+    text64 = base64.b64encode(key).decode()
+    bare = text64.rstrip("=")
+    wrapped = lambda t, eol="\n": eol.join(t[i:i + 64] for i in range(0, len(t), 64))
+    ders = lambda t: [(a, b) for k, a, b in secrets.find_secrets(t) if k == "der"]
+    ssh = b"openssh-key-v1\0" + b"".join(len(f).to_bytes(4) + f for f in (b"none", b"none", b"")) + (1).to_bytes(4) \
+        + b"".join(len(f).to_bytes(4) + f for f in (r.randbytes(51), r.randbytes(140)))
+    ssh64 = base64.b64encode(ssh).decode()
+    for body in (text64, wrapped(text64), wrapped(text64, "\r\n"), base64.urlsafe_b64encode(key).decode(), key.hex(),
+                 key.hex().upper(), wrapped(key.hex().upper()), ssh64, wrapped(ssh64), ssh.hex()):
+        assert ders(body) == [(0, len(body))]
+        assert ders(f"see /{body}\nthe end") == [(5, 5 + len(body))]
+    assert ders(f"x+{text64} y") == [(2, 2 + len(text64))]
+    for cut in (bare[:-6], wrapped(bare[:-6]), key.hex()[:-6], wrapped(bare[:-6]) + "\n-----END KEY-----"):
+        assert ders(cut) == []
+    url = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    for head in ('{ "alg": "HS256"}', '{\n "alg": "HS256"}', ' {"alg":"HS256"}', '{"alg":"HS256"}'):
+        token = f'{url(head)}.{url(chr(123) + " }")}.c2ln'
+        for before in ("", "see ", "longer-prefix."):
+            assert ("jwt", len(before), len(before + token)) in secrets.find_secrets(before + token)
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,CLEAR\nComment: a key\n\n{wrapped(text64)}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", 0, len(pem)) in secrets.find_secrets(pem)
+
+
 def test_redaction_removes_every_secret(spark):
     texts = ["token = abcdefgh and AKIA" + "B" * 16 + " end", None, "", "clean text", "x " + "0f" * 20]
     df = docs_of(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
