@@ -24,11 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import is_held_out, rows, text_buffer, text_slices
+from .minhash_dedup import mix
 
 DEPTH = 4
-#: bytes of text that the trees of one language are counted from, about
-#: (a hash of the id chooses whole documents)
+#: bytes of text that the trees of one language are counted from, at most a
+#: piece more (a hash of id and place chooses pieces of documents)
 SAMPLE_BYTES = 1_000_000
+#: characters of a piece, and how much more than the bound reaches the driver
+#: so that the bound is filled
+PIECE, MARGIN = 8192, 1.5
 #: contexts that occur less often are left out of the trees
 MIN_COUNT = 16
 UNKNOWN = "und"
@@ -180,25 +184,62 @@ def train(docs: DataFrame, depth: int = DEPTH, sample_bytes: int = SAMPLE_BYTES,
           lang_col: str = "lang") -> ContextTrees:
     """Trees from the labelled rows that are not held out.
 
-    Per language a hash of the id picks whole documents of about
-    ``sample_bytes`` in all (the documented bound on what reaches the
-    driver); the rest of the labelled rows only sizes the sample.
+    Documents are cut into pieces of ``PIECE`` characters; per language the
+    pieces are taken in the order of a hash of id and place until they fill
+    ``sample_bytes`` (the documented bound on what is learned from; a little
+    more reaches the driver).  Every labelled language has a piece at least.
     """
+    # 31 bits of the id's hash, as a number from 0 to 1
+    code = F.xxhash64("id", F.lit("language sample"))
     labelled = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
                             F.col(lang_col).cast("string").alias("lang"))
                 .filter(~is_held_out(F.col("id")) & F.col("lang").isNotNull()
-                        & F.col("text").rlike(_LETTER)))
+                        & F.col("text").rlike(_LETTER))
+                .select("lang", "text", code.alias("code")))
     sizes = labelled.groupBy("lang").agg(F.sum(F.octet_length("text").cast("double")).alias("n")).collect()
     if not sizes:
         return fit_trees({})
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_bytes / r["n"]))])
-    # 31 bits of the id's hash, as a number from 0 to 1
-    unit = F.xxhash64("id", F.lit("language sample")).bitwiseAND(0x7FFFFFFF) / float(1 << 31)
-    picked = labelled.filter(unit < share[F.col("lang")]).select("lang", "text").collect()
-    texts: dict[str, list[str]] = {r["lang"]: [] for r in sizes}
-    for r in sorted(picked):
-        texts[r["lang"]].append(r["text"])
-    return fit_trees({k: v for k, v in texts.items() if v}, depth, min_count)
+    share = {r["lang"]: min(1.0, MARGIN * sample_bytes / r["n"]) for r in sizes}
+    picked = labelled.mapInArrow(lambda batches: _pieces(batches, share), _PIECES).collect()
+    texts: dict[str, list[str]] = {}
+    filled = dict.fromkeys(share, 0)
+    for r in sorted(picked, key=lambda r: (r["place"], r["lang"], r["text"])):
+        if filled[r["lang"]] < sample_bytes:
+            texts.setdefault(r["lang"], []).append(r["text"])
+            filled[r["lang"]] += len(r["text"].encode())
+    bare = [k for k in share if k not in texts]
+    if bare:
+        # the share met no piece: from the first letter of the document with the least hash
+        one = F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), 1, PIECE)
+        least = (labelled.filter(F.col("lang").isin(bare)).groupBy("lang")
+                 .agg(F.min_by(one, F.struct("code", F.xxhash64("text"))).alias("text")))
+        texts |= {r["lang"]: [r["text"]] for r in least.collect()}
+    return fit_trees(texts, depth, min_count)
+
+
+_PIECES = "lang string, text string, place double"
+
+
+def _pieces(batches, share: dict[str, float]):
+    """The pieces whose hash, as a number from 0 to 1, is below their
+    language's share."""
+    schema = pa.schema([("lang", pa.string()), ("text", pa.string()), ("place", pa.float64())])
+    for batch in batches:
+        langs, codes = batch.column("lang").to_pylist(), batch.column("code").to_numpy().view(np.uint64)
+        sizes = pc.utf8_length(batch.column("text")).to_numpy()
+        out = {"lang": [], "text": [], "place": []}
+        for i, lang in enumerate(langs):
+            n = -(-int(sizes[i]) // PIECE)
+            k = np.arange(n, dtype=np.uint64)
+            place = ((codes[i] ^ np.where(k > 0, mix(k), k)) & np.uint64(0x7FFFFFFF)) / float(1 << 31)
+            at = np.flatnonzero(place < share[lang])
+            if len(at):
+                text = batch.column("text")[i].as_py()
+                out["lang"] += [lang] * len(at)
+                out["text"] += [text[j * PIECE:(j + 1) * PIECE] for j in at.tolist()]
+                out["place"] += place[at].tolist()
+        if out["lang"]:
+            yield rows(out, schema)
 
 
 def predict(docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id",

@@ -86,6 +86,23 @@ def test_language_id_ignores_label_source_and_id(spark):
     assert a.equals(b)
 
 
+def test_language_sample_of_few_long_texts(spark, monkeypatch):
+    """One text of a language holds nearly all its bytes: it is never left
+    empty, and the sample is bounded and filled."""
+    seen = []
+    fit = language_id.fit_trees
+    monkeypatch.setattr(language_id, "fit_trees", lambda texts, *a: seen.append(texts) or fit(texts, *a))
+    for shift in range(4):
+        ids = [i for i in range(shift * 1000, shift * 1000 + 100) if zlib.crc32(str(i).encode()) % 5][:8]
+        rows = [(ids[0], "palabra larga " * 150_000, "es"), *((i, f"corta {i} " * 20, "es") for i in ids[1:]),
+                (shift * 1000 + 500, None, "es"), (ids[0], "short words " * 100, "en")]
+        trees = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=100_000)
+        size = {k: sum(len(t.encode()) for t in v) for k, v in seen[-1].items()}
+        assert trees.languages == ["en", "es"] and 0 < size["en"] and 60_000 <= size["es"] <= 100_000 + 8192
+    few = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_bytes=1)
+    assert few.languages == ["en", "es"] and all(len(t) <= 8192 for v in seen[-1].values() for t in v)
+
+
 def test_language_id_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", "en"),
             (5, "12 !!", "de"), (None, "the hound", None), (6, "the cat", None), (6, "the cat", None)]
