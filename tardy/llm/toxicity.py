@@ -13,6 +13,9 @@ and the proximity windows are array operations over word positions.
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,22 +58,47 @@ FEATURES = ["lexicon_rate", "log_lexicon", "learned_rate", "log_learned", "near_
 _LEX, _LEARNED, _SECOND, _SHOUT, _OBFUSCATED, _WORD = (1 << k for k in range(6))
 
 
+#: signs that never stand for a letter or mark one
+_SEPARATOR = re.compile(r"[^\w@$!|*.]+")
+
+
+def _trimmed(word: str) -> str:
+    while word and not word[0].isalnum() and word[0] not in "@$":
+        word = word[1:]
+    while word and not word[-1].isalnum():
+        word = word[:-1]
+    return word
+
+
 class WordKinds:
-    """Bit set of what a white-space separated word is."""
+    """Bit sets of what the words of a white-space separated one are."""
 
     def __init__(self, learned: tuple[str, ...]):
         self.lexicon, self.learned = set(LEXICON), set(learned)
         self.second = set(SECOND_PERSON)
         self.known = BoundedCache(CACHE_ENTRIES)
 
-    def classify(self, word: str) -> int:
-        core = word
-        while core and not core[0].isalnum() and core[0] not in "@$":
-            core = core[1:]
-        while core and not core[-1].isalnum():
-            core = core[:-1]
+    def classify(self, word: str) -> bytes:
+        """Bit sets of the words that signs join in a white-space separated
+        one: its runs of letters, as words are learned, or a word as a whole
+        where signs stand for letters of the lexicon."""
+        core = _trimmed(word)
         if not any(c.isalpha() for c in core):
-            return 0
+            return b"\0"
+        whole = self._kind(core)
+        if core.isalpha() or whole & _LEX:
+            return bytes([whole])
+        kinds = []
+        for piece in map(_trimmed, _SEPARATOR.split(core)):
+            if self._kind(piece) & _LEX:
+                kinds.append(self._kind(piece))
+            else:
+                kinds += [self._kind("".join(run)) for letters, run in groupby(piece, str.isalpha) if letters]
+        shout = 0 if any(k & _SHOUT for k in kinds) else whole & _SHOUT
+        kinds[0] |= whole & _OBFUSCATED | shout
+        return bytes(kinds)
+
+    def _kind(self, core: str) -> int:
         kind, low = _WORD, core.lower()
         if not core.isalpha():
             plain = "".join(c for c in low.translate(LEET) if c.isalpha())
@@ -91,15 +119,20 @@ class WordKinds:
 
     def features(self, texts: pa.Array) -> np.ndarray:
         """[text, feature]; a text without words has only zeros."""
-        cut = pc.ascii_split_whitespace(texts)
+        cut = pc.utf8_split_whitespace(texts)
         offsets = np.asarray(cut.offsets, dtype=np.int64)
         coded = cut.values.dictionary_encode()
         words, get, put = coded.dictionary.to_pylist(), self.known.get, self.known.put
-        kinds = np.empty(len(words), np.uint8)
-        for i, w in enumerate(words):
+        kinds = []
+        for w in words:
             k = get(w)
-            kinds[i] = put(w, self.classify(w)) if k is None else k
-        kind = kinds[coded.indices.to_numpy()]
+            kinds.append(put(w, self.classify(w)) if k is None else k)
+        # a word of several gives one entry each
+        flat, size = np.frombuffer(b"".join(kinds), np.uint8), np.array([len(k) for k in kinds], np.int64)
+        at = coded.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(size[at])]
+        kind = flat[np.repeat((np.cumsum(size) - size)[at] - ends[:-1], size[at]) + np.arange(ends[-1])]
+        offsets = ends[offsets - offsets[0]]
 
         def count(flags: np.ndarray) -> np.ndarray:
             return segment_sums(flags.astype(np.int64), offsets).astype(np.float64)

@@ -138,6 +138,18 @@ def test_toxicity_features():
     assert f["shout_rate"][0] == 0.25 and f["exclaim_rate"][0] == 2 / 18
 
 
+def test_toxicity_words_joined_by_signs():
+    kinds = toxicity.WordKinds(("vile",))
+    texts = ["idiot you", "idiot,you", "idiot\u00a0you", "stupid-moron", "(1d1ot/you)", "you're VILE...so", "i.d.i.o.t 12,5", "",
+             "don't / U.S.A", "\u00a0"]
+    f = dict(zip(toxicity.FEATURES, kinds.features(pa.array(texts)).T))
+    count = lambda name: np.round(np.expm1(f[name])).astype(int).tolist()
+    assert count("log_lexicon") == [1, 1, 1, 2, 1, 0, 1, 0, 0, 0]
+    assert count("log_near") == [1, 1, 1, 0, 1, 1, 0, 0, 0, 0] and count("log_learned") == [0] * 5 + [1] + [0] * 4
+    assert np.round(np.exp(f["log_words"])).astype(int).tolist() == [2, 2, 2, 2, 2, 4, 1, 1, 5, 1]
+    assert f["shout_rate"][5] > 0 and f["shout_rate"][8] > 0
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (None, "you idiot", "x"), (3, "fine", "x"), (3, "fine", "x")],
                                  "doc_id long, text string, toxic string")
