@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, language_id, minhash_dedup, nearest, packing, secrets, sentencepiece_codec, token_counts, toxicity, warc
+from . import alignment, embedding_dedup, language_id, minhash_dedup, nearest, packing, periodic_runs, secrets, sentencepiece_codec, site_style_tree, token_counts, toxicity, warc
 from .common import ship
 
 
@@ -67,7 +69,42 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that op12 searches: for one id in ten the tail of a text
+    repeats with a period that the id's checksum gives (a null id: as is)."""
+    if doc_id is None or not words:
+        return words
+    g, tenth = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if tenth:
+        return words
+    a = g % len(words)
+    tail = len(words) - a
+    p = 1 + tail // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * (tail // p + 1))[:tail]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(documents(spark, sf_dir), periodic_tail)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_embedding_dedup, op3_packing, op4_warc, op5_nearest, op6_sentencepiece, op7_token_counts,
-    op8_toxicity, op9_minhash_dedup, op10_secrets)}
+    op8_toxicity, op9_minhash_dedup, op10_secrets, op11_html_extraction, op12_periodic_runs, op13_alignment)}
 ORACLE: dict[str, str] = {}
