@@ -78,9 +78,9 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}-{name}"
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = (out, path)
         return out
@@ -95,6 +95,11 @@ class Scratch:
     def drop(self) -> None:
         delete_path(self.spark, self.root)
 
+    def keep(self) -> None:
+        """Leave the tables until the driver program ends: the result reads
+        them when it is asked for."""
+        atexit.register(_forget, self.spark, self.root)
+
     def result(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}-result"
         df.write.parquet(path)

@@ -224,7 +224,7 @@ def extract(pages: DataFrame, small: int = SMALL) -> DataFrame:
     rows; a very long page is read whole, as a slice of its own.
     """
     scratch = Scratch(pages.sparkSession, "style-tree")
-    parsed = scratch.table(read_pages(pages), "pages")
+    parsed = scratch.table(read_pages(pages), "pages", "zstd")
     nodes = scratch.table(node_table(parsed), "nodes")
     low = scratch.table(score_texts(nodes, composite(nodes)).filter(F.col("score") < LEAST)
                         .select(F.col("site").alias("host"), "node"), "low")
@@ -241,5 +241,8 @@ def extract(pages: DataFrame, small: int = SMALL) -> DataFrame:
         marked = parsed.join(of_page, "row", "left")
     kept = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["node"]))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return scratch.result(marked.select("page_id", "url", text.alias("text"))
-                          .withColumn("n_chars", F.length("text").cast("long")))
+    # the texts are not written once more: the result reads the parsed pages
+    scratch.forget(nodes)
+    scratch.keep()
+    return (marked.select("page_id", "url", text.alias("text"))
+            .withColumn("n_chars", F.length("text").cast("long")))
