@@ -19,6 +19,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,14 +36,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: three dotted runs from any start of a run (a token may follow a dot)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*))")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)-----(?:\s*\n[A-Za-z][A-Za-z0-9-]*:[^\n]*(?:\n[ \t][^\n]*[^\s][^\n]*)*)*"
-                  r"([A-Za-z0-9+/=\s]+)-----END \1-----")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)-----")
+_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
 #: a DER sequence starts with 0x30: in base64 with M and one of A to P
 _B64_START = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P][A-Za-z0-9+/_-]{6}|b3BlbnNzaC1rZXktdjEA)")
 _BREAK = r"[ \t]*\r?\n[ \t]*(?!-----)"
 #: runs that may go on in the next line, in one of the two alphabets
 _B64_RUNS = [re.compile(f"{c}+(?:{_BREAK}{c}+)*") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]")]
 _HEX_START = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{2}|6[fF]70656[eE]737368)")
+_LINE = re.compile(r"\S+")
 _HEX_RUN = re.compile(f"[0-9A-Fa-f]+(?:{_BREAK}[0-9A-Fa-f]+)*")
 #: shortest candidates, in characters
 _MIN_B64, _MIN_HEX = 40, 24
@@ -58,26 +61,28 @@ def _b64(text: str, url: bool = False) -> bytes | None:
         return None
 
 
-def der_nodes(raw: bytes, depth: int = 0) -> int:
+def der_nodes(raw: bytes, at: int = 0, end: int | None = None, depth: int = 0) -> int:
     """Elements of a run of DER values whose lengths, nested ones too, end
-    exactly at the end of ``raw``; 0 if they do not."""
-    at, n = 0, 0
-    while at < len(raw):
-        if at + 2 > len(raw) or depth > 12:
+    exactly at ``end`` (by default that of ``raw``); 0 if they do not."""
+    end, n = len(raw) if end is None else end, 0
+    while at < end:
+        if at + 2 > end or depth > 12:
             return 0
         tag, size, at = raw[at], raw[at + 1], at + 2
+        if not tag:  # no element has this tag
+            return 0
         if size >= 128:
             wide = size - 128
-            if not 1 <= wide <= 4 or at + wide > len(raw):
+            if not 1 <= wide <= 4 or at + wide > end:
                 return 0
             size = int.from_bytes(raw[at:at + wide])
             at += wide
             if size < 128:
                 return 0
-        if at + size > len(raw):
+        if at + size > end:
             return 0
         if tag & 0x20:  # constructed
-            inner = der_nodes(raw[at:at + size], depth + 1)
+            inner = der_nodes(raw, at, at + size, depth + 1)
             if size and not inner:
                 return 0
             n += inner
@@ -85,28 +90,32 @@ def der_nodes(raw: bytes, depth: int = 0) -> int:
     return n
 
 
-def is_key(raw: bytes | None) -> bool:
-    """Key material: a DER sequence of several elements, or an OpenSSH blob
-    whose first length-prefixed fields fit."""
+def is_key(raw: bytes | None, at: int = 0, end: int | None = None) -> bool:
+    """Key material in raw[at:end]: a DER sequence of several elements, or an
+    OpenSSH blob whose first length-prefixed fields fit."""
     if not raw:
         return False
-    if raw.startswith(_OPENSSH):
-        at = len(_OPENSSH)
+    end = len(raw) if end is None else end
+    if raw.startswith(_OPENSSH, at, end):
+        at += len(_OPENSSH)
         for _ in range(3):
-            if at + 4 > len(raw):
+            if at + 4 > end:
                 return False
             at += 4 + int.from_bytes(raw[at:at + 4])
-        return at + 4 <= len(raw)
-    return raw[0] == 0x30 and der_nodes(raw) >= 3
-
-
-def key_size(raw: bytes) -> int | None:
-    """Bytes of the key that starts with ``raw`` (its first bytes are enough
-    for a DER sequence), by its own lengths; None if they do not tell."""
-    if raw.startswith(_OPENSSH):
-        at, keys = len(_OPENSSH), 0
+        return at + 4 <= end
+    return at < end and raw[at] == 0x30 and der_nodes(raw, at, end) >= 3
+
+
+def key_size(raw: bytes, at: int = 0, end: int | None = None) -> int | None:
+    """Bytes of the key that starts at raw[at], by its own lengths (the first
+    bytes of a DER sequence tell, an OpenSSH blob is walked); None if they do
+    not tell."""
+    end = len(raw) if end is None else end
+    first = at
+    if raw.startswith(_OPENSSH, at, end):
+        at, keys = at + len(_OPENSSH), 0
         for field in range(4):
-            if at + 4 > len(raw):
+            if at + 4 > end:
                 return None
             size = int.from_bytes(raw[at:at + 4])
             if field == 3:
@@ -114,69 +123,94 @@ def key_size(raw: bytes) -> int | None:
             else:
                 at += 4 + size
         for _ in range(keys + 1):
-            if at + 4 > len(raw):
+            if at + 4 > end:
                 return None
             at += 4 + int.from_bytes(raw[at:at + 4])
-        return at
-    if len(raw) < 6 or raw[0] != 0x30:
-        return None
-    if raw[1] < 128:
-        return 2 + raw[1]
-    wide = raw[1] - 128
-    return 2 + wide + int.from_bytes(raw[2:2 + wide]) if 1 <= wide <= 4 else None
-
-
-def _key_end(text: str, start: int, run: re.Pattern, decode, per: int, of: int, least: int) -> int | None:
-    """End of the key that starts there, if one does: the whole run in its
-    line, or as many characters as the key's own lengths say, over line
-    breaks too.  ``per`` characters hold ``of`` bytes."""
-    m = run.match(text, start)
-    if not m:
+        return at - first
+    if end - at < 6 or raw[at] != 0x30:
         return None
-    line = m[0].split("\n", 1)[0].rstrip()
-    single = line if len(line) == len(m[0]) else None
-    head = decode("".join(m[0][:4 * least].split())[:24])
-    if not head or not (head[0] == 0x30 or head.startswith(_OPENSSH[:7])):
-        return None
-    size = key_size(head)
-    body = None
-    if head.startswith(_OPENSSH[:7]):
-        body = "".join(m[0].split())
-        size = key_size(decode(body) or b"")
-    if size is not None:
-        need = -(-size * per // of)
-        if need >= least and need <= len(m[0]):
-            body = body or "".join(m[0].split())
-            raw = decode(body[:need]) if need <= len(body) else None
-            if raw and is_key(raw[:size]):
-                end, left = start, need
-                while left:
-                    left -= not text[end].isspace()
-                    end += 1
-                if not text[end:end + 1].isalnum():
-                    return end
-    raw = decode(line) if len(line) >= least else None
-    return start + len(line) if is_key(raw) and (single or raw.startswith(_OPENSSH) or key_size(raw)) else None
-
-
-def _b64_any(text: str) -> bytes | None:
-    return _b64(text.replace("-", "+").replace("_", "/"))
-
-
-def _unhex(text: str) -> bytes | None:
-    return bytes.fromhex(text[:len(text) // 2 * 2]) if text else None
+    if raw[at + 1] < 128:
+        return 2 + raw[at + 1]
+    wide = raw[at + 1] - 128
+    return 2 + wide + int.from_bytes(raw[at + 2:at + 2 + wide]) if 1 <= wide <= 4 else None
+
+
+class _Run:
+    """A run of key characters over its lines, decoded once for each place
+    that a group of characters may start at."""
+
+    def __init__(self, text: str, start: int, pattern: re.Pattern, per: int):
+        self.end, self.per = pattern.match(text, start).end(), per
+        lines = list(_LINE.finditer(text, start, self.end))
+        self.lines = [m.span() for m in lines]
+        self.places = list(accumulate((b - a for a, b in self.lines[:-1]), initial=0))
+        self.body = "".join(m[0] for m in lines)
+        self.decoded: dict[int, bytes] = {}
+
+    def place(self, at: int) -> tuple[int, int]:
+        """(characters of the run before a place of the text, end of its line)."""
+        k = bisect_right(self.lines, at, key=lambda line: line[0]) - 1
+        return self.places[k] + at - self.lines[k][0], self.lines[k][1]
+
+    def text_end(self, n: int) -> int:
+        """The place of the text after the first n characters of the run."""
+        k = bisect_left(self.places, n) - 1
+        return self.lines[k][0] + n - self.places[k]
+
+    def bytes(self, i: int) -> tuple[bytes, int]:
+        """(decoded run, place in it) for a key that starts at character i."""
+        r = i % self.per
+        if r not in self.decoded:
+            chars = self.body[r:]
+            if self.per == 2:
+                self.decoded[r] = bytes.fromhex(chars[:len(chars) // 2 * 2])
+            else:
+                chars += "A" * (-len(chars) % 4)
+                self.decoded[r] = base64.b64decode(chars.replace("-", "+").replace("_", "/"))
+        return self.decoded[r], (i // 4 * 3 if self.per == 4 else i // 2)
+
+    def size(self, chars: int) -> int:
+        """Whole bytes in so many characters."""
+        return chars * 3 // 4 if self.per == 4 else chars // 2
+
+    def key_end(self, text: str, start: int, least: int) -> int | None:
+        """End of the key that starts there, if one does: as many characters
+        as its own lengths say, over line breaks too, or its whole line."""
+        i, line_end = self.place(start)
+        raw, at = self.bytes(i)
+        end = at + self.size(len(self.body) - i)
+        ssh = raw.startswith(_OPENSSH[:7], at, end)
+        if at >= end or not (raw[at] == 0x30 or ssh):
+            return None
+        size = key_size(raw, at, end if ssh else min(end, at + 18))
+        if size is not None:
+            need = -(-size * 4 // 3) if self.per == 4 else size * 2
+            if least <= need <= len(self.body) - i and is_key(raw, at, at + size):
+                stop = self.text_end(i + need)
+                if not text[stop:stop + 1].isalnum():
+                    return stop
+        chars = line_end - start
+        if chars < least or (self.per == 4 and chars % 4 == 1):
+            return None
+        stop = at + self.size(chars)
+        whole = line_end == self.end or raw.startswith(_OPENSSH, at, stop) or key_size(raw, at, stop)
+        return line_end if whole and is_key(raw, at, stop) else None
 
 
 def key_runs(text: str) -> list[tuple[int, int]]:
-    """Spans of base64, URL-safe and hex runs that are keys by themselves."""
+    """Spans of base64, URL-safe and hex runs that are keys by themselves.
+    Each run is found and decoded once; its starts are tried on the bytes."""
     found = set()
-    for starts, runs, decode, per, of, least in (
-            (_B64_START, _B64_RUNS, _b64_any, 4, 3, _MIN_B64), (_HEX_START, [_HEX_RUN], _unhex, 2, 1, _MIN_HEX)):
-        done = 0
+    for starts, patterns, per, least in ((_B64_START, _B64_RUNS, 4, _MIN_B64), (_HEX_START, [_HEX_RUN], 2, _MIN_HEX)):
+        done, runs = 0, [None] * len(patterns)
         for m in starts.finditer(text):
             if m.start() < done:
                 continue
-            ends = [_key_end(text, m.start(), run, decode, per, of, least) for run in runs]
+            ends = []
+            for k, pattern in enumerate(patterns):
+                if runs[k] is None or m.start() >= runs[k].end:
+                    runs[k] = _Run(text, m.start(), pattern, per)
+                ends.append(runs[k].key_end(text, m.start(), least))
             end = max((e for e in ends if e), default=None)
             if end:
                 done = end
@@ -187,6 +221,35 @@ def key_runs(text: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _armoured_key(body: str) -> bool:
+    """Whether an armoured block's body is a key, after header lines with
+    continuation lines (indented) and a blank line, if it has any."""
+    lines = body.split("\n")
+    first = after = 0
+    for k, line in enumerate(lines):
+        if _HEADER.match(line):
+            first = after = k + 1
+        elif first and after == k and line[:1] in (" ", "\t") and not line.isspace():
+            after = k + 1
+        elif not line.isspace() and line:
+            break
+    # indented lines after a header go on with it, or are an indented body
+    return any(is_key(_b64("\n".join(lines[k:]))) for k in {first, after})
+
+
+def armoured_keys(text: str) -> list[tuple[int, int]]:
+    """Spans of armoured blocks that hold a key."""
+    found, begin = [], None
+    for m in _ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        else:
+            if begin and begin[2] == m[2] and _armoured_key(text[begin.end():m.start()]):
+                found.append((begin.start(), m.end()))
+            begin = None
+    return found
+
+
 def is_signed_token(text: str) -> bool:
     head, body = (_b64(p, url=True) for p in text.split(".")[:2])
     if not (head or b"").lstrip().startswith(b"{"):
@@ -211,7 +274,7 @@ def find_secrets(text: str) -> list[tuple[str, int, int]]:
         found.append(("hex", m.start(), m.end()))
     found += [("jwt", m.start(1), m.end(1)) for m in _JWT.finditer(text) if is_signed_token(m[1])]
     if "-----BEGIN " in text:
-        found += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if is_key(_b64(m[2]))]
+        found += [("pem", a, b) for a, b in armoured_keys(text)]
     found += [("der", a, b) for a, b in key_runs(text)]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -235,7 +298,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every row.
 
     Null text is empty (no spans, the hash of the empty string); repeated
-    rows stay, a null id is passed on, other columns are ignored.
+    rows stay, a null id is passed on, other columns are ignored, an empty
+    table gives no rows.  A very long text is scanned whole: runs are found
+    and decoded once, armour is read line by line, nothing backtracks.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()),
                         ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])

@@ -229,3 +229,40 @@ def test_crc_of_pieces(spark):
     packed = packing.pack(docs_of(spark, ["some words here"]), public_tokenizers.path("word_bpe_49k.json"))
     r = packed.select("ids", F.crc32("ids").alias("c")).first()
     assert r.c == zlib.crc32(r.ids)
+
+
+def _ssh_key():
+    def part(b):
+        return len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + part(b"none") * 2 + part(b"") + (1).to_bytes(4, "big") + part(b"k" * 51) + part(b"p" * 100)
+
+
+@pytest.mark.parametrize("text", [
+    "-----BEGIN A-----\nKey: v\n" + (" " + "x" * 31 + "\n") * 20000,
+    "-----BEGIN A-----\n" * 50000, "-----BEGIN A-----" + "\nKey: v" * 50000 + "-----END A-----",
+    base64.b64encode(random.Random(1).randbytes(750_000)).decode(),
+    ("MII" + "A" * 61 + "\n") * 15000, ("MIIKAAIB" + "A" * 56 + "\n") * 15000, ("3082" + "0" * 60 + "\n") * 15000,
+    "b3BlbnNzaC1rZXktdjEA\n" * 40000, "/MIIB" * 100000, "MIAwgDCA" * 100000])
+def test_secret_scan_of_hostile_texts_is_linear(text):
+    import time
+
+    t = time.perf_counter()
+    secrets.find_secrets(text)
+    assert time.perf_counter() - t < 5
+
+
+def test_armour_and_wrapped_keys():
+    der = bytes.fromhex("3082010a02030102030201050482" + "00fc") + b"z" * 252
+    der = b"\x30\x82" + (len(der) - 4).to_bytes(2, "big") + der[4:]
+    for raw in (der, _ssh_key()):
+        assert secrets.is_key(raw)
+        for width in (24, 64, 10_000):
+            for indent in ("", "  "):
+                flat = base64.b64encode(raw).decode()
+                body = "\n".join(indent + flat[i:i + width] for i in range(0, len(flat), width))
+                for head in ("", "\n", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES,\n 0123\n\n", "Key: v\n"):
+                    block = f"-----BEGIN KEY-----\n{head}{body}\n-----END KEY-----"
+                    assert secrets.armoured_keys("x " + block + " y") == [(2, 2 + len(block))], (width, indent, head)
+                (a, b), = secrets.key_runs("= " + body + " .")
+                assert (a, b) == (2 + len(indent), 2 + len(body))
+        assert secrets.armoured_keys(block.replace("END KEY", "END KEX")) == []
