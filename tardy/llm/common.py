@@ -136,10 +136,10 @@ def text_slices(batch: pa.RecordBatch, column: str,
     starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
     for a, b in zip(starts, np.r_[starts[1:], len(sizes)]):
         yield batch.slice(a, b - a), texts.slice(a, b - a)
-    _give_back()
+    give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: a worker is used again by later
     stages, next to the executor's heap."""
     pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, rows, text_buffer, text_slices
+from .common import give_back, is_held_out, rows, text_buffer, text_slices
 from .minhash_dedup import mix
 
 DEPTH = 4
@@ -35,6 +35,8 @@ SAMPLE_BYTES = 1_000_000
 PIECE, MARGIN = 8192, 1.5
 #: contexts that occur less often are left out of the trees
 MIN_COUNT = 16
+#: contexts whose costs are worked out at once
+BLOCK = 512
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
 
@@ -117,8 +119,7 @@ def fit_trees(texts: dict[str, list[str]], depth: int = DEPTH,
 
     steps, first, tables = [], [0], []
     nodes = np.zeros(1, np.int64)        # context keys of this depth
-    parents_exclusive = None
-    parent_counts = None
+    parent = None                        # counts and lower costs of the depth before
     for d in range(depth + 1):
         key, lang, c = counted[d]
         context = key // base
@@ -144,22 +145,32 @@ def fit_trees(texts: dict[str, list[str]], depth: int = DEPTH,
         where = np.searchsorted(kept, context)
         hit = (where < len(kept)) & (kept[np.minimum(where, max(len(kept) - 1, 0))] == context) \
             if len(kept) else np.zeros(len(context), bool)
-        counts = np.zeros((len(kept), n_sym, n_lang), np.float32)
-        counts[where[hit], (key % base)[hit], lang[hit]] = c[hit]
-        here = counts > 0
-        if d == 0:
-            # below the empty context: all bytes that no language model saw
-            left = 256 - here.sum(axis=1, keepdims=True)
-            lower = np.broadcast_to(np.log2(np.maximum(left, 1)).astype(np.float32), counts.shape)
-        else:
-            lower = _escaped(parent_counts[at], here, parents_exclusive[at])
-        total, distinct = counts.sum(axis=1, keepdims=True), here.sum(axis=1, keepdims=True)
-        every = np.maximum(total + distinct, 1)
-        with np.errstate(divide="ignore"):
-            cost = np.where(here, -np.log2(counts / every),
-                            np.where(distinct > 0, -np.log2(distinct / every), 0) + lower)
-        tables.append(cost.astype(np.float32).reshape(-1, n_lang))
-        parent_counts, parents_exclusive, nodes = counts, lower, kept
+        order = np.flatnonzero(hit)[np.argsort(where[hit], kind="stable")]
+        where, follows, lang, c = where[order], (key % base)[order], lang[order], c[order]
+        cost = np.empty((len(kept), n_sym, n_lang), np.float32)
+        # only the next depth reads counts and lower costs of this one
+        held = np.empty((2, len(kept), n_sym, n_lang), np.float32) if d < depth else None
+        for i in range(0, len(kept), BLOCK):
+            j = min(i + BLOCK, len(kept))
+            mine = slice(*np.searchsorted(where, (i, j)))
+            counts = np.zeros((j - i, n_sym, n_lang), np.float32)
+            counts[where[mine] - i, follows[mine], lang[mine]] = c[mine]
+            here = counts > 0
+            if d == 0:
+                # below the empty context: all bytes that no language model saw
+                left = 256 - here.sum(axis=1, keepdims=True)
+                lower = np.broadcast_to(np.log2(np.maximum(left, 1)).astype(np.float32), counts.shape)
+            else:
+                lower = _escaped(parent[0, at[i:j]], here, parent[1, at[i:j]])
+            total, distinct = counts.sum(axis=1, keepdims=True), here.sum(axis=1, keepdims=True)
+            every = np.maximum(total + distinct, 1)
+            with np.errstate(divide="ignore"):
+                cost[i:j] = np.where(here, -np.log2(counts / every),
+                                     np.where(distinct > 0, -np.log2(distinct / every), 0) + lower)
+            if held is not None:
+                held[0, i:j], held[1, i:j] = counts, lower
+        tables.append(cost.reshape(-1, n_lang))
+        parent, nodes = held, kept
         if not len(kept):
             break
     return ContextTrees(languages, classes, steps, first[:len(steps) + 1], np.concatenate(tables))
@@ -214,7 +225,9 @@ def train(docs: DataFrame, depth: int = DEPTH, sample_bytes: int = SAMPLE_BYTES,
         least = (labelled.filter(F.col("lang").isin(bare)).groupBy("lang")
                  .agg(F.min_by(one, F.struct("code", F.xxhash64("text"))).alias("text")))
         texts |= {r["lang"]: [r["text"]] for r in least.collect()}
-    return fit_trees(texts, depth, min_count)
+    trees = fit_trees(texts, depth, min_count)
+    give_back()
+    return trees
 
 
 _PIECES = "lang string, text string, place double"
