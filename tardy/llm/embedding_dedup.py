@@ -92,7 +92,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     vectors that are null, zero or hold null or non-finite components, and
     rows with a null id, have no links (component: own id, kept).  Repeated
     rows are vectors of their own that link with each other but share an id,
-    so they share the component and are kept alike.  An empty table gives no
+    so they share the component and are kept alike; so do different vectors
+    of one id, each of which keeps its own links.  An empty table gives no
     rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -105,8 +106,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                           F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
     valid = every.filter("ok")
     same = ["label", "dim", "k1", "k2"]
-    nodes = scratch.table(valid.groupBy(*same).agg(F.min("vec_id").alias("node"),
-                                                   F.count("*").alias("weight")), "nodes")
+    # equal vectors are one node, numbered anew: an id may have several vectors
+    nodes = scratch.table(valid.groupBy(*same).agg(F.min("vec_id").alias("owner"), F.count("*").alias("weight"))
+                          .withColumn("node", F.monotonically_increasing_id()), "nodes")
     largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     signs, tables = plan_tables(largest or 1, threshold)
 
@@ -124,9 +126,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
                     [*(part.column(c) for c in part.schema.names), signed.column("keys")],
                     names=[*part.schema.names, "keys"])
 
-    # the vector of a node is that of its smallest id (equal ids: any copy)
-    owners = (valid.withColumnRenamed("vec_id", "node").join(nodes, [*same, "node"])
-              .select("node", "weight", "label", "dim", "v").dropDuplicates(["node", "label", "dim"]))
+    # the vector of a node is that of its smallest id (repeated rows: any copy)
+    owners = (valid.withColumnRenamed("vec_id", "owner").join(nodes, [*same, "owner"])
+              .select("node", "weight", "label", "dim", "v").dropDuplicates(["node"]))
     signed = scratch.table(owners.mapInArrow(
         sign, "node long, weight long, label string, dim int, v array<double>, keys array<int>"), "signed")
     bucket = ["label", "dim", "table", "key"]
@@ -164,12 +166,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         return pa.table([np.concatenate([m[k] for m in made]) for k in range(3)], schema=schema)
 
     found = scratch.table(units.groupBy("task").applyInArrow(compare, "node long, root long, n long"), "links")
+    # an id with several vectors ties their nodes together
+    several = (valid.groupBy("vec_id").agg(*[f(F.struct(*same)).alias(n) for n, f in (("low", F.min), ("high", F.max))])
+               .filter("low <> high").select("vec_id"))
+    owned = valid.join(several, "vec_id", "left_semi").join(nodes, same).select("vec_id", "node").distinct()
+    ties = (owned.groupBy("vec_id").agg(F.min("node").alias("a")).join(owned, "vec_id")
+            .select("a", F.col("node").alias("b")))
     components = scratch.table(connected_components(
-        found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch), "components")
+        found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(ties), scratch), "components")
+    named = (components.join(nodes.select("node", "owner"), "node").groupBy("component")
+             .agg(F.min("owner").alias("component_id")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
-    resolved = (nodes.join(counts, "node", "left").join(components, "node", "left")
+    resolved = (nodes.join(counts, "node", "left")
+                .join(components.join(named, "component").select("node", "component_id"), "node", "left")
                 .select(*same, (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"),
-                        F.coalesce("component", "node").alias("component_id")))
+                        F.coalesce("component_id", "owner").alias("component_id")))
     linked = valid.join(resolved, same).select("vec_id", "n_links", "component_id")
     alone = every.filter("not ok").select("vec_id", F.lit(0).cast("long"), "vec_id")
     out = linked.union(alone).withColumn(

@@ -263,6 +263,19 @@ def _signatures(docs: DataFrame, weights, id_col: str, text_col: str) -> DataFra
         run, "doc_id long, k1 long, k2 long, bands array<long>, samples array<byte>")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the keys of its word sequence."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("k1", pa.int64()), ("k2", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in text_slices(batch, "text", SLICE):
+                k1, k2 = sequence_keys(*word_hashes(texts))
+                yield rows({"doc_id": part.column("doc_id"), "text": texts, "k1": k1, "k2": k2}, schema)
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, k1 long, k2 long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     def run(batches):
@@ -423,18 +436,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share = spark.sparkContext.broadcast(ln_idf(*document_frequencies(docs)))
     marks = scratch.table(_signatures(docs, share, "doc_id", "text"), "signatures")
     known = marks.filter("doc_id is not null and k1 is not null")
-    # copies: one node per word sequence, its smallest id
-    first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands"),
+    # copies: one node per word sequence, numbered anew (an id may have several
+    # texts); its owner is its smallest id
+    first = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("owner"), F.min("bands").alias("bands"),
                                           F.min("samples").alias("samples"))
-    nodes = scratch.table(first, "nodes")
+    nodes = scratch.table(first.withColumn("node", F.monotonically_increasing_id()), "nodes")
     member_of = scratch.table(known.select("doc_id", "k1", "k2")
                               .join(nodes.select("k1", "k2", "node"), ["k1", "k2"])
                               .select("doc_id", "node"), "copies")
     # an id with several texts ties their nodes together
-    ties = member_of.distinct().groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b"),
-                                                      F.count("*").alias("n")).filter("n > 1")
-    links = scratch.table(ties.select("doc_id", "a").join(member_of.distinct(), "doc_id")
-                          .filter("a <> node").select("a", F.col("node").alias("b")).distinct(), "ties")
+    ties = (member_of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b"))
+    links = scratch.table(ties.select("doc_id", "a").join(member_of, "doc_id")
+                          .filter("a <> node").select("doc_id", "a", F.col("node").alias("b")).distinct(), "ties")
     banded = scratch.table(nodes.select("node", F.posexplode("bands").alias("band", "key"))
                            .select("node", "band", F.xxhash64("band", "key").alias("bucket")), "bands")
     shared = banded.groupBy("bucket").agg(F.countDistinct("node").alias("n")).filter("n > 1")
@@ -442,24 +455,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.forget(banded)
     # written, so that Spark knows how small it is before it plans the joins
     wanted = scratch.table(several.select("node").distinct(), "wanted")
-    # an id with several texts has no bands of its own to go by
-    marked = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(
-        F.min("samples").alias("samples"),
-        F.when(F.count("*") == 1, F.min("bands")).otherwise(F.array().cast("array<bigint>")).alias("bands"))
-    chosen = (docs.join(wanted, docs.doc_id == wanted.node, "left_semi")
-              .groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text")))
-    texts = scratch.table(chosen.join(marked, "node"), "texts")
+    marked = nodes.join(wanted, "node", "left_semi").select("node", "owner", "k1", "k2", "samples", "bands")
+    # a node's text is its owner's; of an owner with several texts, the one
+    # with the node's words
+    loose = links.select(F.col("doc_id").alias("owner")).distinct()
+    mine = marked.select("node", "owner", "k1", "k2")
+    of_one = (docs.join(mine.join(loose, "owner", "left_anti"), docs.doc_id == F.col("owner"))
+              .groupBy("node").agg(F.min("text").alias("text")))
+    of_some = _keyed(docs.join(loose, docs.doc_id == F.col("owner"), "left_semi"))
+    of_some = (of_some.join(mine.join(loose, "owner", "left_semi").withColumnRenamed("owner", "doc_id"),
+                            ["doc_id", "k1", "k2"]).groupBy("node").agg(F.min("text").alias("text")))
+    texts = scratch.table(of_one.union(of_some).join(marked.select("node", "samples", "bands"), "node"), "texts")
     members = scratch.table(several.join(texts.select("node", "samples", F.octet_length("text").alias("bytes")),
                                          "node"), "members")
     texts = texts.drop("samples")
-    groups = scratch.table(connected_components(links, scratch), "groups")
+    groups = scratch.table(connected_components(links.select("a", "b"), scratch), "groups")
     near = scratch.table(_verified(_with_leader(members, groups), texts, share), "links")
     groups = scratch.table(_merged(groups, near, scratch), "groups")
     units = scratch.table(_units(members, groups), "units")
     rest = scratch.table(_within_buckets(units, texts, share), "links")
     groups = scratch.table(_merged(groups, rest, scratch), "groups")
-    grouped = (member_of.join(groups, "node", "left")
-               .select("doc_id", F.coalesce("component", "node").alias("component_id")))
+    named = (groups.join(nodes.select("node", "owner"), "node").groupBy("component")
+             .agg(F.min("owner").alias("least")))
+    resolved = (nodes.select("node", "owner")
+                .join(groups.join(named, "component").select("node", "least"), "node", "left")
+                .select("node", F.coalesce("least", "owner").alias("component_id")))
+    grouped = member_of.join(resolved, "node").select("doc_id", "component_id")
     alone = marks.filter("doc_id is null or k1 is null").select(
         "doc_id", F.col("doc_id").alias("component_id"))
     out = grouped.union(alone).withColumn(

@@ -282,3 +282,47 @@ def test_minhash_links_of_a_template_family(spark, monkeypatch, block):
     got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()}
     missed = sum(got[a] != got[a + 1] for a in twins.tolist())
     assert len(twins) >= 190 and len(set(got.values())) >= 190 and missed <= 0.01 * len(twins)
+
+
+def test_ids_with_several_vectors_keep_the_links_of_each(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (4, [1.0, 1.0], 0),
+            (9, [-1.0, 0.0], 0), (8, [-1.0, 0.0], 0), (9, [0.0, -1.0], 0), (7, [0.0, -1.0], 0), (7, [0.0, -1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True),
+                   (7, 0, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False), (9, 1, 7, False)]
+
+
+def test_embedding_links_planted_in_the_table(spark):
+    """The table itself holds no link: near copies of some of its vectors are
+    added, and all rows are compared by brute force."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    r = np.random.default_rng(4)
+    rows = [(int(i), [float(x) for x in v], None if lab is None or lab != lab else int(lab))
+            for i, v, lab in table.itertuples(index=False)]
+    for k, (_, v, lab) in enumerate(rows[:120]):
+        noise = np.asarray(v) + r.normal(size=len(v)) * np.linalg.norm(v) / np.sqrt(len(v)) * r.uniform(0.05, 0.3)
+        rows.append((10_000 + k, noise.tolist(), lab))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.triu(x @ x.T >= embedding_dedup.THRESHOLD, 1)
+    links = [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(near))
+             if rows[a][2] is not None and rows[a][2] == rows[b][2]]
+    assert len(links) > 20
+    want = classes([i for i, _, _ in rows], links)
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert {g.vec_id: g.component_id for g in got} == want
+    assert sum(g.n_links for g in got) == 2 * len(links)
+
+
+def test_ids_with_several_texts_keep_the_links_of_each(spark):
+    r = random.Random(8)
+    text = [" ".join(f"w{r.randrange(10**6)}" for _ in range(200)) for _ in range(4)]
+    near = [t + " end of it" for t in text]
+    rows = [(1, text[0]), (1, text[1]), (2, near[0]), (3, near[1]), (4, text[2]), (4, text[2].upper()), (6, near[2]),
+            (5, text[3]), (7, near[3]), (7, near[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.component_id) for x in minhash_dedup.near_duplicates(df).collect()}
+    # 7 has near copies of 1 and of 5, so all of these are one group
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (6, 4), (5, 1), (7, 1)}
