@@ -2,11 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written and read again as the next stage's ``docs``; all but the last return
-the columns of ``documents``.
+the columns of ``documents``, whatever further columns these have.  Null
+texts and texts without a letter go in the first stage; rows that repeat an
+id stay until near copies are dropped; rows without an id are never dropped
+as copies; an empty table gives an empty table; very long texts are read
+whole in every stage.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 
@@ -20,28 +25,49 @@ from tardy.llm import language_id, minhash_dedup, packing, secrets, toxicity
 from tardy.llm.common import Scratch, ship
 
 
+def _start(spark: SparkSession) -> None:
+    """Ship the package and release what earlier stages left on the driver
+    (plans, broadcasts), so that its memory does not add up over stages."""
+    ship(spark)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows under column names that no operator uses, and those names by
+    the documents' own; ``_back`` takes them back."""
+    names = {c: f"_docs_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay.  Rejected are texts without a
     letter and texts that the best language model codes in no fewer bits
     than their bytes have (they are no text of any learned language)."""
-    ship(spark)
+    _start(spark)
     trees = language_id.train(docs)
-    found = language_id.predict(docs, trees, keep=docs.columns)
+    rows, names = _renamed(docs)
+    found = language_id.predict(rows, trees, names["doc_id"], names["text"], keep=rows.columns)
     known = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("bits_per_byte") < 8)
-    return found.filter(known).select(*docs.columns)
+    return _back(found.filter(known), names)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
-    ship(spark)
+    _start(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.score(docs, docs.columns).filter("predicted = 0").select(*docs.columns)
+    rows, names = _renamed(docs)
+    return _back(model.score(rows, rows.columns, names["text"]).filter("predicted = 0"), names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest id (rows
     that repeat its id go too); documents without an id stay."""
-    ship(spark)
+    _start(spark)
     scratch = Scratch(spark, "kept")
     kept = minhash_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
@@ -54,14 +80,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by its kind in brackets; all documents stay."""
-    ship(spark)
+    _start(spark)
     return secrets.redact_secrets(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences: one row per piece, with its ids.  The workers still
     hold what earlier stages took, so the working set is small here."""
-    ship(spark)
+    _start(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"),
                         slice_bytes=2 << 20, cache_entries=150_000)
 
