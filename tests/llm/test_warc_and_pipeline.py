@@ -136,3 +136,28 @@ def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()), key=repr)
     assert got == [1, 3, None]
+
+
+def test_pipeline_stages_take_any_further_columns(spark):
+    """Names that the operators use themselves pass through unharmed."""
+    clash = ["score", "predicted", "lang_pred", "bits_per_byte", "_raw", "probability", "log_words", "toxic", "node"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in clash})
+    scratch = Scratch(spark, "test")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = scratch.table(stage(spark, docs, SF))
+        assert after.columns == docs.columns and after.count() > 0
+        assert after.filter(" or ".join(f"{c} <> concat('{c}', doc_id)" for c in clash)).count() == 0
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_pipeline_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    scratch = Scratch(spark, "test")
+    for name, stage in corpus_pipeline.STAGES:
+        after = scratch.table(stage(spark, docs, SF))
+        assert after.count() == 0
+        if name != "packing":
+            assert after.columns == docs.columns
+            docs = after
