@@ -9,8 +9,8 @@ pipeline, and the two risk classifiers are trained and saved.
 ``serve`` starts the two scoring streams (request topic -> answers topic)
 from the saved state.  ``dispatch`` copies every valid incoming request to
 the input topics, ``collect_answers`` reads requests and answer topics and
-sends the merged answer of each request (or that of one kind) before or at
-its deadline, and ``lookup_distances`` answers distance queries.
+sends the merged answer of each request (or that of one kind) as soon as it
+is complete, at the latest at its deadline, and ``lookup_distances`` answers distance queries.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from .sources.schemas import ANSWER_SCHEMAS, REQUEST_SCHEMA
 from .streaming import io as SIO
 from .streaming import merge as SM
 from .streaming import scoring as SS
+from .streaming import sinks as SK
 
 MODEL_DIRS = {"A": "model_a", "B": "model_b", 30: "model_classification_30",
               60: "model_classification_60"}
@@ -142,36 +143,40 @@ def _sink(df: DataFrame, fmt: str, checkpoint: str, options: dict, trigger: dict
 def dispatch(spark: SparkSession, fmt: str, checkpoint: str, source: dict, outputs: dict,
              trigger: dict | None = None):
     """Every valid request to each of ``outputs`` (name -> sink options), one
-    read of the source."""
+    read of the source.  A batch that runs again, because the job stopped
+    between two sinks or inside one, leaves each message once in a file topic
+    (at least once in a broker topic)."""
     configure(spark)
     requests = V.valid_requests(_source(spark, REQUEST_SCHEMA, fmt, source))
 
-    def writer(options: dict):
-        def write(batch: DataFrame, _batch_id: int):
-            out = dict(options)
-            path, kind = out.pop("path", None), out.pop("format", fmt)
-            w = SIO.to_messages(batch, stamp=kind != "kafka").write.mode("append").format(kind).options(**out)
-            w.save(path) if path else w.save()
-        return write
+    def writer(name: str, options: dict):
+        out = dict(options)
+        path, kind = out.pop("path", None), out.pop("format", fmt)
+        put = (SK.broker_writer(f"{checkpoint.rstrip('/')}/sent", name, out, kind) if kind == "kafka"
+               else SK.file_topic_writer(path, name, kind, out))
+        return lambda batch, batch_id: put(SIO.to_messages(batch, stamp=kind != "kafka"), batch_id)
 
-    w = SS.fan_out(requests, {k: writer(o) for k, o in outputs.items()}).option("checkpointLocation", checkpoint)
+    w = SS.fan_out(requests, {k: writer(k, o) for k, o in outputs.items()}).option("checkpointLocation", checkpoint)
     return (w.trigger(**trigger) if trigger else w).start()
 
 
 def collect_answers(spark: SparkSession, fmt: str, checkpoint: str, requests: dict, answers: dict,
-                    output: dict, trigger: dict | None = None, delay: str = "20 seconds",
-                    deadline: int = K.RESPONSE_DEADLINE_SECONDS):
+                    output: dict, trigger: dict | None = None, delay: str = "0 seconds",
+                    deadline: int = K.RESPONSE_DEADLINE_SECONDS, event_time: bool = False):
     """Merged answers of the kinds in ``answers`` (kind -> source options of
     its answer topic): both kinds give success, partial or timeout, one kind
-    success or timeout."""
+    success or timeout.  A complete answer is sent by the batch that reads
+    its last part; deadlines run on the wall clock, or with ``event_time`` on
+    the stamps of the messages (then they wait for later messages)."""
     configure(spark)
     req = _source(spark, REQUEST_SCHEMA, fmt, requests)
     streams = {k: _source(spark, ANSWER_SCHEMAS[k], fmt, o) for k, o in answers.items()}
     if len(streams) == 1:
         kind, = streams
-        merged = SM.single_response_stream(req, streams[kind], kind, deadline, delay)
+        merged = SM.single_response_stream(req, streams[kind], kind, deadline, delay, event_time)
     else:
-        merged = SM.merge_response_streams(req, streams["regression"], streams["classification"], deadline, delay)
+        merged = SM.merge_response_streams(req, streams["regression"], streams["classification"], deadline, delay,
+                                           event_time)
     return _sink(merged, fmt, checkpoint, output, trigger)
 
 

@@ -860,6 +860,7 @@ from .streaming import io as SIO  # noqa: E402
 from .streaming import merge as SM  # noqa: E402
 from .streaming import replay as RP  # noqa: E402
 from .streaming import scoring as SS  # noqa: E402
+from .streaming import sinks as SK  # noqa: E402
 
 
 def _response_tables(spark, sf):
@@ -892,6 +893,17 @@ def q_stream_single_classification(spark, sf):
         s["requests"], s["classification"], "classification"), event_time=True)
 
 
+@register("stream_answer_lag")
+def q_stream_answer_lag(spark, sf):
+    """Seconds from each request to the sending of its merged answer, on the
+    stamps of the messages: a complete answer leaves with its last part, any
+    other at the deadline."""
+    merged = RP.replay(spark, _response_tables(spark, sf),
+                       lambda s: SM.merge_response_streams(s["requests"], s["regression"], s["classification"],
+                                                           lag=True), event_time=True)
+    return merged.select("request_id", "status", F.round("sent_after", 6).alias("sent_after"))
+
+
 @register("stream_score_regression")
 def q_stream_score_regression(spark, sf):
     a, b, _, _ = serving_models(spark, sf)
@@ -919,9 +931,9 @@ def q_stream_fan_out(spark, sf):
     topics = ["input-regression", "input-classification"]
 
     def writer(topic):
-        def w(batch, _bid):
-            SIO.to_messages(batch).write.mode("append").parquet(f"{root}/out/topic={topic}")
-        return w
+        put = SK.file_topic_writer(f"{root}/out/topic={topic}", "fan-out", "parquet")
+        return lambda batch, batch_id: put(SIO.to_messages(batch), batch_id)
+
     q = (SS.fan_out(stream, {t: writer(t) for t in topics})
            .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()

@@ -140,8 +140,8 @@ def first_answers(req: DataFrame, answers: DataFrame, kinds: list[str],
     return joined.groupBy("request_id", "ts").agg(*first)
 
 
-def answer_columns(first: DataFrame, kinds: list[str]) -> DataFrame:
-    """request_id, status and every answer's fields as columns.  All kinds
+def answer_columns(first: DataFrame, kinds: list[str], *extra) -> DataFrame:
+    """request_id, status, ``extra`` and every answer's fields as columns.  All kinds
     answered -> success; some -> partial; none -> timeout.  An answer whose
     own status is error still counts as an answer."""
     has = [F.col(k).isNotNull() for k in kinds]
@@ -149,7 +149,7 @@ def answer_columns(first: DataFrame, kinds: list[str]) -> DataFrame:
     for h in has[1:]:
         every, some = every & h, some | h
     status = F.when(every, "success").when(some, "partial").otherwise("timeout")
-    return first.select("request_id", status.alias("status"), *[
+    return first.select("request_id", status.alias("status"), *extra, *[
         F.col(k)[f].alias(_named(k, f)) for k in kinds for f in ANSWER_FIELDS[k]])
 
 

@@ -661,6 +661,12 @@ ORACLE["null_inputs"] = MODEL + " UNION ALL ".join(
 ORACLE["stream_merge_responses"] = ORACLE["merged_response"]
 ORACLE["stream_single_response"] = ORACLE["request_response_join"]
 ORACLE["stream_single_classification"] = ORACLE["classification_response_join"]
+ORACLE["stream_answer_lag"] = SERVE + """
+SELECT q.request_id, m.status, round(CASE WHEN m.status = 'success'
+    THEN cast(epoch_us(greatest(r.ts, c.ts)) - epoch_us(q.ts) AS DOUBLE) / 1000000 ELSE 10.0 END, 6) AS sent_after
+FROM vreq q JOIN merged m ON m.request_id = q.request_id
+LEFT JOIN reg_first r ON q.request_id = r.request_id AND r.place = 1
+LEFT JOIN cls_first c ON q.request_id = c.request_id AND c.place = 1"""
 
 _CATS = ['UniqueCarrier', 'Origin', 'Dest', 'TimeOfDay', 'DistanceCategory']
 

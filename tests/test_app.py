@@ -59,7 +59,7 @@ def test_train_save_load_and_the_online_path(spark):
     def collect(name, answers):
         q = app.collect_answers(spark, "json", f"{root}/ckpt/{name}", topic("in-regression"),
                                 {k: topic(f"answers-{k}") for k in answers}, {"path": f"{root}/{name}"},
-                                deadline=600, **once)
+                                deadline=600, event_time=True, **once)
         q.awaitTermination()
 
     jobs = {"merged": kinds, "only-regression": kinds[:1], "only-classification": kinds[1:]}
