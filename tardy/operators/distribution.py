@@ -92,30 +92,51 @@ def density_histogram(df: DataFrame, column: str = "ArrDelay", bins: int = 100,
                                                 n * (F.col("bin_hi") - F.col("bin_lo"))))
 
 
+#: bins per bandwidth, order of the expansion inside a bin, and how many
+#: bandwidths a kernel reaches
+KDE_BINS, KDE_ORDER, KDE_REACH = 32, 5, 9
+
+
 def kde_curve(df: DataFrame, column: str = "ArrDelay", points: int = 100) -> DataFrame:
     """Gaussian kernel density at ``points`` grid points over [min, max];
     bandwidth by Scott's rule (sample std * n^(-1/5)).
 
-    Values are first reduced to (distinct value, count) by a partial
-    aggregate; one more aggregate then holds one sum per grid point, so no
-    row is multiplied.
+    Values are reduced to bins of 1 / KDE_BINS bandwidth, each with the
+    moments of its values about its middle.  The kernel of a value at
+    distance s from the middle (in bandwidths) is that of the middle times
+    the sum of He_k(u) s^k / k!, so a bin and a grid point cost one
+    exponential.  Cut after order 5 the error is below 4e-13 of a kernel's
+    peak; kernels end at KDE_REACH bandwidths (3e-18).  The number of bins
+    follows the range in bandwidths, not the number of distinct values.
     """
     vals = _values(df, column)
     st = _range_stats(vals)
     lo, hi, n = st.getField("lo"), st.getField("hi"), st.getField("n")
     bw = st.getField("sd") * F.pow(n.cast("double"), F.lit(-0.2))
     step = (hi - lo) / (points - 1)
-    distinct = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    def kernel(g: int) -> Column:
-        z = (lo + g * step - F.col("x")) / bw
-        return F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias(f"s{g}")
-
-    sums = distinct.agg(*[kernel(g) for g in range(points)])
-    cells = ", ".join(f"{g}, s{g}" for g in range(points))
+    width = bw / KDE_BINS
+    place = F.try_divide(F.col("x") - lo, width)
+    at = F.coalesce(F.floor(place), F.lit(0))
+    offset = (F.coalesce(place, F.lit(0.0)) - at - 0.5) / KDE_BINS
+    bins = (vals.select(at.alias("bin"), offset.alias("s")).groupBy("bin")
+            .agg(*[F.sum(F.pow("s", F.lit(k))).alias(f"m{k}") for k in range(KDE_ORDER + 1)]))
+    # the grid points within reach of a bin
+    middle = (F.col("bin") + 0.5) * width
+    first = F.greatest(F.lit(0), F.ceil(F.try_divide(middle - KDE_REACH * bw, step)))
+    last = F.least(F.lit(points - 1), F.floor(F.try_divide(middle + KDE_REACH * bw, step)))
+    met = bins.withColumn("point", F.explode(F.when(first <= last, F.sequence(first, last))))
+    u = (F.col("point") * step - middle) / bw
+    hermite = [F.lit(1.0), u]
+    for k in range(1, KDE_ORDER):
+        hermite.append(u * hermite[k] - k * hermite[k - 1])
+    series = sum((h * F.col(f"m{k}") / math.factorial(k) for k, h in enumerate(hermite)), F.lit(0.0))
+    sums = met.groupBy("point").agg(F.sum(F.exp(-0.5 * u * u) * series).alias("s"))
     norm = n * bw * F.lit(math.sqrt(2 * math.pi))
-    return sums.selectExpr(f"stack({points}, {cells}) as (point, s)").select(
+    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("point")).filter(n > 0)
+    # a row for each grid point at most
+    return grid.join(F.broadcast(sums), "point", "left").select(
         "point", (lo + F.col("point") * step).alias("x"),
-        F.try_divide(F.col("s"), norm).alias("density"))
+        F.try_divide(F.coalesce("s", F.lit(0.0)), norm).alias("density"))
 
 
 def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,
@@ -123,9 +144,8 @@ def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,
     """Q1, median, Q3 (linear interpolation), whiskers at the furthest value
     inside 1.5 IQR of the box, and the outlier count; per group if given.
 
-    Pass 1: exact percentiles per group from range-partitioned running
-    counts (``plans/quantiles.py``): no task holds a whole group.  Pass 2: join the small
-    per-group fences back (broadcast only below the measured row bound) and
+    First the exact percentiles per group (``plans/quantiles.py``: two scans,
+    no task holds a whole group).  Then join the small per-group fences back (broadcast only below the measured row bound) and
     take conditional min/max/count, again partial aggregates.  Without a
     group the same plan runs on one constant key.
     """
@@ -135,8 +155,6 @@ def box_stats(df: DataFrame, column: str = "ArrDelay", group: str | None = None,
     keys = [group] if group else []
     data = data.select(*keys, F.col(column).cast("double").alias("x")) \
                .filter(F.col("x").isNotNull())
-    # exact quartiles from range-partitioned running counts: a hot group is
-    # spread over many tasks instead of one per-group value map
     quartiles = exact_percentiles(data, "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, keys)
     cols = ["q1", "median", "q3", "iqr", "n", "whisker_lo", "whisker_hi", "outliers"]
 

@@ -3,6 +3,7 @@ correlation, trend line, value range, threshold share, summary."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,17 +107,36 @@ def numeric_columns(df: DataFrame, excluded=None) -> list[str]:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every column pair, pairwise-complete, in ONE
-    aggregate; the full matrix in long form (col_a, col_b, corr): each pair
-    is computed once and returned both ways, the diagonal is the column with
-    itself."""
+    """Pearson correlation of every column pair, pairwise-complete; the full
+    matrix in long form (col_a, col_b, corr), null without common rows.
+
+    One aggregate of cross products: a row is the vector of its values, their
+    squares and its mask of present values, and the sum of the outer products
+    holds the count, sums and products of every pair over the rows that have
+    both.  The buffer is of the columns squared, the plan is linear in them.
+    Values are taken from those of some row on, so that nothing cancels.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
     cols = numeric_columns(df) if cols is None else cols
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = [(a, b, i) for i, (a, b) in enumerate(pairs)]
-    cells += [(b, a, i) for a, b, i in cells if a != b]
-    stack = ", ".join(f"'{a}', '{b}', c{i}" for a, b, i in cells)
-    return wide.selectExpr(f"stack({len(cells)}, {stack}) as (col_a, col_b, corr)")
+    p, spark = len(cols), df.sparkSession
+    data = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    some = data.limit(1).collect()
+    shift = [(some[0][i] or 0.0) if some else 0.0 for i in range(p)]
+    x = [F.coalesce(F.col(f"x{i}") - F.lit(shift[i]), F.lit(0.0)) for i in range(p)]
+    here = [F.col(f"x{i}").isNotNull().cast("double") for i in range(p)]
+    vectors = data.select(array_to_vector(F.array(*x, *[v * v for v in x], *here)).alias("v"))
+    # no row at all: the sum of outer products is not defined
+    rows = MLUtils.convertVectorColumnsFromML(vectors, "v")
+    g = RowMatrix(rows, 0, 3 * p).computeGramianMatrix().toArray() if some else np.zeros((3 * p, 3 * p))
+    z, sq, m = slice(0, p), slice(p, 2 * p), slice(2 * p, 3 * p)
+    n, sx, sxx = g[m, m], g[z, m], g[sq, m]
+    spread = np.maximum(n * sxx - sx * sx, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = (n * g[z, z] - sx * sx.T) / np.sqrt(spread * spread.T)
+    found = [(a, b, float(r[i, j]) if n[i, j] else None) for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    return spark.createDataFrame(found, "col_a string, col_b string, corr double")
 
 
 def row_counts(raw: DataFrame) -> DataFrame:

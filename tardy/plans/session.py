@@ -74,16 +74,11 @@ RUNTIME_SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
 }
-# Wide single-pass aggregates (all column-pair correlations at once) have
-# more buffer fields than the default whole-stage-codegen limit of 100.
-MIN_CODEGEN_MAX_FIELDS = 1000
 
 
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_SQL_CONF.items():
         spark.conf.set(k, v)
-    if int(spark.conf.get("spark.sql.codegen.maxFields", "100")) < MIN_CODEGEN_MAX_FIELDS:
-        spark.conf.set("spark.sql.codegen.maxFields", str(MIN_CODEGEN_MAX_FIELDS))
     ensure_checkpoint_dir(spark)
     return spark
 
