@@ -3,8 +3,8 @@ leaderboard, tuning, importances, save/load, batch scoring.
 
 Feature stages (indexers, one-hot encoders, assembler, scaler) are fitted
 ONCE per feature set and their output (label and feature vector only) is
-written; every model of the comparison and every tuning fold reads it
-instead of refitting the same stages.  The indexer and encoder are
+written; every model of the comparison reads it instead of refitting the same
+stages.  The stages of all tuning folds come from one scan.  The indexer and encoder are
 multi-column stages, so all five categorical columns are counted in one pass.
 
 The min-max scaler sees the numeric block alone, so that the one-hot slots
@@ -21,15 +21,16 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import (MinMaxScaler, OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+                                StringIndexerModel, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..plans.session import ensure_checkpoint_dir
-from ..plans.sizing import delete_path, path_exists, scratch_path
+from ..plans.sizing import delete_path, materialize, path_exists, scratch_path
 from . import metrics as MT
 
 FEATURES = "features"
@@ -200,45 +201,108 @@ def pick_best(fitted: list[Fitted]) -> Fitted:
     return best
 
 
-def tune_gbt(prep: Prepared, label: str = K.TARGET, iters=(20, 50, 100), depths=(4, 6),
+# ---------------------------------------------------------------- cross-validation
+FOLD = "_fold"
+#: columns whose values deal a row to its fold
+FOLD_KEYS = [*K.CATEGORICAL_FEATURES, "Day", "DepHour", "Distance", "CRSElapsedTime"]
+
+
+def with_folds(df: DataFrame, folds: int = 3, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
+    """Rows with their fold, from a hash of their values: the same in every
+    run, whatever the partitions (equal rows share a fold)."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in (keys or FOLD_KEYS)])
+    number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return df.withColumn(FOLD, (number % folds).cast("int"))
+
+
+def fold_statistics(df: DataFrame, numeric: list[str], categorical: list[str] | None = None) -> list:
+    """Per fold the count of every category value and the range of every
+    numeric input, from one grouping-sets scan (a row per fold and value)."""
+    categorical = K.CATEGORICAL_FEATURES if categorical is None else categorical
+    sets = [[FOLD, c] for c in categorical] + [[FOLD]]
+    spread = [f(c).alias(f"{n}{i}") for i, c in enumerate(numeric) for n, f in (("lo", F.min), ("hi", F.max))]
+    return df.groupingSets(sets, FOLD, *categorical).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"), *spread).collect()
+
+
+def fold_stages(train: DataFrame, statistics: list, held: int, numeric: list[str],
+                categorical: list[str] | None = None) -> PipelineModel:
+    """The feature stages of one fold, put together from the statistics of
+    the other folds: the rows of fold ``held`` have no part in them.
+    ``train`` is only asked for its columns."""
+    categorical = K.CATEGORICAL_FEATURES if categorical is None else categorical
+    spark, width = train.sparkSession, len(categorical) + 1
+    indexer, encoder, block, scale, assembler = feature_stages(numeric, categorical)
+    others = [r for r in statistics if r[FOLD] != held]
+    labels = []
+    for i, c in enumerate(categorical):
+        gid = (1 << width) - 1 - (1 << (width - 1)) - (1 << (width - 2 - i))
+        counts: dict[str, int] = {}
+        for r in others:
+            if r["gid"] == gid and r[c] is not None:
+                counts[r[c]] = counts.get(r[c], 0) + r["n"]
+        labels.append(sorted(counts, key=lambda v: (-counts[v], v)))
+    index = [StringIndexerModel.from_labels(v, a, b, handleInvalid="keep")
+             for v, a, b in zip(labels, indexer.getInputCols(), indexer.getOutputCols())]
+    whole = [r for r in others if r["gid"] == (1 << (width - 1)) - 1]
+    ranges = [Vectors.dense([float(pick(r[f"{n}{i}"] for r in whole)) for i in range(len(numeric))])
+              for n, pick in (("lo", min), ("hi", max))]
+    # the encoder reads the index's labels, the scaler two rows: its ends
+    encode = encoder.fit(PipelineModel(stages=index).transform(train.select(*categorical)))
+    ends = spark.createDataFrame([(r,) for r in ranges], [NUMERIC_BLOCK])
+    return PipelineModel(stages=[*index, encode, block, scale.fit(ends), assembler])
+
+
+def tune_gbt(train: DataFrame, prep: Prepared, label: str = K.TARGET, iters=(20, 50, 100), depths=(4, 6),
              folds: int = 3, seed: int = 42, parallelism: int = 3) -> dict:
-    """Default boosted trees vs a cross-validated grid (features outside the
-    grid: fitted once).  Returns baseline/tuned RMSE and the best params.
+    """Default boosted trees vs a cross-validated grid over the whole
+    pipeline: each fold has feature stages of its own, from the other folds
+    only.  ``train`` holds the raw training rows, ``prep`` the stages fitted
+    on all of them and the test rows.  Returns baseline/tuned RMSE, the best
+    parameters, the board of the grid and the number of fits that ran.
 
     Boosting with the same seed builds the same first trees whatever the
     number of iterations, so one fit of the largest number per fold and
     depth serves every grid point of that depth: its error after each
     iteration comes from one pass over the fold's validation rows.
     """
-    ensure_checkpoint_dir(prep.train.sparkSession)
+    ensure_checkpoint_dir(train.sparkSession)
     gbt = GBTRegressor(featuresCol=FEATURES, labelCol=label, seed=seed)
-    base = gbt.fit(prep.train)
+    ran = [0]
+
+    def fitted(depth: int, n: int, rows: DataFrame):
+        ran[0] += 1
+        return gbt.copy({gbt.maxIter: n, gbt.maxDepth: depth}).fit(rows)
+
+    base = fitted(gbt.getMaxDepth(), gbt.getMaxIter(), prep.train)
     rmse_base = regression_scores(base.transform(prep.test), label)["rmse"]
-    fold = F.pmod(F.xxhash64(F.unwrap_udt(FEATURES), F.col(label), F.lit(seed)), F.lit(folds))
-    rows = prep.train.withColumn("_fold", fold).cache()
+    rows = with_folds(fill_inputs(train, prep.numeric), folds, seed)
+    statistics = fold_statistics(rows, prep.numeric)
+    tables = {}
+    for k in range(folds):
+        stages = fold_stages(rows, statistics, k, prep.numeric)
+        ready = materialize(stages.transform(rows).select(FOLD, label, FEATURES))
+        tables[k] = ready.filter(F.col(FOLD) != k), ready.filter(F.col(FOLD) == k)
 
     def fit(job):
         depth, k = job
-        model = gbt.copy({gbt.maxIter: max(iters), gbt.maxDepth: depth}).fit(rows.filter(F.col("_fold") != k))
-        errors = model.evaluateEachIteration(rows.filter(F.col("_fold") == k), "squared")
+        learn, check = tables[k]
+        errors = fitted(depth, max(iters), learn).evaluateEachIteration(check, "squared")
         return [(depth, n, errors[n - 1] ** 0.5) for n in iters]
 
-    try:
-        jobs = [(d, k) for d in depths for k in range(folds)]
-        with ThreadPoolExecutor(parallelism) as pool:
-            found = [r for rs in pool.map(fit, jobs) for r in rs]
-    finally:
-        rows.unpersist()
+    jobs = [(d, k) for d in depths for k in range(folds)]
+    with ThreadPoolExecutor(parallelism) as pool:
+        found = [r for rs in pool.map(fit, jobs) for r in rs]
     mean = {(n, d): sum(e for dd, nn, e in found if (nn, dd) == (n, d)) / folds
             for n in iters for d in depths}
     best_iter, best_depth = min(mean, key=mean.get)  # the first of equal points
-    best = gbt.copy({gbt.maxIter: best_iter, gbt.maxDepth: best_depth}).fit(prep.train)
+    best = fitted(best_depth, best_iter, prep.train)
     rmse_tuned = regression_scores(best.transform(prep.test), label)["rmse"]
     return {"rmse_baseline": rmse_base, "rmse_tuned": rmse_tuned,
             "gain": rmse_base - rmse_tuned,
             "gain_pct": (1 - rmse_tuned / rmse_base) * 100 if rmse_base else None,
             "best_maxIter": best_iter, "best_maxDepth": best_depth,
-            "fits": len(mean) * folds + 1}
+            "fits": ran[0], "board": [(n, d, e) for (n, d), e in mean.items()]}
 
 
 def tuning_frame(spark: SparkSession, result: dict) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import bands as B
 from ..functions import constants as K
 from ..functions import features as X
+from ..plans.sizing import salted_left_join
 
 DEFAULTED = ["DayOfWeek", "Month", "Day", "DepHour", "Distance", "CRSElapsedTime",
              "CRSArrHour", "UniqueCarrier", "Origin", "Dest", "DepDelay", "TaxiOut",
@@ -33,16 +34,22 @@ def valid_requests(df: DataFrame) -> DataFrame:
 
 def lookup_statistics(req: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
     """Left joins of the raw request values against the six statistics;
-    a miss (including a missing field) takes the serving default."""
+    a miss (including a missing field) takes the serving default.  In a
+    stream a statistic that is not broadcast is joined with salted keys."""
+    large = getattr(stats, "large", set())
+
+    def look(rows: DataFrame, name: str, keys: list[str], table: DataFrame) -> DataFrame:
+        if name in large and rows.isStreaming:
+            return salted_left_join(rows, table, keys)
+        return rows.join(table, keys, "left")
+
     r = req.withColumn("_route", X.route_key_strict("Origin", "Dest"))
-    r = r.join(stats["carrier_stats"].select("UniqueCarrier", "AvgCarrierDelay"),
-               "UniqueCarrier", "left")
-    r = r.join(stats["hour_stats"], "DepHour", "left")
-    r = r.join(stats["route_stats"].select(F.col("Route").alias("_route"), "AvgRouteDelay"),
-               "_route", "left")
-    r = r.join(stats["origin_stats"], "Origin", "left")
-    r = r.join(stats["dest_stats"], "Dest", "left")
-    r = r.join(stats["carrier_hour_stats"], ["UniqueCarrier", "DepHour"], "left")
+    r = look(r, "carrier_stats", ["UniqueCarrier"], stats["carrier_stats"].select("UniqueCarrier", "AvgCarrierDelay"))
+    r = look(r, "hour_stats", ["DepHour"], stats["hour_stats"])
+    r = look(r, "route_stats", ["_route"], stats["route_stats"].select(F.col("Route").alias("_route"), "AvgRouteDelay"))
+    r = look(r, "origin_stats", ["Origin"], stats["origin_stats"])
+    r = look(r, "dest_stats", ["Dest"], stats["dest_stats"])
+    r = look(r, "carrier_hour_stats", ["UniqueCarrier", "DepHour"], stats["carrier_hour_stats"])
     filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in K.LOOKUP_MISS_DEFAULTS.items()}
     return r.drop("_route").withColumns(filled)
 

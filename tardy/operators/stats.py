@@ -9,12 +9,15 @@ from reaching one reducer as raw rows.
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.sizing import MAX_BROADCAST_BYTES, bounded_broadcast, materialize, path_exists, table_bytes
+from ..plans.sizing import (MAX_BROADCAST_BYTES, delete_path, list_path, materialize_parts, move_path, path_bytes,
+                            path_exists, within_budget)
 
 STAT_KEYS = ["UniqueCarrier", "DepHour", "Route", "Origin", "Dest"]
 
@@ -79,13 +82,21 @@ def split_stats(long_df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+class Statistics(dict):
+    """Statistic name -> table; ``large`` names those that are not broadcast."""
+
+    def __init__(self, tables: dict[str, DataFrame], sizes: dict[str, int], budget: int):
+        small = within_budget(sizes, budget)
+        super().__init__({k: F.broadcast(t) if k in small else t for k, t in tables.items()})
+        self.large = set(tables) - small
+
+
 def compute_stats(df: DataFrame, value: str = "ArrDelay",
-                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> dict[str, DataFrame]:
-    """The six statistics, written once and marked for broadcast only if the
-    written bytes of all six together fit the bound."""
-    long_df = materialize(all_stats_long(df, value))
-    fits = table_bytes(long_df) <= max_broadcast_bytes
-    return {name: F.broadcast(t) if fits else t for name, t in split_stats(long_df).items()}
+                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> Statistics:
+    """The six statistics, written once; those that fit the budget of bytes
+    together, the smallest first, are marked for broadcast."""
+    written, sizes = materialize_parts(all_stats_long(df, value), "level")
+    return Statistics(split_stats(written), {s.name: sizes.get(s.name, 0) for s in STAT_SPECS}, max_broadcast_bytes)
 
 
 def route_distances(raw: DataFrame) -> DataFrame:
@@ -111,23 +122,38 @@ STATS_SCHEMAS = {
 }
 
 
-def save_stats(stats: dict[str, DataFrame], path: str) -> None:
-    """One parquet table per statistic (replaces a pickled dictionary)."""
+def save_stats(stats: dict[str, DataFrame], path: str, keep: int = 3) -> str:
+    """One parquet table per statistic (replaces a pickled dictionary), all of
+    them as one version: written aside, then put in place by one rename, so
+    that a reader finds all old or all new tables.  The ``keep`` newest
+    versions stay for readers that opened one before.  Returns the version."""
+    spark = next(iter(stats.values())).sparkSession
+    root = path.rstrip("/")
+    version = f"version-{time.time_ns() // 1_000_000:014d}-{uuid.uuid4().hex[:8]}"
     for name, t in stats.items():
-        t.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
-
-
-def load_stats(spark: SparkSession, path: str,
-               max_broadcast_bytes: int = 0) -> dict[str, DataFrame]:
-    """Read the saved statistics; a missing table reads as empty, any other
-    fault is raised.  With a byte bound, tables whose files fit an equal
-    share of it are marked for broadcast."""
-    out = {}
+        t.write.parquet(f"{root}/_staging/{version}/{name}")
+    move_path(spark, f"{root}/_staging/{version}", f"{root}/{version}")
+    for old in stats_versions(spark, root)[:-keep]:
+        delete_path(spark, f"{root}/{old}")
+    return version
+
+
+def stats_versions(spark: SparkSession, path: str) -> list[str]:
+    """The saved versions, the newest last."""
+    return [n for n in list_path(spark, path) if n.startswith("version-")]
+
+
+def load_stats(spark: SparkSession, path: str, max_broadcast_bytes: int = 0,
+               version: str | None = None) -> Statistics:
+    """All saved statistics of one version (the newest); a missing table reads
+    as empty, any other fault is raised.  With a budget of bytes, the smallest
+    tables that fit it together are marked for broadcast."""
+    versions = [version] if version else stats_versions(spark, path)
+    root = f"{path.rstrip('/')}/{versions[-1]}" if versions else path.rstrip("/")
+    tables, sizes = {}, {}
     for name, ddl in STATS_SCHEMAS.items():
-        at = f"{path.rstrip('/')}/{name}"
-        t = (spark.read.schema(ddl).parquet(at) if path_exists(spark, at)
-             else spark.createDataFrame([], ddl))
-        if max_broadcast_bytes:
-            t = bounded_broadcast(t, max_broadcast_bytes // len(STATS_SCHEMAS), already_materialized=True)
-        out[name] = t
-    return out
+        at = f"{root}/{name}"
+        here = path_exists(spark, at)
+        tables[name] = spark.read.schema(ddl).parquet(at) if here else spark.createDataFrame([], ddl)
+        sizes[name] = path_bytes(spark, at) if here else 0
+    return Statistics(tables, sizes, max_broadcast_bytes)

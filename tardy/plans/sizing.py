@@ -42,6 +42,20 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    target, fs = _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
+
+
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    """Rename within a store."""
+    source, fs = _path(spark, path)
+    target, _ = _path(spark, to)
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {path} to {to}")
+
+
 def path_bytes(spark: SparkSession, path: str) -> int:
     """Bytes of all files under a path."""
     target, fs = _path(spark, path)
@@ -67,6 +81,39 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_parts(df: DataFrame, column: str) -> tuple[DataFrame, dict[str, int]]:
+    """Like ``materialize``, in a folder for each value of ``column`` (few
+    values); also the written bytes of each."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "tables")
+    df.write.partitionBy(column).parquet(path)
+    target, fs = _path(spark, path)
+    sizes = {s.getPath().getName().split("=", 1)[1]: fs.getContentSummary(s.getPath()).getLength()
+             for s in fs.listStatus(target) if s.isDirectory()}
+    return spark.read.schema(df.schema).parquet(path), sizes
+
+
+def within_budget(sizes: dict[str, int], budget: int = MAX_BROADCAST_BYTES) -> set[str]:
+    """The tables that one plan broadcasts: the smallest first, as long as
+    their bytes together fit."""
+    out, spent = set(), 0
+    for name in sorted(sizes, key=lambda k: (sizes[k], k)):
+        spent += sizes[name]
+        if spent > budget:
+            break
+        out.add(name)
+    return out
+
+
+def salted_left_join(df: DataFrame, table: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
+    """Left join with a table of unique keys that is too large to broadcast,
+    where no adaptive split helps (streams): a hot key's rows are dealt over
+    ``salts`` tasks, and the table is repeated for each."""
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salts)).cast("int"))
+    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+
+
 def release_tables() -> None:
     """Delete every table written so far; frames that read them are void."""
     while _TABLES:
