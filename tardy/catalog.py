@@ -17,6 +17,7 @@ from .operators import clean as C
 from .operators import distribution as D
 from .operators import enrich as J
 from .operators import explore as E
+from .operators.indexing import category_index, with_indices
 from .operators import stats as S
 from .sources.flights import flights_view
 
@@ -533,20 +534,18 @@ def _pick(fits, name):
 @register("string_index")
 def q_string_index(spark, sf):
     """Index of every category value (frequency order, ties by label): one
-    grouping-sets count over the five columns, ranked per column."""
-    from pyspark.sql import Window
-    cats = K.CATEGORICAL_FEATURES
-    table = enriched_regression(spark, sf)
-    counts = (table.groupingSets([[c] for c in cats], *cats)
-                   .agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("gid")))
-    column, label = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for i, c in enumerate(cats):
-        here = F.col("gid") == (1 << len(cats)) - 1 - (1 << (len(cats) - 1 - i))
-        column, label = F.when(here, c).otherwise(column), F.when(here, F.col(c)).otherwise(label)
-    # as many rows per column as it has values
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "label")
-    return (counts.select(column.alias("column"), label.alias("label"), "count")
-                  .withColumn("index", (F.row_number().over(order) - 1).cast("double")))
+    grouping-sets count over the five columns, ranked over key ranges."""
+    return category_index(enriched_regression(spark, sf), K.CATEGORICAL_FEATURES)
+
+
+@register("indexed_rows")
+def q_indexed_rows(spark, sf):
+    """The five categories of every row next to their joined indices."""
+    table = regression_model_table(spark, sf).select(*K.CATEGORICAL_FEATURES)
+    index = category_index(table, K.CATEGORICAL_FEATURES)
+    out = with_indices(table, index, K.CATEGORICAL_FEATURES)
+    return out.select(*K.CATEGORICAL_FEATURES, *[F.col(f"{c}Index").cast("int").alias(f"{c}Index")
+                                                 for c in K.CATEGORICAL_FEATURES])
 
 
 def _fitted_stages(spark, sf, names: int) -> DataFrame:
@@ -749,7 +748,7 @@ def q_best_model(spark, sf):
 
 def _tuning(spark, sf) -> dict:
     return _memo(("tune", spark, sf),
-                 lambda: M.tune_gbt(regression_prepared(spark, sf, "A")))
+                 lambda: M.tune_gbt(regression_split(spark, sf)[0], regression_prepared(spark, sf, "A")))
 
 
 @register("tune_gbt")
@@ -764,6 +763,37 @@ def q_tuning_gain(spark, sf):
         "rmse_baseline", "rmse_tuned", "gain", "gain_pct")
 
 
+@register("tuning_board")
+def q_tuning_board(spark, sf):
+    """Cross-validated error of every grid point."""
+    return spark.createDataFrame(_tuning(spark, sf)["board"], "maxIter int, maxDepth int, rmse double")
+
+
+@register("fold_sizes")
+def q_fold_sizes(spark, sf):
+    """Rows and label sum of each cross-validation fold of the model table."""
+    rows = M.with_folds(M.fill_inputs(regression_model_table(spark, sf), K.NUMERIC_FEATURES))
+    return rows.groupBy(F.col(M.FOLD).alias("fold")).agg(F.count(F.lit(1)).alias("n"),
+                                                        F.round(F.sum(K.TARGET), 6).alias("label_sum"))
+
+
+@register("fold_stages")
+def q_fold_stages(spark, sf):
+    """What the fitted feature stages of each fold hold: number of known
+    values and most frequent one of every category, ends of every numeric
+    input, all without the fold's own rows."""
+    numeric = K.NUMERIC_FEATURES
+    rows = M.with_folds(M.fill_inputs(regression_model_table(spark, sf), numeric))
+    statistics = M.fold_statistics(rows, numeric)
+    out = []
+    for k in range(3):
+        *index, _, _, scaler, _ = M.fold_stages(rows, statistics, k, numeric).stages
+        out += [(k, c, len(m.labels), m.labels[0], None, None) for c, m in zip(K.CATEGORICAL_FEATURES, index)]
+        out += [(k, c, None, None, float(lo), float(hi))
+                for c, lo, hi in zip(numeric, scaler.originalMin, scaler.originalMax)]
+    return spark.createDataFrame(out, "fold int, input string, labels int, top string, low double, high double")
+
+
 @register("feature_importance")
 def q_feature_importance(spark, sf):
     f = _pick(regression_fits(spark, sf, "A"), "Random Forest")
@@ -814,6 +844,13 @@ def q_sample_capped(spark, sf, cap: int = 5000):
     return capped_sample(_eda(spark, sf).select("Distance", "ArrDelay"), cap)
 
 
+@register("sample_keyed")
+def q_sample_keyed(spark, sf):
+    """A tenth of the rows by key: the same in every run and on every engine."""
+    from .operators.sampling import keyed_sample
+    return keyed_sample(_eda(spark, sf).select("Distance", "ArrDelay"), 0.1)
+
+
 @register("random_split")
 def q_random_split(spark, sf):
     train, test = M.random_split(_reg(spark, sf).select("UniqueCarrier", "ArrDelay"))

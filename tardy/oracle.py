@@ -657,6 +657,43 @@ FROM enriched"""
 ORACLE["null_inputs"] = MODEL + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", count(*) FILTER (WHERE {c} IS NULL) AS nulls FROM enriched" for c in _NUMS_B)
 
+_FOLDED = MODEL + """
+, dealt AS (SELECT *, cast(cast('0x' || substr(md5(concat_ws('|', '42', UniqueCarrier, Origin, Dest, TimeOfDay,
+    DistanceCategory, cast(Day AS VARCHAR), cast(DepHour AS VARCHAR), cast(Distance AS VARCHAR),
+    cast(CRSElapsedTime AS VARCHAR))), 1, 8) AS BIGINT) % 3 AS INTEGER) AS fold FROM mt)
+"""
+ORACLE["fold_sizes"] = _FOLDED + "SELECT fold, count(*) AS n, round(sum(ArrDelay), 6) AS label_sum FROM dealt GROUP BY fold"
+
+
+_NUMS_A = [c for c in _NUMS_B if c not in ("DepDelay", "TaxiOut")]
+
+
+def _fold_stages_sql() -> str:
+    parts = []
+    for k in range(3):
+        for c in ("UniqueCarrier", "Origin", "Dest", "TimeOfDay", "DistanceCategory"):
+            parts.append(f"SELECT {k} AS fold, '{c}' AS input, cast(count(*) AS INTEGER) AS labels, "
+                         f"arg_min(v, struct_pack(a := -n, b := v)) AS top, cast(NULL AS DOUBLE) AS low, "
+                         f"cast(NULL AS DOUBLE) AS high FROM (SELECT {c} AS v, count(*) AS n FROM dealt "
+                         f"WHERE fold <> {k} AND {c} IS NOT NULL GROUP BY {c})")
+        for c in _NUMS_A:
+            parts.append(f"SELECT {k}, '{c}', NULL, NULL, cast(min({c}) AS DOUBLE), cast(max({c}) AS DOUBLE) "
+                         f"FROM dealt WHERE fold <> {k}")
+    return " UNION ALL ".join(parts)
+
+
+ORACLE["fold_stages"] = _FOLDED + _fold_stages_sql()
+
+_KEYED = BASE.rstrip("\n") + """
+, numbered AS (SELECT Distance, ArrDelay,
+    row_number() OVER (PARTITION BY Distance, ArrDelay) - 1 AS copy FROM eda),
+keyed AS (SELECT Distance, ArrDelay, copy, cast('0x' || substr(md5(concat_ws('|', '42',
+    coalesce(cast(Distance AS VARCHAR), '~'), coalesce(cast(ArrDelay AS VARCHAR), '~'), cast(copy AS VARCHAR))), 1, 15)
+    AS BIGINT) AS key FROM numbered)
+"""
+ORACLE["sample_capped"] = _KEYED + "SELECT Distance, ArrDelay FROM keyed ORDER BY key, Distance, ArrDelay, copy LIMIT 5000"
+ORACLE["sample_keyed"] = _KEYED + f"SELECT Distance, ArrDelay FROM keyed WHERE key < {int(0.1 * 2 ** 60)}"
+
 # stream twins: the replayed streams must give exactly the batch answers
 ORACLE["stream_merge_responses"] = ORACLE["merged_response"]
 ORACLE["stream_single_response"] = ORACLE["request_response_join"]
@@ -687,6 +724,8 @@ def _joined_index() -> str:
 ORACLE["one_hot"] = MODEL + ", " + _index_ctes() + "\nSELECT " + ", ".join(
     f"mt.{c}, i_{c}.idx AS {c}Index, i_{c}.width AS {c}Width, i_{c}.idx + 1 AS {c}Hot" for c in _CATS
 ) + " FROM mt " + _joined_index()
+ORACLE["indexed_rows"] = MODEL + ", " + _index_ctes() + "\nSELECT " + ", ".join(
+    f"mt.{c}, i_{c}.idx AS {c}Index" for c in _CATS) + " FROM mt " + _joined_index()
 ORACLE["assemble"] = MODEL + ", " + _index_ctes() + "\nSELECT " + " + ".join(
     f"i_{c}.width" for c in _CATS) + f" + {len(_NUMS_B)} AS width, {len(_CATS)} + " + " + ".join(
     f"(CASE WHEN mt.{n} <> 0 THEN 1 ELSE 0 END)" for n in _NUMS_B) + " AS nonzero, mt.ArrDelay FROM mt " + _joined_index()

@@ -115,9 +115,12 @@ class Open:
 
 
 def _processor(kinds: list[str], deadline: int, event_time: bool):
+    import warnings
+
     import pandas as pd
 
     def process(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark")
         open_ = Open.load(state.get[0] if state.exists else None, kinds, deadline)
         now = None if event_time else state.getCurrentProcessingTimeMs()
         if not state.hasTimedOut:
