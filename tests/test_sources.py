@@ -66,3 +66,46 @@ def test_request_ids_are_unique_and_stable(spark):
     assert len(first) == len(set(first)) == df.count()
     assert first == sorted(r.request_id for r in df.collect())
     assert df.filter(F.length("request_id") != 36).count() == 0
+
+
+class _Reader:
+    """Stands for a topic reader: records what reaches it."""
+
+    def __init__(self, rows):
+        self.rows, self.kind, self.seen = rows, None, {}
+
+    def format(self, kind):
+        self.kind = kind
+        return self
+
+    def options(self, **options):
+        self.seen |= options
+        return self
+
+    def load(self, *_):
+        return self.rows
+
+
+class _Session:
+    def __init__(self, reader):
+        self.readStream = reader
+
+
+def test_topic_options_and_start_position_reach_the_reader(spark):
+    import datetime as dt
+
+    from tardy.sources.schemas import REQUEST_SCHEMA
+    from tardy.streaming.io import read_json_stream
+
+    when = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(b'{"request_id": "a", "DepHour": 7}', when), (b"not json", when), (None, when)],
+                                 "value binary, timestamp timestamp")
+    for given, start in (({}, "latest"), ({"startingOffsets": "earliest"}, "earliest")):
+        reader = _Reader(rows)
+        options = {"kafka.bootstrap.servers": "b:9092", "subscribe": "t", **given}
+        got = read_json_stream(_Session(reader), REQUEST_SCHEMA, options=options)
+        assert reader.kind == "kafka" and reader.seen == {**options, "startingOffsets": start}
+        assert options == {"kafka.bootstrap.servers": "b:9092", "subscribe": "t", **given}
+        assert got.columns == [*REQUEST_SCHEMA.fieldNames(), "ts"]
+        assert [(r.request_id, r.DepHour, r.ts) for r in got.collect()] == [
+            ("a", 7, when), (None, None, when), (None, None, when)]
