@@ -158,14 +158,12 @@ class PrefixTable:
     def _space_run(self, n: int) -> list[int]:
         """Ids of n space marks that nothing else takes: equal scores, so the
         leftmost pair that makes a piece merges first."""
-        out = [1] * n
-        at = 0
-        while at < len(out) - 1:
-            if out[at] + out[at + 1] in self.spaces:
-                out[at:at + 2] = [out[at] + out[at + 1]]
-                at = max(at - 1, 0)
-            else:
-                at += 1
+        out: list[int] = []  # no two neighbours of it make a piece
+        for _ in range(n):
+            out.append(1)
+            while len(out) > 1 and out[-2] + out[-1] in self.spaces:
+                last = out.pop()
+                out[-1] += last
         return [self.spaces[k] for k in out]
 
     def unit(self, unit: str) -> list[int]:

@@ -266,3 +266,17 @@ def test_armour_and_wrapped_keys():
                 (a, b), = secrets.key_runs("= " + body + " .")
                 assert (a, b) == (2 + len(indent), 2 + len(body))
         assert secrets.armoured_keys(block.replace("END KEY", "END KEX")) == []
+
+
+def test_long_runs_of_spaces_are_encoded_in_linear_time():
+    import time
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    table = sentencepiece_codec.PrefixTable(path)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for n in [*range(1, 70), 1000, 4097]:
+        for text in (" " * n, "a" + " " * n + "b"):
+            assert table.encode(text) == library.encode(text), n
+    t = time.perf_counter()
+    assert len(table.encode(" " * 1_000_000)) > 0
+    assert time.perf_counter() - t < 5
