@@ -703,6 +703,45 @@ def q_regression_gbt(spark, sf):
     return _predictions(_pick(regression_fits(spark, sf, "A"), "GBT Regressor"))
 
 
+@register("linear_one_input")
+def q_linear_one_input(spark, sf):
+    """The linear model on one input (departure delay) over the whole model
+    table: its line has a closed form."""
+    from pyspark.ml.feature import VectorAssembler
+    rows = VectorAssembler(inputCols=["DepDelay"], outputCol=M.FEATURES).transform(
+        regression_model_table(spark, sf).select("DepDelay", K.TARGET))
+    model = M.regressors()["Linear Regression"].fit(rows)
+    return spark.createDataFrame([(round(float(model.coefficients[0]), 6), round(model.intercept, 6))],
+                                 "slope double, intercept double")
+
+
+@register("stump_predictions")
+def q_stump_predictions(spark, sf):
+    """One boosting step, one tree of a forest and one tree of a risk forest
+    over two flags of the whole model table, asked about every pair of flags:
+    the best split and its means have a closed form."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    from .plans.sizing import materialize
+    flags = ["IsWeekend", "IsRushHour"]
+    rows = materialize(VectorAssembler(inputCols=flags, outputCol=M.FEATURES).transform(
+        regression_model_table(spark, sf).select(*flags, K.TARGET, (F.col(K.TARGET) > 30).cast("int").alias("late"))))
+    cases = rows.select(*flags, M.FEATURES).distinct()
+    common = {"featuresCol": M.FEATURES, "maxDepth": 1, "seed": 42}
+    one = {**common, "numTrees": 1, "bootstrap": False}
+    models = {"boosted step": GBTRegressor(labelCol=K.TARGET, maxIter=1, **common),
+              "forest tree": RandomForestRegressor(labelCol=K.TARGET, **one),
+              "risk tree": RandomForestClassifier(labelCol="late", **one)}
+    out = None
+    for name, estimator in models.items():
+        scored = estimator.fit(rows).transform(cases)
+        value = F.col("prediction") if name != "risk tree" else M.positive_percent() / 100
+        part = scored.select(F.lit(name).alias("model"), *flags, F.round(value, 6).alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _cls_predictions(spark, sf, t):
     f = classification_fit(spark, sf, t)
     label = f"DelayOver{t}"

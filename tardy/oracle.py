@@ -665,6 +665,29 @@ _FOLDED = MODEL + """
 ORACLE["fold_sizes"] = _FOLDED + "SELECT fold, count(*) AS n, round(sum(ArrDelay), 6) AS label_sum FROM dealt GROUP BY fold"
 
 
+ORACLE["linear_one_input"] = MODEL + """
+SELECT round(regr_slope(ArrDelay, DepDelay), 6) AS slope, round(regr_intercept(ArrDelay, DepDelay), 6) AS intercept FROM mt"""
+
+
+def _stump_sql(model: str, label: str, classes: bool = False) -> str:
+    """The flag whose split explains most of the label, and its two means.
+    Leaves of one class are joined up again by the classifier."""
+    groups = {f: f"(SELECT {f} AS k, count(*) AS n, avg({label}) AS m FROM mt GROUP BY {f})"
+              for f in ("IsWeekend", "IsRushHour")}
+    gain = {f: f"(SELECT sum(n * m * m) FROM {g})" for f, g in groups.items()}
+    mean = {f: f"(SELECT m FROM {g} WHERE k = c.{f})" for f, g in groups.items()}
+    if classes:
+        mean = {f: f"(CASE WHEN (SELECT count(DISTINCT m > 0.5) FROM {groups[f]}) = 1 "
+                   f"THEN (SELECT avg({label}) FROM mt) ELSE {m} END)" for f, m in mean.items()}
+    return (f"SELECT '{model}' AS model, IsWeekend, IsRushHour, round(CASE WHEN {gain['IsWeekend']} >= {gain['IsRushHour']} "
+            f"THEN {mean['IsWeekend']} ELSE {mean['IsRushHour']} END, 6) AS value FROM cases c")
+
+
+ORACLE["stump_predictions"] = MODEL + ", cases AS (SELECT DISTINCT IsWeekend, IsRushHour FROM mt)\n" + " UNION ALL ".join(
+    _stump_sql(m, y, m == "risk tree") for m, y in (
+        ("boosted step", "ArrDelay"), ("forest tree", "ArrDelay"),
+        ("risk tree", "CASE WHEN ArrDelay > 30 THEN cast(1 AS DOUBLE) ELSE cast(0 AS DOUBLE) END")))
+
 _NUMS_A = [c for c in _NUMS_B if c not in ("DepDelay", "TaxiOut")]
 
 

@@ -129,8 +129,12 @@ def test_grid_search_by_prefixes_equals_fits_of_each_size(spark, prepared):
         short = GBTRegressor(labelCol=K.TARGET, maxIter=n, maxDepth=3, seed=42).fit(prepared.train)
         rmse = M.regression_scores(short.transform(prepared.test))["rmse"]
         assert math.isclose(rmse, errors[n - 1] ** 0.5, rel_tol=1e-9)
-    got = M.tune_gbt(prepared, iters=(2, 4), depths=(2, 3), folds=2)
-    assert got["fits"] == 9 and got["best_maxIter"] in (2, 4) and got["rmse_tuned"] > 0
+    raw = raw_split(spark)[0]
+    got = M.tune_gbt(raw, prepared, iters=(2, 4), depths=(2, 3), folds=2)
+    # what ran: two depths in two folds, the baseline and the refit
+    assert got["fits"] == 6 and got["best_maxIter"] in (2, 4) and got["rmse_tuned"] > 0
+    least = min(got["board"], key=lambda r: r[2])
+    assert len(got["board"]) == 4 and least[:2] == (got["best_maxIter"], got["best_maxDepth"])
 
 
 def test_a_broken_model_is_an_error_and_a_missing_one_is_none(tmp_path, spark):
