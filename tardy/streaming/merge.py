@@ -27,7 +27,8 @@ from ..operators.serving import ANSWER_FIELDS, answer_columns, valid_requests
 from ..plans.shipping import ship_package
 
 REQUEST = "request"
-_OUT = "request_id string, ts timestamp, sent_ts timestamp, complete boolean, answers map<string, string>"
+#: a frame per key is dear in Python: plain numbers and one text, decoded by Spark
+_OUT = "request_id string, at long, sent_at long, answers string"
 
 
 def _events(requests: DataFrame, responses: dict[str, DataFrame]) -> DataFrame:
@@ -39,7 +40,7 @@ def _events(requests: DataFrame, responses: dict[str, DataFrame]) -> DataFrame:
                   for f, t in ANSWER_FIELDS[kind].items()]
         out = out.unionByName(valid_requests(df).select(
             "request_id", "ts", F.lit(kind).alias("kind"), F.to_json(F.struct(*fields)).alias("body")))
-    return out.filter(F.col("ts").isNotNull())
+    return out.filter(F.col("ts").isNotNull()).withColumn("at", F.unix_micros("ts"))
 
 
 def _order(kind: str, at: int, body: str) -> tuple:
@@ -125,9 +126,8 @@ def _processor(kinds: list[str], deadline: int, event_time: bool):
         now = None if event_time else state.getCurrentProcessingTimeMs()
         if not state.hasTimedOut:
             for rows in batches:
-                times = rows["ts"].astype("int64") // (1000 if rows["ts"].dtype == "datetime64[ns]" else 1)
-                for kind, at, body in zip(rows["kind"], times, rows["body"]):
-                    open_.add(kind, int(at), body, now)
+                for kind, at, body in zip(rows["kind"].tolist(), rows["at"].tolist(), rows["body"].tolist()):
+                    open_.add(kind, at, body, now)
         clock = state.getCurrentWatermarkMs() if event_time else now
         sent = open_.take(clock)
         timer = open_.next_timer()
@@ -140,9 +140,8 @@ def _processor(kinds: list[str], deadline: int, event_time: bool):
             else:
                 state.setTimeoutDuration(max(timer - clock + 1, 1))
         if sent:
-            stamp = [pd.to_datetime([s[i] for s in sent], unit="us", utc=True) for i in (0, 1)]
-            yield pd.DataFrame({"request_id": [key[0]] * len(sent), "ts": stamp[0], "sent_ts": stamp[1],
-                                "complete": [s[2] for s in sent], "answers": [s[3] for s in sent]})
+            yield pd.DataFrame({"request_id": [key[0]] * len(sent), "at": [s[0] for s in sent],
+                                "sent_at": [s[1] for s in sent], "answers": [json.dumps(s[3]) for s in sent]})
     return process
 
 
@@ -158,12 +157,13 @@ def _merge(requests: DataFrame, responses: dict[str, DataFrame], deadline: int,
     timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.ProcessingTimeTimeout
     sent = events.groupBy("request_id").applyInPandasWithState(
         _processor(kinds, deadline, event_time), _OUT, "state string", "append", timeout)
-    structs = [F.from_json(F.col("answers")[k], ", ".join(f"{f} {t}" for f, t in ANSWER_FIELDS[k].items())).alias(k)
+    bodies = F.from_json("answers", "map<string, string>")
+    structs = [F.from_json(bodies[k], ", ".join(f"{f} {t}" for f, t in ANSWER_FIELDS[k].items())).alias(k)
                for k in kinds]
-    first = sent.select("request_id", "ts", "sent_ts", *structs)
+    first = sent.select("request_id", "at", "sent_at", *structs)
     if lag:
-        micros = F.unix_micros("sent_ts") - F.unix_micros("ts")
-        return answer_columns(first, kinds, F.expr("ts"), (micros / 1e6).alias("sent_after"))
+        return answer_columns(first, kinds, F.timestamp_micros("at").alias("ts"),
+                              ((F.col("sent_at") - F.col("at")) / 1e6).alias("sent_after"))
     return answer_columns(first, kinds)
 
 
