@@ -12,7 +12,7 @@ sys.path.insert(0, ".")
 from tardy.catalog import REGISTRY  # noqa: E402
 from tardy.plans.session import build_session  # noqa: E402
 
-HEADER = "# Physical plans of flagship queries\n\nHow to read these plans, and what changes on a cluster:\n\n- **Scans read only what the query needs.** `top_routes` reads five\n  `lineitem` columns: `l_shipdate` and `l_partkey` are pruned although the trip\n  view defines columns from them. The status filter (cancelled / diverted) is\n  derived from `l_returnflag` and `l_linenumber` and sits directly on the\n  `lineitem` scan, below every join.\n- **Dimension joins are sized by Spark from the files.** Orders, customers and\n  suppliers are broadcast at this scale because their files are small. On a\n  cluster the same plan becomes sort-merge joins, and AQE's skew-join splitting\n  guards a hot customer. The library adds no hint.\n- **`Exchange (RoundRobin)` over `lineitem`** appears only because each test file\n  is one parquet row group (one split). It spreads that single split over the\n  cores. `sources/tables.py` skips it when a scan already has enough splits, as\n  it does for any real dataset.\n- **`all_stats_grouping_sets`: Expand, then partial HashAggregate, then one\n  Exchange.** Six statistics take one scan and one small shuffle. The Expand\n  multiplies rows by six inside the map stage only; the shuffle carries partial\n  aggregates.\n- **`enriched_flights` / `request_features`: six `BroadcastHashJoin LeftOuter`\n  over `Scan parquet` of the materialised statistics.** The statistics were\n  written once to the shared checkpoint folder, counted, and hinted for\n  broadcast because their row counts are below the bound. A statistic above\n  the bound (route statistics on a very large network) would appear as a\n  sort-merge join instead. The trip rows never shuffle by key here, so a hot\n  carrier costs nothing extra.\n- **`merged_response`**: answers are reduced to the first answer per request\n  id, with partial aggregation, before the join. The joins carry the deadline\n  as a range condition. The aggregated answers are broadcast only because\n  Spark's size estimate (bounded by the input file size) is small; on a\n  cluster they are sort-merge joins on `request_id`.\n- **`box_stats_by_carrier`**: exact percentiles per carrier from\n  range-partitioned running counts (no task holds a whole carrier). The\n  fences are materialised and broadcast below the row bound, and the\n  whiskers come from a second partial aggregate.\n- **`auc_rank_sum`**: `Window` nodes appear only over the stored per-score\n  table. The range-partitioned `Exchange` gives each task one score range, and\n  the per-range totals (one row per range) carry the running offset. No task\n  holds all scores.\n- **`correlation_matrix`**: one `HashAggregate` computing all 78 `corr`\n  pairs. The session raises `spark.sql.codegen.maxFields`, so the aggregate\n  stays inside whole-stage codegen: about 6 s at sf0.1, against about 20 s\n  without it.\n\n"
+HEADER = "# Physical plans of flagship queries\n\nHow to read these plans, and what changes on a cluster:\n\n- **Scans read only what the query needs.** `top_routes` reads five\n  `lineitem` columns: `l_shipdate` and `l_partkey` are pruned although the trip\n  view defines columns from them. The status filter (cancelled / diverted) is\n  derived from `l_returnflag` and `l_linenumber` and sits directly on the\n  `lineitem` scan, below every join.\n- **Dimension joins are sized by Spark from the files.** Orders, customers and\n  suppliers are broadcast at this scale because their files are small. On a\n  cluster the same plan becomes sort-merge joins, and AQE's skew-join splitting\n  guards a hot customer. The library adds no hint.\n- **`Exchange (RoundRobin)` over `lineitem`** appears only because each test file\n  is one parquet row group (one split). It spreads that single split over the\n  cores. `sources/tables.py` skips it when a scan already has enough splits, as\n  it does for any real dataset.\n- **`all_stats_grouping_sets`: Expand, then partial HashAggregate, then one\n  Exchange.** Six statistics take one scan and one small shuffle. The Expand\n  multiplies rows by six inside the map stage only; the shuffle carries partial\n  aggregates.\n- **`enriched_flights` / `request_features`: six `BroadcastHashJoin LeftOuter`\n  over `Scan parquet` of the materialised statistics.** The statistics were\n  written once to the shared checkpoint folder, counted, and hinted for\n  broadcast because their row counts are below the bound. A statistic above\n  the bound (route statistics on a very large network) would appear as a\n  sort-merge join instead. The trip rows never shuffle by key here, so a hot\n  carrier costs nothing extra.\n- **`merged_response`**: answers are reduced to the first answer per request\n  id, with partial aggregation, before the join. The joins carry the deadline\n  as a range condition. The aggregated answers are broadcast only because\n  Spark's size estimate (bounded by the input file size) is small; on a\n  cluster they are sort-merge joins on `request_id`.\n- **`box_stats_by_carrier`**: exact percentiles per carrier from two scans: a\n  sketch brackets each rank, then only the rows inside the brackets are ranked\n  (no task holds a whole carrier). The fences are materialised and broadcast\n  below the byte bound, and the whiskers come from a second partial aggregate.\n- **`auc_rank_sum`**: `Window` nodes appear only over the stored per-score\n  table. The range-partitioned `Exchange` gives each task one score range, and\n  the per-range totals (one row per range) carry the running offset. No task\n  holds all scores.\n- **`correlation_matrix`**: the cross products are summed by MLlib's `RowMatrix`\n  when the query is built; the plan shown is that of the small result. No session\n  setting is raised.\n\n"
 
 FLAGSHIP = ["top_routes", "all_stats_grouping_sets", "enriched_flights", "request_features",
             "merged_response", "box_stats_by_carrier", "auc_rank_sum", "correlation_matrix"]

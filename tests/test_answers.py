@@ -9,7 +9,6 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tardy.operators.serving import ANSWER_FIELDS, merged_response
 from tardy.sources.schemas import ANSWER_SCHEMAS
 from tardy.streaming import merge as SM
 from tardy.streaming import scoring as SS
@@ -18,6 +17,10 @@ from tardy.streaming import sinks as SK
 KINDS = ["regression", "classification"]
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 REQ = "request_id string, ts timestamp"
+ANSWERS = {"regression": "request_id string, predicted_delay_minutes double, model_type string, status string, "
+                         "error string, ts timestamp",
+           "classification": "request_id string, probability_over_30min double, probability_over_60min double, "
+                             "status string, error string, ts timestamp"}
 
 
 def us(seconds):
@@ -80,8 +83,7 @@ def _feed(spark, root, name, rows, schema):
 
 
 def _start(spark, root, event_time):
-    schemas = {"requests": REQ, **{k: ANSWER_SCHEMAS[k].add("ts", "timestamp") if "ts" not in
-                                   ANSWER_SCHEMAS[k].fieldNames() else ANSWER_SCHEMAS[k] for k in KINDS}}
+    schemas = {"requests": REQ, **ANSWERS}
     streams = {n: spark.readStream.schema(s).json(f"{root}/{n}") for n, s in schemas.items()}
     plan = SM.merge_response_streams(streams["requests"], *[streams[k] for k in KINDS], event_time=event_time)
 
@@ -103,10 +105,7 @@ def _answer(kind, rid, seconds, x=1.0):
 
 def test_complete_answers_do_not_wait_for_the_watermark(spark):
     root = tempfile.mkdtemp(prefix="tardy-answers-")
-    schema = {"regression": "request_id string, predicted_delay_minutes double, model_type string, status string, "
-                            "error string, ts timestamp",
-              "classification": "request_id string, probability_over_30min double, probability_over_60min double, "
-                                "status string, error string, ts timestamp"}
+    schema = ANSWERS
     at = lambda s: T0 + dt.timedelta(seconds=s)
     _feed(spark, root, "requests", [("a", at(0)), ("b", at(0)), (None, at(0))], REQ)
     _feed(spark, root, "regression", [_answer("regression", "a", 0.5), _answer("regression", "b", 0.5)],
@@ -130,8 +129,8 @@ def test_timeouts_on_the_wall_clock_need_no_messages(spark):
     for kind in KINDS:
         spark.createDataFrame([], ANSWER_SCHEMAS[kind]).coalesce(1).write.json(f"{root}/{kind}")
     streams = {"requests": spark.readStream.schema(REQ).json(f"{root}/requests"),
-               **{k: spark.readStream.schema(ANSWER_SCHEMAS[k].jsonValue() and ANSWER_SCHEMAS[k])
-                  .json(f"{root}/{k}").withColumn("ts", F.current_timestamp()) for k in KINDS}}
+               **{k: spark.readStream.schema(ANSWER_SCHEMAS[k]).json(f"{root}/{k}")
+                  .withColumn("ts", F.current_timestamp()) for k in KINDS}}
     q = (SM.merge_response_streams(streams["requests"], *[streams[k] for k in KINDS], deadline=2, event_time=False)
          .writeStream.format("json").option("path", f"{root}/out").option("checkpointLocation", f"{root}/ckpt")
          .trigger(processingTime="500 milliseconds").start())
