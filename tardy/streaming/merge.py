@@ -1,7 +1,9 @@
 """Answers sent as soon as they are complete, or at the deadline.
 
-Requests and the answers of all kinds are one stream of events, keyed by
-request id.  A keyed state with a timer holds what is open: a request leaves
+Requests and the answers of all kinds are one stream of events, dealt by a
+hash of the request id into ``BUCKETS`` groups: a call into Python, a frame and
+a state for every single id would cost far more than the merge itself.  The
+group's state with a timer holds what is open, id by id: a request leaves
 in the micro-batch in which its last missing answer arrives, and otherwise
 when the clock passes its deadline, as partial or timeout.  The rows are
 those of the batch twins (``operators/serving.py``): only answers from the
@@ -15,6 +17,7 @@ can come.  So the state is bounded by the traffic of one deadline window.
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +30,9 @@ from ..operators.serving import ANSWER_FIELDS, answer_columns, valid_requests
 from ..plans.shipping import ship_package
 
 REQUEST = "request"
-#: a frame per key is dear in Python: plain numbers and one text, decoded by Spark
+#: groups of request ids; fixed, as a checkpoint's states are kept by group
+BUCKETS = 2048
+#: plain numbers and one text, decoded by Spark
 _OUT = "request_id string, at long, sent_at long, answers string"
 
 
@@ -63,17 +68,23 @@ class Open:
 
     @staticmethod
     def load(text: str | None, kinds: list[str], deadline: int) -> Open:
+        return Open.of(json.loads(text) if text else None, kinds, deadline)
+
+    @staticmethod
+    def of(form: dict | None, kinds: list[str], deadline: int) -> Open:
         out = Open(kinds, deadline)
-        if text:
-            s = json.loads(text)
-            out.waiting = {int(t): w for t, w in s["waiting"]}
-            out.sent = {int(t): u for t, u in s["sent"]}
-            out.answers = s["answers"]
+        if form:
+            out.waiting = {int(t): w for t, w in form["waiting"]}
+            out.sent = {int(t): u for t, u in form["sent"]}
+            out.answers = form["answers"]
         return out
 
+    def form(self) -> dict:
+        """What JSON can hold of it."""
+        return {"waiting": list(self.waiting.items()), "sent": list(self.sent.items()), "answers": self.answers}
+
     def dump(self) -> str:
-        return json.dumps({"waiting": list(self.waiting.items()), "sent": list(self.sent.items()),
-                           "answers": self.answers})
+        return json.dumps(self.form())
 
     def _offer(self, t: int, kind: str, at: int, body: str) -> None:
         if t <= at <= t + self.deadline * 1_000_000:
@@ -115,6 +126,44 @@ class Open:
         return min(times) if times else None
 
 
+class Group:
+    """The open ids of one bucket.  ``held`` keeps of each its next timer and
+    its form; only ids with events or a timer that has passed are unpacked."""
+
+    def __init__(self, kinds: list[str], deadline: int, packed: bytes | None = None):
+        self.kinds, self.deadline = kinds, deadline
+        self.held: dict[str, list] = json.loads(zlib.decompress(packed)) if packed else {}
+        self.touched: dict[str, Open] = {}
+
+    def of(self, request_id: str) -> Open:
+        if request_id not in self.touched:
+            form = self.held[request_id][1] if request_id in self.held else None
+            self.touched[request_id] = Open.of(form, self.kinds, self.deadline)
+        return self.touched[request_id]
+
+    def take(self, clock: int) -> list[tuple]:
+        """(request id, request time, time sent, answers) of all that leave."""
+        for request_id, (timer, _) in self.held.items():
+            if timer < clock:
+                self.of(request_id)
+        out = []
+        for request_id, one in self.touched.items():
+            out += [(request_id, t, at, answers) for t, at, _, answers in one.take(clock)]
+            timer = one.next_timer()
+            if timer is None:
+                self.held.pop(request_id, None)
+            else:
+                self.held[request_id] = [timer, one.form()]
+        self.touched = {}
+        return out
+
+    def next_timer(self) -> int | None:
+        return min((timer for timer, _ in self.held.values()), default=None)
+
+    def pack(self) -> bytes:
+        return zlib.compress(json.dumps(self.held).encode(), 1)
+
+
 def _processor(kinds: list[str], deadline: int, event_time: bool):
     import warnings
 
@@ -122,26 +171,26 @@ def _processor(kinds: list[str], deadline: int, event_time: bool):
 
     def process(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         warnings.filterwarnings("ignore", category=FutureWarning, module="pyspark")
-        open_ = Open.load(state.get[0] if state.exists else None, kinds, deadline)
+        group = Group(kinds, deadline, bytes(state.get[0]) if state.exists else None)
         now = None if event_time else state.getCurrentProcessingTimeMs()
         if not state.hasTimedOut:
             for rows in batches:
-                for kind, at, body in zip(rows["kind"].tolist(), rows["at"].tolist(), rows["body"].tolist()):
-                    open_.add(kind, at, body, now)
+                for rid, kind, at, body in zip(*[rows[c].tolist() for c in ("request_id", "kind", "at", "body")]):
+                    group.of(rid).add(kind, at, body, now)
         clock = state.getCurrentWatermarkMs() if event_time else now
-        sent = open_.take(clock)
-        timer = open_.next_timer()
+        sent = group.take(clock)
+        timer = group.next_timer()
         if timer is None:
             state.remove()
         else:
-            state.update((open_.dump(),))
+            state.update((group.pack(),))
             if event_time:
                 state.setTimeoutTimestamp(max(timer, clock + 1))
             else:
                 state.setTimeoutDuration(max(timer - clock + 1, 1))
         if sent:
-            yield pd.DataFrame({"request_id": [key[0]] * len(sent), "at": [s[0] for s in sent],
-                                "sent_at": [s[1] for s in sent], "answers": [json.dumps(s[3]) for s in sent]})
+            yield pd.DataFrame({"request_id": [s[0] for s in sent], "at": [s[1] for s in sent],
+                                "sent_at": [s[2] for s in sent], "answers": [json.dumps(s[3]) for s in sent]})
     return process
 
 
@@ -155,8 +204,9 @@ def _merge(requests: DataFrame, responses: dict[str, DataFrame], deadline: int,
         # one mark for all: a silent answer topic does not hold up the deadlines
         events = events.withWatermark("ts", delay)
     timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.ProcessingTimeTimeout
-    sent = events.groupBy("request_id").applyInPandasWithState(
-        _processor(kinds, deadline, event_time), _OUT, "state string", "append", timeout)
+    bucket = F.pmod(F.xxhash64("request_id"), F.lit(BUCKETS)).cast("int")
+    sent = events.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _processor(kinds, deadline, event_time), _OUT, "state binary", "append", timeout)
     bodies = F.from_json("answers", "map<string, string>")
     structs = [F.from_json(bodies[k], ", ".join(f"{f} {t}" for f, t in ANSWER_FIELDS[k].items())).alias(k)
                for k in kinds]

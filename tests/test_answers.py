@@ -78,6 +78,40 @@ def test_the_earliest_answer_wins_ties_by_value():
     assert json.loads(s.take(0)[0][3]["regression"]) == json.loads(body("regression", 9.0, "error"))
 
 
+def test_a_group_of_ids_sends_what_each_alone_would():
+    r = random.Random(4)
+    ids = [f"r{i}" for i in range(30)]
+    alone = {i: SM.Open(KINDS, 10) for i in ids}
+    packed, clock = None, 0
+    for _ in range(12):
+        group = SM.Group(KINDS, 10, packed)
+        for _ in range(40):
+            rid, kind, at = r.choice(ids), r.choice(["request", *KINDS]), us(clock + r.randint(0, 12))
+            text = None if kind == "request" else body(kind, r.random())
+            group.of(rid).add(kind, at, text, None)
+            alone[rid].add(kind, at, text, None)
+        clock += r.randint(0, 9)
+        want = [(i, t, at, a) for i, o in alone.items() for t, at, _, a in o.take(clock * 1000)]
+        assert sorted(group.take(clock * 1000), key=repr) == sorted(want, key=repr)
+        timers = [o.next_timer() for o in alone.values()]
+        assert group.next_timer() == min((t for t in timers if t is not None), default=None)
+        packed = group.pack()
+
+
+def test_the_merge_keeps_no_state_for_every_single_id(spark):
+    root = tempfile.mkdtemp(prefix="tardy-answers-")
+    n = 3 * SM.BUCKETS
+    _feed(spark, root, "requests", [(f"r{i}", T0) for i in range(n)], REQ)
+    for kind in KINDS:
+        _feed(spark, root, kind, [_answer(kind, "zz", 0.5)], ANSWERS[kind])
+    schemas = {"requests": REQ, **ANSWERS}
+    streams = {k: spark.readStream.schema(s).json(f"{root}/{k}") for k, s in schemas.items()}
+    q = (SM.merge_response_streams(streams["requests"], *[streams[k] for k in KINDS]).writeStream.format("noop")
+         .option("checkpointLocation", f"{root}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= SM.BUCKETS
+
+
 def _feed(spark, root, name, rows, schema):
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{root}/{name}")
 
