@@ -16,6 +16,11 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFram
 KEY_BITS, REPEATS = 60, 10_000
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """The distinct rows with their number ``_n``."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def keyed_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     """Every row with ``_key``, a hash (KEY_BITS bits of the MD5) of the seed,
     its values and its number among equal rows.
@@ -24,8 +29,10 @@ def keyed_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     Equal rows are counted first (a partial aggregate) and numbered in chunks,
     so a row that makes up a third of the table is spread over many tasks.
     """
-    cols = df.columns
-    counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    return _keyed(_counted(df), df.columns, seed)
+
+
+def _keyed(counts: DataFrame, cols: list[str], seed: int) -> DataFrame:
     chunk = counts.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / REPEATS))))
     low = F.col("_chunk") * REPEATS
     high = F.least(low + REPEATS, F.col("_n")) - 1
@@ -47,13 +54,15 @@ def capped_sample(df: DataFrame, cap: int = 5000, seed: int = 42) -> DataFrame:
 
     Keys below a bound that a little more than ``cap`` rows are expected to
     meet are written (the bound is doubled until enough do), so that only
-    about ``cap`` rows are ever sorted.
+    about ``cap`` rows are ever sorted.  ``df`` itself is computed once: its
+    distinct rows are written with their numbers, for the size and the keys.
     """
-    n = df.count()
+    counts = materialize(_counted(df))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
     if n <= cap:
         return df
     share = (cap + 6 * cap ** 0.5 + 10) / n
-    keyed = keyed_rows(df, seed)
+    keyed = _keyed(counts, df.columns, seed)
     while True:
         low = materialize(keyed.filter(F.col("_key") < int(min(1.0, share) * (1 << KEY_BITS))))
         if share >= 1 or low.count() >= cap:

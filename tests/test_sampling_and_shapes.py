@@ -44,6 +44,19 @@ def test_capped_sample_is_the_bottom_k(spark, monkeypatch):
     assert SA.capped_sample(df.limit(0), 5).count() == 0
 
 
+def test_capped_sample_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(900, numPartitions=3).mapInArrow(look, "id long")
+    assert SA.capped_sample(df, 100).count() == 100
+    assert seen.value == 900
+
+
 @pytest.mark.parametrize("accuracy", [50, 10_000])
 def test_percentiles_are_exact(spark, accuracy):
     """Small accuracies force real brackets on small data."""
