@@ -32,8 +32,14 @@ def fill_averages(df: DataFrame) -> DataFrame:
 
 
 def enrich_all(df: DataFrame, stats: dict[str, DataFrame] | None = None) -> DataFrame:
-    """All six statistics joined back, averages filled, rush-hour flag."""
-    stats = compute_stats(df) if stats is None else stats
+    """All six statistics joined back, averages filled, rush-hour flag.
+
+    Without given statistics ``df`` is written first: they and the joins read
+    it, so that its own joins run once, and the code of one stage stays small
+    enough to be compiled.  Give it no more columns than are needed."""
+    if stats is None:
+        df = materialize(df)
+        stats = compute_stats(df)
     out = df
     for name in ENRICH_ORDER:
         out = enrich_one(out, stats[name], name)

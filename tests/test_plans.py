@@ -57,6 +57,27 @@ def test_enrichment_does_not_shuffle_the_trips_on_a_few_values(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_line_items_are_shuffled_by_order_only(spark):
+    from tardy.sources.flights import flights_view
+    for t in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(t, "-1")
+    try:
+        plan = flights_view(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        for t in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.unset(t)
+    customers = next(row for row in plan.splitlines() if "Join" in row and "c_custkey" in row)
+    orders = next(row for row in plan.splitlines() if "Join" in row and "l_orderkey" in row)
+    # the join with the customers lies below the one with the line items
+    assert customers.index("Join") > orders.index("Join")
+
+
+def test_enrichment_reads_written_rows_not_the_view_twice(spark):
+    from tardy.catalog import enriched_regression
+    plan = enriched_regression(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and plan.count("Join") == 6
+
+
 def test_label_balance_computes_no_statistics(spark):
     from tardy.catalog import REGISTRY
     text = REGISTRY["label_balance"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
