@@ -142,3 +142,31 @@ def test_a_broken_model_is_an_error_and_a_missing_one_is_none(tmp_path, spark):
     assert M.load_model(str(tmp_path / "none")) is None
     with pytest.raises(Exception):
         M.load_model(str(tmp_path / "broken"))
+
+
+def test_a_query_fits_the_models_that_it_names(spark, monkeypatch):
+    from tardy import catalog as Q
+    fitted, real = [], M.train_compare
+
+    def watched(prep, estimators, kind, label=K.TARGET):
+        fitted.append((kind, *estimators))
+        return real(prep, estimators, kind, label)
+
+    small = M.regressors
+    monkeypatch.setattr(M, "train_compare", watched)
+    monkeypatch.setattr(M, "regressors", lambda: small(rf_trees=2, rf_depth=2, gbt_iter=2, gbt_depth=2))
+    monkeypatch.setattr(Q, "_MEMO", {})
+    Q.q_regression_lr(spark, SF_SMALL)
+    assert fitted == [("A", "Linear Regression")]
+    Q.q_feature_importance(spark, SF_SMALL)
+    assert fitted[1:] == [("A", "Random Forest")]
+    Q.regression_models(spark, SF_SMALL)
+    assert fitted[2:] == [("A", "GBT Regressor"), ("B", "Linear Regression")]
+    # the board has every model once, in its place; none is fitted again
+    every = Q.regression_fits(spark, SF_SMALL, "A")
+    assert [(f.name, f.position) for f in every] == [(n, i) for i, n in enumerate(M.regressors())]
+    assert len(fitted) == 4
+
+
+def test_a_model_table_has_a_few_tasks_per_core():
+    assert [M.model_tasks(n, 12) for n in (0, 1, 250_000, 29_000_000, 170_000_000)] == [1, 1, 3, 36, 170]
