@@ -170,3 +170,33 @@ def test_a_query_fits_the_models_that_it_names(spark, monkeypatch):
 
 def test_a_model_table_has_a_few_tasks_per_core():
     assert [M.model_tasks(n, 12) for n in (0, 1, 250_000, 29_000_000, 170_000_000)] == [1, 1, 3, 36, 170]
+
+
+def rows_of_tasks(df):
+    parts = df.groupBy(F.spark_partition_id()).count().collect()
+    return [r["count"] for r in parts]
+
+
+def test_both_parts_of_a_table_in_one_file_are_dealt_over_tasks(spark):
+    from tardy import catalog as Q
+    from tardy.plans.sizing import materialize
+    big = materialize(spark.range(400_000).select("id", (F.col("id") % 7).alias("x")).coalesce(1))
+    train, test = Q._written_split(big)
+    sizes = rows_of_tasks(train)
+    assert len(sizes) > 1 and max(sizes) * len(sizes) <= 2 * sum(sizes)
+    assert train.unionByName(test).distinct().count() == train.count() + test.count() == 400_000
+    # a few rows stay as they were written
+    small = materialize(spark.range(1_000).coalesce(1))
+    assert rows_of_tasks(M.dealt(small)) == [1_000] and M.dealt(small) is small
+    assert M.dealt(materialize(spark.range(0))).count() == 0
+
+
+def test_forest_with_kept_nodes_is_the_forest_without(spark):
+    rows = M.fill_inputs(regression_model_table(spark, SF_SMALL), K.NUMERIC_FEATURES).withColumn(
+        "late", (F.col(K.TARGET) > 30).cast("int"))
+    prep = M.prepare(*M.random_split(rows), K.NUMERIC_FEATURES, labels=["late"])
+    kept = M.classifier("late", trees=4, depth=6)
+    assert kept.getCacheNodeIds()
+    plain = kept.copy({kept.cacheNodeIds: False}).fit(prep.train)
+    body = [m.toDebugString.split("\n", 1)[1] for m in (kept.fit(prep.train), plain)]
+    assert body[0] == body[1]
