@@ -200,3 +200,18 @@ def test_forest_with_kept_nodes_is_the_forest_without(spark):
     plain = kept.copy({kept.cacheNodeIds: False}).fit(prep.train)
     body = [m.toDebugString.split("\n", 1)[1] for m in (kept.fit(prep.train), plain)]
     assert body[0] == body[1]
+
+
+def test_the_test_rows_are_scored_once(spark, monkeypatch):
+    from tardy import catalog as Q
+    real = M.classifier
+    monkeypatch.setattr(Q, "_MEMO", {})
+    monkeypatch.setattr(M, "classifier", lambda label: real(label, trees=3, depth=3))
+    answers = Q.q_classification_60(spark, SF_SMALL)
+    fit = Q.classification_fit(spark, SF_SMALL, 60)
+    files = set(answers.inputFiles())
+    assert files and not files & set(fit.prepared.test.inputFiles())
+    again = fit.model.transform(fit.prepared.test).select(
+        "DelayOver60", "prediction", F.round(M.positive_percent(), 6).alias("probability_pct"))
+    assert sorted(answers.collect()) == sorted(again.collect())
+    assert fit.metrics == M.classification_scores(fit.model.transform(fit.prepared.test), "DelayOver60")
