@@ -110,8 +110,8 @@ def test_vectors_become_codes():
                         {"type": 0, "size": 4, "indices": [], "values": []}], kind)
     columns, thresholds = [(0, 3), (3, 0)], [np.array([]), np.array([-1.0, 0.5])]
     want = [[2, 3, 0], [2, 0, 1]]
-    assert B._coded(vectors, columns, thresholds, 4, "uint8").tolist() == want
-    assert B._coded(vectors.slice(1), columns, thresholds, 4, "uint8").tolist() == [r[1:] for r in want]
+    assert B._coded(vectors, columns, thresholds, "uint8").tolist() == want
+    assert B._coded(vectors.slice(1), columns, thresholds, "uint8").tolist() == [r[1:] for r in want]
     two = pa.array([{"type": 0, "size": 4, "indices": [0, 1], "values": [1.0, 1.0]}], kind)
     with pytest.raises(ValueError):
-        B._coded(two, columns, thresholds, 4, "uint8")
+        B._coded(two, columns, thresholds, "uint8")
